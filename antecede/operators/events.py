@@ -220,10 +220,15 @@ def score_delta(df: DataFrame, keys: Sequence[str], score: str, order: Sequence[
     known = F.col(score).isNotNull()
     position = F.when(known, F.struct(*order))
     return df.groupBy(*keys).agg(
-        F.greatest(F.lit(0), F.max(score) - F.min_by(F.col(score), position)).cast("bigint").alias("runs")
+        non_negative(F.max(score) - F.min_by(F.col(score), position)).alias("runs")
     )
 
 
+def non_negative(difference: Column) -> Column:
+    """At least 0; NULL stays NULL, which ``greatest`` alone would turn into 0."""
+    return F.when(difference.isNotNull(), F.greatest(F.lit(0), difference)).cast("bigint")
+
+
 def appearance_table(
     pitches: DataFrame, order: Sequence[str] = ("at_bat_number", "pitch_number")
 ) -> DataFrame:
@@ -256,9 +261,9 @@ def appearance_table(
         F.min_by("first", "first_row").alias("first"),
         *[F.sum(c).alias(c) for c in ("pitches_thrown", "strikeouts", "hits", "walks", "source_rows")],
         F.count_if(~F.col("truncated") & F.col("at_bat_number").isNotNull()).alias("batters_faced"),
-        F.greatest(
-            F.lit(0), F.max("top_score") - F.min_by("first_score", "first_score_row")
-        ).cast("bigint").alias("runs"),
+        non_negative(
+            F.max("top_score") - F.min_by("first_score", "first_score_row")
+        ).alias("runs"),
     )
     starters = people.where(F.col(ENTITY).isNotNull()).withColumn(
         "is_first",

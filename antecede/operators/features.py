@@ -82,6 +82,12 @@ def category_pivot(
     )
 
 
+CATEGORY_FEATURES = (
+    "usage", "velocity", "whiff_rate", "strike_rate", "csw_rate", "usage_change_vs_season",
+    "velocity_change_vs_season", "insufficient_history",
+)
+
+
 def category_columns(category: str, total: Column, recent_total: Column) -> dict[str, Column]:
     """Rates of one category from its prior and prior-3 sums."""
 
@@ -186,11 +192,29 @@ def entity_feature_names(config: FeatureConfig, categories: bool) -> list[str]:
     if any(f.name == "last3" for f in config.frames):
         names.append("workload_trend_last3_vs_prior3")
     if categories:
-        for c in config.categories:
-            names += list(category_columns(c, F.lit(1), F.lit(1)))
+        names += [f"pitch_{c}_{suffix}" for c in config.categories for suffix in CATEGORY_FEATURES]
     return names
 
 
+def arsenal_features(
+    appearances: DataFrame, type_metrics: DataFrame, config: FeatureConfig
+) -> DataFrame:
+    """Only the category columns of the feature table, per appearance."""
+    wide = category_pivot(type_metrics, KEYS, E.CATEGORY_METRICS, config.categories)
+    names = [c for c in wide.columns if c not in KEYS]
+    frame = left_join_zero_fill(
+        appearances.select(*KEYS, "pitches_thrown"), wide, KEYS, names
+    )
+    columns: dict[str, Column] = {}
+    for window in (H.Frame("prior"), H.Frame("prior3", rows=3)):
+        columns |= H.prior_sums(window, SPEC, [*names, "pitches_thrown"])
+    frame = frame.withColumns(columns)
+    rates: dict[str, Column] = {}
+    for c in config.categories:
+        rates |= category_columns(c, F.col("prior_pitches_thrown"), F.col("prior3_pitches_thrown"))
+    return frame.select(*KEYS, *[value.alias(name) for name, value in rates.items()])
+
+
 # --- opponent part --------------------------------------------------------------------------
 
 def team_games(
@@ -256,6 +280,14 @@ def opponent_columns(hands: Sequence[str], minimum: int) -> dict[str, Column]:
     return columns
 
 
+def opponent_feature_names(hands: Sequence[str]) -> list[str]:
+    names = [f"opponent_team_{n}_pct" for n in ("k", "bb", "swstr", "contact", "chase")]
+    names += ["opponent_team_history_games", "opponent_team_insufficient_history"]
+    for h in hands:
+        names += [f"opponent_k_pct_vs_{h}HP", f"opponent_contact_pct_vs_{h}HP", f"opponent_{h}_history_games"]
+    return names
+
+
 def opponent_features(
     appearances: DataFrame, team_metrics: DataFrame, hands: Sequence[str], minimum: int
 ) -> DataFrame:
@@ -293,7 +325,7 @@ def feature_table(
     if team_metrics is not None:
         opponents = opponent_features(appearances, team_metrics, config.hands, config.minimum)
         frame = frame.join(opponents, ["season", "game_date", "game_id", "opponent"], "left")
-        names += list(opponent_columns(config.hands, config.minimum))
+        names += opponent_feature_names(config.hands)
     return frame.select(*context, *names, *K.TARGETS)
 
 

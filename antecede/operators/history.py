@@ -233,7 +233,6 @@ def blocked_history(
     carries = totals.select(
         *key,
         block,
-        F.lead(block).over(by_block).alias("_next"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before_n"),
         *[F.sum(f"_t_{m}").over(before).alias(f"_before_{m}") for m in metrics],
     )
@@ -246,12 +245,9 @@ def blocked_history(
         .withColumn("_from_end", F.row_number().over(newest))
         .where(F.col("_from_end") <= max(reach, 1))
     )
-    later = totals.select(
-        *key,
-        block,
-        F.explode(
-            F.collect_list(F.col(block)).over(by_block.rowsBetween(1, max(reach, 1)))
-        ).alias("_into"),
+    next_blocks = F.collect_list(F.col(block)).over(by_block.rowsBetween(1, max(reach, 1)))
+    later = totals.select(*key, block, next_blocks.alias("_next")).select(
+        *key, block, F.explode("_next").alias("_into")
     )
     row_halo = tails.join(later, [*key, block]).withColumn(block, F.col("_into"))
     nearest = Window.partitionBy(*key, block).orderBy(F.desc(spec.date), F.desc(spec.game))
@@ -268,7 +264,7 @@ def blocked_history(
         *key, (F.col(block) + 1).alias(block), spec.date, spec.game, *metrics, F.lit(2).alias("_kind")
     )
     staged = rows.withColumn("_kind", F.lit(0)).join(
-        carries.drop("_next"), [*key, block], "left"
+        carries, [*key, block], "left"
     )
     everything = staged.unionByName(row_halo, allowMissingColumns=True).unionByName(
         day_halo, allowMissingColumns=True

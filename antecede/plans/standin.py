@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from antecede.operators import events as E
 from antecede.operators import features as X
 from antecede.operators import history as H
+from antecede.operators import scoring as S
 
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 FRAMES = (
@@ -26,6 +27,14 @@ FRAMES = (
 )
 CONFIG = X.FeatureConfig(frames=FRAMES, categories=CATEGORIES, minimum=1)
 HOLDOUT_SEASON = 2001
+MODELS = {
+    **S.CLOSED_MODELS,
+    "ensemble": lambda target, mean: (S.naive(target, mean) + mean) / 2.0,
+}
+GRIDS = {
+    "strikeouts": tuple(0.5 + k for k in range(7)),
+    "outs_recorded": tuple(0.5 + k for k in range(9)),
+}
 
 
 def bigint(column: Column | str) -> Column:
@@ -80,7 +89,7 @@ class Tables:
             event.alias("events"),
             _chosen(part % 7, DESCRIPTIONS).alias("description"),
             F.when(F.col("l_tax") != 0, bigint("l_quantity") % 14 + 1).alias("zone"),
-            F.when(F.col("l_discount") != 0, F.col("l_extendedprice") / 1000).alias("release_speed"),
+            F.when(F.col("l_discount") != 0, F.floor("l_extendedprice") / 64).alias("release_speed"),
             F.when(F.col("l_linestatus") == "F", "R").otherwise("L").alias("p_throws"),
             (bigint("l_quantity") % 3).alias("outs_when_up"),
             F.when(part % 11 != 0, bigint("l_quantity") + F.col("l_linenumber")).alias("score"),
@@ -145,6 +154,38 @@ class Tables:
         """Appearances with this game's metrics, the input of the history windows."""
         return X.with_game_metrics(self.appearances, self.pitcher_metrics, None, CONFIG)
 
+    @cached_property
+    def score_rows(self) -> DataFrame:
+        """Appearances with just the history the closed-form forecasts read."""
+        frames = [f for f in FRAMES if f.name in ("season", "last3")]
+        terms = [x for x in H.RATES if x[0].endswith("_per_start")]
+        metrics = [top for _, top, _ in terms]
+        rows = H.with_prior(self.game_rows, H.Spec(), frames, metrics)
+        rates = {}
+        for f in frames:
+            rates |= H.rate_columns(f, 1, terms)
+        return rows.withColumns(rates).withColumn(
+            "pitcher_starts_before_game", F.col("season_history_starts")
+        )
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        """Walk-forward splits plus the holdout split."""
+        return S.chronological_splits(self.appearances, HOLDOUT_SEASON).unionByName(
+            S.holdout_split(self.appearances, HOLDOUT_SEASON)
+        )
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return S.closed_form_predictions(self.score_rows, self.splits, MODELS)
+
+    @cached_property
+    def points(self) -> DataFrame:
+        """Out-of-sample forecasts of the two priced targets from one model."""
+        return self.predictions.where(
+            (F.col("model") == "ensemble") & F.col("target").isin(*GRIDS)
+        ).select("season", "game_id", "pitcher_mlbam_id", "target", "actual", "prediction")
+
     @cached_property
     def features(self) -> DataFrame:
         return X.feature_table(

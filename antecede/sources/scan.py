@@ -72,6 +72,17 @@ def date_chunks(spark: SparkSession, start: date, end: date, days: int = 7) -> D
     )
 
 
+def calendar_of(df: DataFrame, day: str, days: int) -> DataFrame:
+    """The chunk calendar that spans the dates of a table, without reading them on the driver."""
+    span = df.agg(F.min(day).alias("low"), F.max(day).alias("high"))
+    starts = F.sequence(F.col("low"), F.col("high"), F.expr(f"interval {int(days)} days"))
+    return span.select("high", F.posexplode(starts).alias("chunk", "chunk_start")).select(
+        F.col("chunk").cast("bigint").alias("chunk"),
+        "chunk_start",
+        F.least(F.date_add("chunk_start", days - 1), F.col("high")).alias("chunk_end"),
+    )
+
+
 def chunk_of(day: str, start, days: int) -> Column:
     """Number of the chunk a date falls into; ``start`` may be a column or a date."""
     first = start if isinstance(start, Column) else F.lit(start)
