@@ -146,8 +146,9 @@ def fold_feature_columns(t):
 
 def quantile_sql(source: str, by: str, value: str, p: float) -> str:
     """Linear interpolation between the two neighbouring order statistics."""
-    return f"""(SELECT {by}, min(v) FILTER (rn = floor({p!r} * (n - 1))) + (min(v) FILTER (rn = ceil({p!r} * (n - 1)))
-     - min(v) FILTER (rn = floor({p!r} * (n - 1)))) * (any_value({p!r} * (n - 1)) - floor(any_value({p!r} * (n - 1)))) AS q
+    p = f"{p!r}::DOUBLE"
+    return f"""(SELECT {by}, min(v) FILTER (rn = floor({p} * (n - 1))) + (min(v) FILTER (rn = ceil({p} * (n - 1)))
+     - min(v) FILTER (rn = floor({p} * (n - 1)))) * (any_value({p} * (n - 1)) - floor(any_value({p} * (n - 1)))) AS q
    FROM (SELECT {by}, {value} AS v, row_number() OVER (PARTITION BY {by} ORDER BY {value}) - 1 AS rn,
      count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {value} IS NOT NULL) GROUP BY {by})"""
 

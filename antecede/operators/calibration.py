@@ -32,7 +32,7 @@ def calibration_table(rows: DataFrame, by: Sequence[str] = ("target",)) -> DataF
         F.avg("actual_over").alias("observed_rate"),
     )
     spine = filled.select(*by).distinct().withColumn(
-        "bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).cast("bigint")
+        "bin", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(BINS)]))
     )
     return spine.join(filled, [*by, "bin"], "left").select(
         *by,

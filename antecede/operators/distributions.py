@@ -11,6 +11,7 @@ from antecede.functions import constants as K
 from antecede.functions.expr import clip_probability
 from antecede.functions.quantiles import BLOCKS, SKETCH_ACCURACY, exact_quantiles
 from antecede.functions.tails import dispersion, negative_binomial_over, poisson_over
+from antecede.session import stage
 
 # Decimals at which a residual and a threshold count as equal.
 DIGITS = 9
@@ -83,7 +84,7 @@ def bin_edges(history: DataFrame, by: Sequence[str], bins: int = K.QUANTILE_BINS
     """Inner edges of the prediction quantile bins per group; fewer than three distinct edges
     leave one bin for everything."""
     probabilities = [k / bins for k in range(bins + 1)]
-    edges = exact_quantiles(history, by, "prediction", probabilities)
+    edges = stage(exact_quantiles(history, by, "prediction", probabilities), "edges")
     distinct = F.array_distinct("quantiles")
     return edges.select(
         *by,
@@ -114,11 +115,12 @@ def residual_counts(
     counts = rows.select(*by, "value", F.explode(bins).alias("bin")).groupBy(*by, "bin", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
+    counts = stage(counts, "residual-counts") if edges is not None else counts
     sizes = counts.groupBy(*by, "bin").agg(F.sum("n").alias("bin_n")).where(
         (F.col("bin") == ALL_ROWS) | (F.col("bin_n") >= min_size)
     )
     # One row per group and bin.
-    return counts.join(F.broadcast(sizes), [*by, "bin"])
+    return stage(counts.join(F.broadcast(sizes), [*by, "bin"]), "residuals")
 
 
 def shares_above(counts: DataFrame, thresholds: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -36,38 +36,47 @@ TEAM_METRICS = (
 )
 
 
-def flag_columns() -> dict[str, Column]:
-    """Row flags. A missing code or zone makes a flag 0, a missing description is a pitch."""
-    description, event, zone = F.col("description"), F.col("events"), F.col("zone")
-    pitch = F.col("pitch_number").isNotNull() & ~description.eqNullSafe(F.lit(K.NOT_A_PITCH))
-    in_zone = zone.between(*K.ZONE_RANGE)
-    swing = description.isin(*K.SWING_CODES)
-    contact = description.isin(*K.CONTACT_CODES)
-    whiff = description.isin(*K.WHIFF_CODES)
-    called = description == K.CALLED_STRIKE
-    rules = {
-        "pitches": pitch,
-        "bf_metric": event != K.TRUNCATED_EVENT,
-        "k_count": event.isin(*K.STRIKEOUT_EVENTS),
-        "bb_count": event.isin(*K.WALK_EVENTS),
-        "hits_count": event.isin(*K.HIT_EVENTS),
-        "strike_count": pitch & description.isin(*K.STRIKE_CODES),
-        "called_strike_count": pitch & called,
-        "whiff_count": pitch & whiff,
-        "csw_count": pitch & (called | whiff),
-        "swing_count": pitch & swing,
-        "contact_count": pitch & contact,
-        "zone_pitch_count": pitch & in_zone,
-        "zone_swing_count": pitch & in_zone & swing,
-        "zone_contact_count": pitch & in_zone & contact,
-        "chase_swing_count": pitch & ~in_zone & swing,
-        "chase_pitch_count": pitch & ~in_zone,
-        "velocity_count": pitch & F.col("release_speed").isNotNull(),
-    }
-    columns = {name: flag(rule) for name, rule in rules.items()}
-    speed = F.coalesce(F.col("release_speed").cast("double"), F.lit(0.0))
-    columns["velocity_sum"] = F.when(pitch, speed).otherwise(F.lit(0.0))
-    return columns
+def _any_of(column: str, codes: Sequence[str]) -> str:
+    return f"{column} in ({', '.join(repr(c) for c in codes)})"
+
+
+PITCH = f"(pitch_number is not null and not (description <=> '{K.NOT_A_PITCH}'))"
+IN_ZONE = f"(zone between {K.ZONE_RANGE[0]} and {K.ZONE_RANGE[1]})"
+SWING = _any_of("description", K.SWING_CODES)
+CONTACT = _any_of("description", K.CONTACT_CODES)
+WHIFF = _any_of("description", K.WHIFF_CODES)
+CALLED = f"description = '{K.CALLED_STRIKE}'"
+FLAG_RULES = {
+    "pitches": PITCH,
+    "bf_metric": f"events <> '{K.TRUNCATED_EVENT}'",
+    "k_count": _any_of("events", K.STRIKEOUT_EVENTS),
+    "bb_count": _any_of("events", K.WALK_EVENTS),
+    "hits_count": _any_of("events", K.HIT_EVENTS),
+    "strike_count": f"{PITCH} and {_any_of('description', K.STRIKE_CODES)}",
+    "called_strike_count": f"{PITCH} and {CALLED}",
+    "whiff_count": f"{PITCH} and {WHIFF}",
+    "csw_count": f"{PITCH} and ({CALLED} or {WHIFF})",
+    "swing_count": f"{PITCH} and {SWING}",
+    "contact_count": f"{PITCH} and {CONTACT}",
+    "zone_pitch_count": f"{PITCH} and {IN_ZONE}",
+    "zone_swing_count": f"{PITCH} and {IN_ZONE} and {SWING}",
+    "zone_contact_count": f"{PITCH} and {IN_ZONE} and {CONTACT}",
+    "chase_swing_count": f"{PITCH} and not {IN_ZONE} and {SWING}",
+    "chase_pitch_count": f"{PITCH} and not {IN_ZONE}",
+    "velocity_count": f"{PITCH} and release_speed is not null",
+}
+SPEED = f"case when {PITCH} then coalesce(cast(release_speed as double), 0.0D) else 0.0D end"
+
+
+def row_flag(name: str) -> Column:
+    """A row flag. A missing code or zone makes it 0; a missing description is a pitch."""
+    if name == "velocity_sum":
+        return F.expr(SPEED)
+    return F.expr(f"case when {FLAG_RULES[name]} then 1L else 0L end")
+
+
+def flag_columns(names: Sequence[str] = (*COUNTS, *VELOCITY)) -> dict[str, Column]:
+    return {name: row_flag(name) for name in names}
 
 
 def event_flags(pitches: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -102,7 +111,8 @@ def _first_pitch_flags(pitches: DataFrame) -> DataFrame:
 
 def _summed(df: DataFrame, keys: Sequence[str], names: Sequence[str], extra=None) -> DataFrame:
     """Sums flags per key; rows with a missing key part are dropped."""
-    flags = flag_columns() | (extra or {})
+    extra = extra or {}
+    flags = flag_columns([n for n in names if n not in extra]) | extra
     known = df
     for key in keys:
         known = known.where(F.col(key).isNotNull())
@@ -241,7 +251,7 @@ def appearance_table(
     first_row = F.struct(*order)
     side = F.lower(F.col("inning_topbot").cast("string"))
     score = F.when(side == "top", F.col("post_away_score")).otherwise(F.col("post_home_score"))
-    thrown = flag_columns()["pitches"]
+    thrown = row_flag("pitches")
     details = ("game_date", "player_name", "home_team", "away_team", "p_throws")
     at_bats = pitches.groupBy(*keys, "at_bat_number").agg(
         F.min(first_row).alias("first_row"),

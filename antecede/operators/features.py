@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.functions import constants as K
-from antecede.functions.expr import flag, safe_rate
+from antecede.functions.expr import flag
 from antecede.operators import events as E
 from antecede.operators import history as H
 from antecede.operators.quality import QualityError, require_columns, require_zero
@@ -68,6 +68,11 @@ def category_history(
     return dense.withColumns(columns).select(*keys, *columns)
 
 
+def quoted(value: str) -> str:
+    """Text usable between single quotes in SQL."""
+    return str(value).replace("\\", "\\\\").replace("'", "\\'")
+
+
 def category_pivot(
     long: DataFrame, keys: Sequence[str], metrics: Sequence[str], categories: Sequence[str],
     category: str = "pitch_type",
@@ -75,7 +80,7 @@ def category_pivot(
     """Wide form over a fixed category list: ``<metric>_<category>``; one partial aggregate."""
     return long.groupBy(*keys).agg(
         *[
-            F.sum(F.when(F.col(category) == c, F.col(m))).alias(f"{m}_{c}")
+            F.expr(f"sum(case when `{category}` = '{quoted(c)}' then `{m}` end) as `{m}_{c}`")
             for c in categories
             for m in metrics
         ]
@@ -88,29 +93,31 @@ CATEGORY_FEATURES = (
 )
 
 
-def category_columns(category: str, total: Column, recent_total: Column) -> dict[str, Column]:
-    """Rates of one category from its prior and prior-3 sums."""
-
-    def prior(metric: str) -> Column:
-        return F.coalesce(F.col(f"prior_{metric}_{category}"), F.lit(0))
-
-    def recent(metric: str) -> Column:
-        return F.col(f"prior3_{metric}_{category}")
-
-    name = f"pitch_{category}"
-    usage = safe_rate(prior("pitch_count"), total)
-    velocity = safe_rate(prior("velocity_sum"), prior("velocity_count"))
-    recent_usage = safe_rate(F.coalesce(recent("pitch_count"), F.lit(0)), recent_total)
-    recent_velocity = safe_rate(recent("velocity_sum"), recent("velocity_count"))
+def category_columns(category: str, total: str, recent_total: str) -> dict[str, Column]:
+    """Rates of one category from its prior and prior-3 sums, as one expression each."""
+
+    def prior(metric: str) -> str:
+        return f"coalesce(`prior_{metric}_{category}`, 0)"
+
+    def recent(metric: str) -> str:
+        return f"`prior3_{metric}_{category}`"
+
+    usage = H.ratio(prior("pitch_count"), total)
+    velocity = H.ratio(prior("velocity_sum"), prior("velocity_count"))
+    recent_usage = H.ratio(f"coalesce({recent('pitch_count')}, 0)", recent_total)
+    recent_velocity = H.ratio(recent("velocity_sum"), recent("velocity_count"))
+    values = (
+        usage,
+        velocity,
+        H.ratio(prior("whiff_count"), prior("pitch_count")),
+        H.ratio(prior("strike_count"), prior("pitch_count")),
+        H.ratio(prior("csw_count"), prior("pitch_count")),
+        f"({recent_usage}) - ({usage})",
+        f"({recent_velocity}) - ({velocity})",
+        f"case when {prior('pitch_count')} < {K.CATEGORY_MIN_SAMPLE} then 1L else 0L end",
+    )
     return {
-        f"{name}_usage": usage,
-        f"{name}_velocity": velocity,
-        f"{name}_whiff_rate": safe_rate(prior("whiff_count"), prior("pitch_count")),
-        f"{name}_strike_rate": safe_rate(prior("strike_count"), prior("pitch_count")),
-        f"{name}_csw_rate": safe_rate(prior("csw_count"), prior("pitch_count")),
-        f"{name}_usage_change_vs_season": recent_usage - usage,
-        f"{name}_velocity_change_vs_season": recent_velocity - velocity,
-        f"{name}_insufficient_history": flag(prior("pitch_count") < K.CATEGORY_MIN_SAMPLE),
+        f"pitch_{category}_{suffix}": F.expr(text) for suffix, text in zip(CATEGORY_FEATURES, values)
     }
 
 
@@ -170,7 +177,7 @@ def entity_features(frame: DataFrame, config: FeatureConfig, categories: bool) -
     rates |= {"month": H.month_of("game_date"), "home_indicator": H.indicator("home_away", "home")}
     if categories:
         for c in config.categories:
-            rates |= category_columns(c, F.col("prior_pitches_thrown"), F.col("prior3_pitches_thrown"))
+            rates |= category_columns(c, "prior_pitches_thrown", "prior3_pitches_thrown")
     frame = frame.withColumns(rates)
     if any(f.name == "last3" for f in config.frames):
         frame = frame.withColumn(
@@ -211,7 +218,7 @@ def arsenal_features(
     frame = frame.withColumns(columns)
     rates: dict[str, Column] = {}
     for c in config.categories:
-        rates |= category_columns(c, F.col("prior_pitches_thrown"), F.col("prior3_pitches_thrown"))
+        rates |= category_columns(c, "prior_pitches_thrown", "prior3_pitches_thrown")
     return frame.select(*KEYS, *[value.alias(name) for name, value in rates.items()])
 
 
@@ -227,12 +234,7 @@ def team_games(
     wide = category_pivot(team_metrics, TEAM_KEYS, E.TEAM_METRICS, hands, "opponent_hand")
     names = [f"{m}_{h}" for h in hands for m in E.TEAM_METRICS]
     dense = left_join_zero_fill(games, wide, TEAM_KEYS, names)
-    overall = {}
-    for m in E.TEAM_METRICS:
-        total = F.lit(0)
-        for h in hands:
-            total = total + F.col(f"{m}_{h}")
-        overall[m] = total
+    overall = {m: F.expr(" + ".join(f"`{m}_{h}`" for h in hands)) for m in E.TEAM_METRICS}
     observed = {f"observed_{h}": flag(F.col(f"team_bf_{h}") > 0) for h in hands}
     return dense.withColumns(overall | observed)
 
@@ -253,27 +255,25 @@ def team_history(games: DataFrame, hands: Sequence[str]) -> DataFrame:
 def opponent_columns(hands: Sequence[str], minimum: int) -> dict[str, Column]:
     """Overall rates treat a missing history as zero; rates by hand keep it missing."""
 
-    def overall(metric: str) -> Column:
-        return F.coalesce(F.col(f"prior_{metric}"), F.lit(0))
+    def overall(top: str, bottom: str) -> Column:
+        return F.expr(H.ratio(f"coalesce(prior_{top}, 0)", f"coalesce(prior_{bottom}, 0)"))
 
     columns = {
-        "opponent_team_k_pct": safe_rate(overall("k_count"), overall("team_bf")),
-        "opponent_team_bb_pct": safe_rate(overall("bb_count"), overall("team_bf")),
-        "opponent_team_swstr_pct": safe_rate(overall("whiff_count"), overall("pitches")),
-        "opponent_team_contact_pct": safe_rate(overall("contact_count"), overall("swing_count")),
-        "opponent_team_chase_pct": safe_rate(
-            overall("chase_swing_count"), overall("chase_pitch_count")
-        ),
+        "opponent_team_k_pct": overall("k_count", "team_bf"),
+        "opponent_team_bb_pct": overall("bb_count", "team_bf"),
+        "opponent_team_swstr_pct": overall("whiff_count", "pitches"),
+        "opponent_team_contact_pct": overall("contact_count", "swing_count"),
+        "opponent_team_chase_pct": overall("chase_swing_count", "chase_pitch_count"),
         "opponent_team_history_games": F.col("prior_games"),
-        "opponent_team_insufficient_history": flag(
-            F.coalesce(F.col("prior_games"), F.lit(0)) < minimum
+        "opponent_team_insufficient_history": F.expr(
+            f"case when coalesce(prior_games, 0) < {minimum} then 1L else 0L end"
         ),
     }
     for h in hands:
         columns |= {
-            f"opponent_k_pct_vs_{h}HP": safe_rate(f"prior_k_count_{h}", f"prior_team_bf_{h}"),
-            f"opponent_contact_pct_vs_{h}HP": safe_rate(
-                f"prior_contact_count_{h}", f"prior_swing_count_{h}"
+            f"opponent_k_pct_vs_{h}HP": F.expr(H.ratio(f"`prior_k_count_{h}`", f"`prior_team_bf_{h}`")),
+            f"opponent_contact_pct_vs_{h}HP": F.expr(
+                H.ratio(f"`prior_contact_count_{h}`", f"`prior_swing_count_{h}`")
             ),
             f"opponent_{h}_history_games": F.col(f"prior_games_{h}"),
         }

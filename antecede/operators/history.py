@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.functions.expr import flag, safe_rate
+from antecede.functions.expr import flag
 
 
 @dataclass(frozen=True)
@@ -50,23 +50,24 @@ class Frame:
     rows: int | None = None
     days: int | None = None
 
-    def aggregate(self, spec: Spec, function: str, argument: str) -> Column:
-        """Built-in aggregate over the frame, e.g. ``sum`` of a column or ``count`` of 1."""
+    def over(self, spec: Spec) -> str:
+        """The frame as SQL text; one parsed expression costs far less to build than a chain of
+        column calls, and the feature table has hundreds of them."""
+        keys = ", ".join(f"`{c}`" for c in spec.key)
         if self.days is not None:
-            return over_days(spec.key, spec.date, self.days, function, argument)
-        first = Window.unboundedPreceding if self.rows is None else -self.rows
-        return F.expr(f"{function}({argument})").over(spec.in_period().rowsBetween(first, -1))
-
-
-def over_days(
-    partition: Sequence[str], date: str, days: int, function: str, argument: str
-) -> Column:
-    """Aggregate over [date - days, date). A date order takes interval bounds, which only SQL
-    text can state."""
-    keys = ", ".join(f"`{c}`" for c in partition)
-    return F.expr(
-        f"{function}({argument}) over (partition by {keys} order by `{date}` range between "
-        f"interval {days} days preceding and interval 1 day preceding)"
+            return days_before(keys, spec.date, self.days)
+        first = "unbounded" if self.rows is None else str(self.rows)
+        return (
+            f"(partition by {keys} order by `{spec.date}`, `{spec.game}` "
+            f"rows between {first} preceding and 1 preceding)"
+        )
+
+
+def days_before(keys: str, date: str, days: int) -> str:
+    """Frame over [date - days, date). The order is a date, so the bounds are intervals."""
+    return (
+        f"(partition by {keys} order by `{date}` "
+        f"range between interval {days} days preceding and interval 1 day preceding)"
     )
 
 
@@ -83,13 +84,14 @@ DEFAULT_FRAMES = (
 
 def prior_sums(frame: Frame, spec: Spec, metrics: Sequence[str]) -> dict[str, Column]:
     """Sums over the frame, NULL where the frame is empty."""
-    return {f"{frame.name}_{m}": frame.aggregate(spec, "sum", f"`{m}`") for m in metrics}
+    over = frame.over(spec)
+    return {f"{frame.name}_{m}": F.expr(f"sum(`{m}`) over {over}") for m in metrics}
 
 
 def prior_starts(frame: Frame, spec: Spec) -> Column:
     """Games in the frame: 0 before the first game, but NULL for an empty span of days."""
-    count = frame.aggregate(spec, "count", "1")
-    return F.nullif(count, F.lit(0)) if frame.days is not None else count
+    count = f"count(1) over {frame.over(spec)}"
+    return F.expr(f"nullif({count}, 0)" if frame.days is not None else count)
 
 
 def with_prior(
@@ -135,21 +137,28 @@ RATE_METRICS = tuple(
 )
 
 
+def ratio(numerator: str, denominator: str) -> str:
+    """SQL text of a ratio as double, NULL where the denominator is zero or missing."""
+    return f"cast({numerator} as double) / nullif(cast({denominator} as double), 0.0D)"
+
+
 def rate_columns(frame: Frame, minimum: int, rates=RATES) -> dict[str, Column]:
     """Rates of a frame, NULL below the minimum history, plus the flag that says so."""
-    starts = F.col(f"{frame.name}_history_starts")
+    starts = f"`{frame.name}_history_starts`"
 
-    def term(name: str) -> Column:
-        return starts if name == "starts" else F.col(f"{frame.name}_{name}")
+    def term(name: str) -> str:
+        return starts if name == "starts" else f"`{frame.name}_{name}`"
 
-    too_few = starts < minimum
     columns = {
-        f"{frame.name}_{suffix}": F.when(
-            ~F.coalesce(too_few, F.lit(False)), safe_rate(term(top), term(bottom))
+        f"{frame.name}_{suffix}": F.expr(
+            f"case when coalesce({starts} < {minimum}, false) then null "
+            f"else {ratio(term(top), term(bottom))} end"
         )
         for suffix, top, bottom in rates
     }
-    columns[f"{frame.name}_insufficient_history"] = flag(too_few)
+    columns[f"{frame.name}_insufficient_history"] = F.expr(
+        f"case when {starts} < {minimum} then 1L else 0L end"
+    )
     return columns
 
 
@@ -277,16 +286,12 @@ def blocked_history(
     # is counted over own rows only and row frames run in a partition without day copies.
     columns: dict[str, Column] = {}
     row_part = Window.partitionBy(*key, block, "_rows_side").orderBy(spec.date, spec.game)
-    day_part = [*key, block, "_days_side"]
+    day_keys = ", ".join(f"`{c}`" for c in (*key, block, "_days_side"))
     for frame in frames:
         if frame.days is not None:
-            for m in metrics:
-                columns[f"{frame.name}_{m}"] = over_days(
-                    day_part, spec.date, frame.days, "sum", f"`{m}`"
-                )
-            columns[f"{frame.name}_history_starts"] = F.nullif(
-                over_days(day_part, spec.date, frame.days, "count", "1"), F.lit(0)
-            )
+            over = days_before(day_keys, spec.date, frame.days)
+            columns |= {f"{frame.name}_{m}": F.expr(f"sum(`{m}`) over {over}") for m in metrics}
+            columns[f"{frame.name}_history_starts"] = F.expr(f"nullif(count(1) over {over}, 0)")
         elif frame.rows is not None:
             window = row_part.rowsBetween(-frame.rows, -1)
             columns |= {f"{frame.name}_{m}": F.sum(m).over(window) for m in metrics}

@@ -164,11 +164,12 @@ def point_scores(predictions: DataFrame, by: Sequence[str] = ("target", "model",
     mu = F.greatest(p, F.lit(1e-9))
     term = F.when(y > 0, y * F.ln(y / mu)).otherwise(F.lit(0.0))
     flat = (F.min(y) == F.max(y)) | (F.min(p) == F.max(p))
+    spread = F.nullif(F.stddev_pop(y) * F.stddev_pop(p), F.lit(0.0))
     return predictions.groupBy(*by).agg(
         F.avg(F.abs(p - y)).alias("mae"),
         F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"),
         F.avg(p - y).alias("bias"),
-        F.when(flat, F.lit(0.0)).otherwise(F.corr(y, p)).alias("correlation"),
+        F.when(flat, F.lit(0.0)).otherwise(F.covar_pop(y, p) / spread).alias("correlation"),
         F.avg(2.0 * (term - y + mu)).alias("poisson_deviance"),
         F.count(F.lit(1)).alias("n"),
     )

@@ -15,6 +15,7 @@ from antecede.operators import events as E
 from antecede.operators import features as X
 from antecede.operators import history as H
 from antecede.operators import scoring as S
+from antecede.session import stage
 
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 FRAMES = (
@@ -112,7 +113,7 @@ class Tables:
     @cached_property
     def appearances(self) -> DataFrame:
         """One row per pitcher and game: counts from one two-level aggregate."""
-        outs, flags = E.event_outs(), E.flag_columns()
+        outs, flags = E.event_outs(), E.flag_columns(["k_count", "pitches"])
         at_bats = self.pitches.groupBy(
             "season", "game_date", "game_id", "pitcher_mlbam_id", "at_bat_number"
         ).agg(
@@ -181,10 +182,11 @@ class Tables:
 
     @cached_property
     def points(self) -> DataFrame:
-        """Out-of-sample forecasts of the two priced targets from one model."""
-        return self.predictions.where(
+        """Out-of-sample forecasts of the two priced targets from one model, as a written table:
+        the boundary between forecasting and everything that evaluates forecasts."""
+        return stage(self.predictions.where(
             (F.col("model") == "ensemble") & F.col("target").isin(*GRIDS)
-        ).select("season", "game_id", "pitcher_mlbam_id", "target", "actual", "prediction")
+        ).select("season", "game_id", "pitcher_mlbam_id", "target", "actual", "prediction"), "points")
 
     @cached_property
     def features(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,3 +58,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for one written table."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Writes a table that several later steps read and returns the written one.
+
+    A stage boundary keeps a long plan from being computed once per reader, survives the loss
+    of executors, and tells the planner the real size of what it joins.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
