@@ -18,6 +18,7 @@ from antecede.operators import distributions as X
 from antecede.operators import market as M
 from antecede.operators.name_match import match_names
 from antecede.plans.standin import bigint
+from antecede.session import stage
 from antecede.sources import payloads
 
 # --- quotes: every line item is one capture of a two-way quote ------------------------------------
@@ -460,6 +461,7 @@ def matched_outcomes(t):
     outcomes = payloads.flatten_odds(documents(t)).withColumns(
         {"home": T.team_code("home_team"), "away": T.team_code("away_team")}
     )
+    outcomes = stage(outcomes, "outcomes")
     people = starters(t)
     mentions = outcomes.select("event_id", "player_name", F.array("home", "away").alias("teams")).distinct()
     matched = match_names(

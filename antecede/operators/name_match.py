@@ -9,31 +9,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions.text import last_words, name_aliases, name_keys
 
 
-def candidate_keys(candidates: DataFrame, block: str, order: Sequence[str], name: str) -> DataFrame:
-    """(block, key, first candidate) for every name key."""
-    rows = candidates.select(
-        F.col(block).alias("block"),
-        F.struct(*order).alias("candidate"),
-        F.explode(name_keys(name_aliases(name))).alias("key"),
-    )
-    return rows.groupBy("block", "key").agg(F.min("candidate").alias("candidate"))
+EXACT, LAST_WORD = 0, 1
 
 
-def last_word_counts(candidates: DataFrame, block: str, order: Sequence[str], name: str) -> DataFrame:
-    """(block, last word, number of candidates, first candidate)."""
-    rows = candidates.select(
-        F.col(block).alias("block"),
-        F.struct(*order).alias("candidate"),
-        F.explode(last_words(name_aliases(name))).alias("key"),
-    )
-    return rows.groupBy("block", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("candidate").alias("candidate")
+def tagged(kind: int, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+
+def candidate_keys(candidates: DataFrame, block: str, order: Sequence[str], name: str) -> DataFrame:
+    """(block, kind, key) with the number of candidates that have it and the first of them."""
+    keys = F.concat(tagged(EXACT, name_keys("aliases")), tagged(LAST_WORD, last_words("aliases")))
+    return (
+        candidates.select(
+            F.col(block).alias("block"), F.struct(*order).alias("candidate"), name_aliases(name).alias("aliases")
+        )
+        .select("block", "candidate", F.inline(keys))
+        .groupBy("block", "kind", "key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("candidate").alias("candidate"))
     )
 
 
@@ -54,32 +52,23 @@ def match_names(
     last word. Candidates must be unique on (block, order).
     """
     mention_id = list(mention_id)
-    named = mentions.select(
-        *mention_id, F.col(blocks).alias("blocks"), name_aliases(mention_name).alias("aliases")
+    spoken = F.element_at(F.split(F.get("aliases", F.lit(0)), " "), -1)
+    keys = F.concat(tagged(EXACT, name_keys("aliases")), tagged(LAST_WORD, F.array(spoken)))
+    asked = (
+        mentions.select(*mention_id, F.col(blocks).alias("blocks"), name_aliases(mention_name).alias("aliases"))
+        .select(*mention_id, "blocks", F.inline_outer(keys))
+        .select(*mention_id, "kind", "key", F.explode_outer(F.array_distinct("blocks")).alias("block"))
     )
-    by_key = named.select(
-        *mention_id, "aliases", F.explode(F.array_distinct("blocks")).alias("block")
-    ).select(*mention_id, "block", F.explode(name_keys("aliases")).alias("key"))
-    exact = (
-        by_key.join(candidate_keys(candidates, block, order, name), ["block", "key"])
-        .groupBy(*mention_id)
-        .agg(F.min("candidate").alias("exact"))
+    found = asked.join(
+        candidate_keys(candidates, block, order, name), ["block", "kind", "key"], "left"
     )
-    spoken = named.select(
-        *mention_id,
-        F.element_at(F.split(F.get("aliases", F.lit(0)), " "), -1).alias("key"),
-        F.explode(F.array_distinct("blocks")).alias("block"),
+    exact, last = F.col("kind") == EXACT, F.col("kind") == LAST_WORD
+    best = found.groupBy(*mention_id).agg(
+        F.min(F.when(exact, F.col("candidate"))).alias("exact"),
+        F.min(F.when(last, F.col("candidate"))).alias("only"),
+        F.sum(F.when(last, F.col("n"))).alias("n"),
     )
-    single = (
-        spoken.join(last_word_counts(candidates, block, order, name), ["block", "key"])
-        .groupBy(*mention_id)
-        .agg(F.sum("n").alias("n"), F.min("candidate").alias("only"))
-        .where(F.col("n") == 1)
-    )
-    return (
-        named.select(*mention_id)
-        .join(exact, mention_id, "left")
-        .join(single.select(*mention_id, "only"), mention_id, "left")
-        .withColumn("found", F.coalesce("exact", "only"))
-        .select(*mention_id, *[F.col(f"found.{c}").alias(c) for c in order])
+    chosen = F.coalesce("exact", F.when(F.col("n") == 1, F.col("only")))
+    return best.withColumn("found", chosen).select(
+        *mention_id, *[F.col(f"found.{c}").alias(c) for c in order]
     )
