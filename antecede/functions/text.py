@@ -47,12 +47,16 @@ def _letter_groups() -> tuple[tuple[str, str], ...]:
 def normalize_text(value) -> Column:
     """Lower case, no accents, runs of anything but a-z and 0-9 become one space; never NULL."""
     source, target = _plain_letters()
-    text = F.translate(F.lower(as_col(value)), source, target)
     groups = dict(_letter_groups())
+    text = F.lower(as_col(value))
+    plain = F.translate(text, source, target)
+    plain = F.when(
+        plain.rlike("[" + "".join(groups) + "]"), _replace_all(plain, groups)
+    ).otherwise(plain)
+    # Plain ASCII, by far the most names, skips the letter tables.
     text = F.when(
-        text.rlike("[" + "".join(groups) + "]"), _replace_all(text, groups)
+        text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, r"\p{M}+", "")
     ).otherwise(text)
-    text = F.regexp_replace(text, r"\p{M}+", "")
     return F.coalesce(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), F.lit(""))
 
 

@@ -248,14 +248,15 @@ def appearance_table(
     aggregated pitchers of that side, so the raw rows are never joined.
     """
     keys = ["game_id", "inning_topbot", ENTITY]
-    first_row = F.struct(*order)
     side = F.lower(F.col("inning_topbot").cast("string"))
     score = F.when(side == "top", F.col("post_away_score")).otherwise(F.col("post_home_score"))
     thrown = row_flag("pitches")
-    details = ("game_date", "player_name", "home_team", "away_team", "p_throws")
+    # The earliest row and the earliest scored row, each as one value ordered by position.
+    position = F.struct(*order).alias("at")
+    details = F.struct("game_date", "player_name", "home_team", "away_team", "p_throws").alias("row")
+    scored = F.when(score.isNotNull(), F.struct(position, score.alias("score")))
     at_bats = pitches.groupBy(*keys, "at_bat_number").agg(
-        F.min(first_row).alias("first_row"),
-        F.min_by(F.struct(*details), first_row).alias("first"),
+        F.min(F.struct(position, details)).alias("first"),
         F.sum(thrown).alias("pitches_thrown"),
         F.sum(flag(F.col("events").isin(*K.STRIKEOUT_EVENTS))).alias("strikeouts"),
         F.sum(flag(F.col("events").isin(*K.HIT_EVENTS))).alias("hits"),
@@ -263,22 +264,18 @@ def appearance_table(
         F.count(F.lit(1)).alias("source_rows"),
         F.bool_or(F.coalesce(F.col("events") == K.TRUNCATED_EVENT, F.lit(False))).alias("truncated"),
         F.max(score).alias("top_score"),
-        F.min_by(score, F.when(score.isNotNull(), first_row)).alias("first_score"),
-        F.min(F.when(score.isNotNull(), first_row)).alias("first_score_row"),
+        F.min(scored).alias("first_score"),
     )
     people = at_bats.groupBy(*keys).agg(
-        F.min("first_row").alias("first_row"),
-        F.min_by("first", "first_row").alias("first"),
+        F.min("first").alias("first"),
         *[F.sum(c).alias(c) for c in ("pitches_thrown", "strikeouts", "hits", "walks", "source_rows")],
         F.count_if(~F.col("truncated") & F.col("at_bat_number").isNotNull()).alias("batters_faced"),
-        non_negative(
-            F.max("top_score") - F.min_by("first_score", "first_score_row")
-        ).alias("runs"),
+        non_negative(F.max("top_score") - F.min("first_score")["score"]).alias("runs"),
     )
     starters = people.where(F.col(ENTITY).isNotNull()).withColumn(
         "is_first",
-        F.col("first_row")
-        == F.min("first_row").over(Window.partitionBy("game_id", "inning_topbot")),
+        F.col("first.at")
+        == F.min("first.at").over(Window.partitionBy("game_id", "inning_topbot")),
     ).where("is_first")
     outs = inning_reconciliation(pitches, keys).select(
         *[F.col(c).alias(f"o_{c}") for c in keys], "outs_recorded"
@@ -286,14 +283,14 @@ def appearance_table(
     same = null_free_and([F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in keys])
     home = F.coalesce(side == "top", F.lit(False))
     return starters.join(outs, same, "left").select(
-        F.to_date("first.game_date").alias("game_date"),
+        F.to_date("first.row.game_date").alias("game_date"),
         "game_id",
         ENTITY,
-        F.col("first.player_name").alias("pitcher_name"),
-        F.when(home, F.col("first.home_team")).otherwise(F.col("first.away_team")).alias("team"),
-        F.when(home, F.col("first.away_team")).otherwise(F.col("first.home_team")).alias("opponent"),
+        F.col("first.row.player_name").alias("pitcher_name"),
+        F.when(home, F.col("first.row.home_team")).otherwise(F.col("first.row.away_team")).alias("team"),
+        F.when(home, F.col("first.row.away_team")).otherwise(F.col("first.row.home_team")).alias("opponent"),
         F.when(home, "home").otherwise("away").alias("home_away"),
-        F.col("first.p_throws").alias("pitcher_handedness"),
+        F.col("first.row.p_throws").alias("pitcher_handedness"),
         "pitches_thrown", "batters_faced", "strikeouts", "outs_recorded", "hits", "walks", "runs",
         "source_rows",
         F.lit(K.OUTS_METHOD).alias("outs_method"),

@@ -32,28 +32,37 @@ def flatten_odds(
 
     ``outcome_seq`` keeps the order inside the document. No shuffle.
     """
-    event = documents.select(F.from_json(column, ODDS_SCHEMA).alias("e"))
-    books = event.select("e", F.posexplode("e.bookmakers").alias("book_at", "b"))
-    quoted = books.select("e", "b", "book_at", F.posexplode("b.markets").alias("market_at", "m"))
-    quoted = quoted.where(F.col("m.key").isin(*markets))
-    rows = quoted.select("e", "b", "m", "book_at", "market_at", F.posexplode("m.outcomes").alias("at", "o"))
-    side = normalize_text("o.name")
-    kept = rows.where(
-        side.isin("over", "under")
-        & (F.col("o.description") != "")
-        & F.col("o.point").isNotNull()
-        & F.col("o.price").isNotNull()
+    # Each step keeps only the scalars still needed: an exploded row must not drag the whole
+    # document along.
+    event = documents.select(F.from_json(column, ODDS_SCHEMA).alias("e")).select(
+        F.col("e.id").alias("event_id"), "e.commence_time", "e.home_team", "e.away_team", "e.bookmakers"
     )
-    return kept.select(
-        F.col("e.id").alias("event_id"),
-        F.col("e.commence_time").alias("commence_time"),
-        F.col("e.home_team").alias("home_team"),
-        F.col("e.away_team").alias("away_team"),
+    scalars = ["event_id", "commence_time", "home_team", "away_team"]
+    books = event.select(*scalars, F.posexplode("bookmakers").alias("book_at", "b")).select(
+        *scalars,
+        "book_at",
         F.coalesce("b.title", "b.key", F.lit("UNKNOWN")).alias("sportsbook"),
         F.col("b.last_update").alias("bookmaker_last_update"),
+        F.col("b.markets").alias("markets"),
+    )
+    scalars += ["book_at", "sportsbook", "bookmaker_last_update"]
+    known = F.posexplode("markets").alias("market_at", "m")
+    quoted = books.select(*scalars, known).where(F.col("m.key").isin(*markets)).select(
+        *scalars,
+        "market_at",
         F.col("m.last_update").alias("market_last_update"),
         lookup(dict(markets), "m.key").alias("target"),
-        side.alias("side"),
+        F.col("m.outcomes").alias("outcomes"),
+    )
+    scalars += ["market_at", "market_last_update", "target"]
+    rows = quoted.select(*scalars, F.posexplode("outcomes").alias("at", "o")).where(
+        (F.col("o.description") != "") & F.col("o.point").isNotNull() & F.col("o.price").isNotNull()
+    )
+    return rows.withColumn("side", normalize_text("o.name")).where(
+        F.col("side").isin("over", "under")
+    ).select(
+        "event_id", "commence_time", "home_team", "away_team", "sportsbook", "bookmaker_last_update",
+        "market_last_update", "target", "side",
         F.col("o.description").alias("player_name"),
         F.col("o.point").alias("line"),
         F.rint("o.price").cast("bigint").alias("price"),
