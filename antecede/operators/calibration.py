@@ -62,11 +62,12 @@ def monotonicity_violations(
     The next line is taken from the whole table, so a key that lacks a line is compared with
     neither neighbour. A key has at most one row per line, which bounds the window.
     """
+    # The lines of a table are a short grid; Spark broadcasts them on their measured size.
     lines = rows.select(*by, "line").distinct()
     order = Window.partitionBy(*by).orderBy("line")
     spine = lines.withColumn("previous_line", F.lag("line").over(order))
     per_key = Window.partitionBy(*by, *key).orderBy("line")
-    stepped = rows.join(F.broadcast(spine), [*by, "line"]).select(
+    stepped = rows.join(spine, [*by, "line"]).select(
         *by,
         (
             F.col("previous_line").eqNullSafe(F.lag("line").over(per_key))

@@ -11,7 +11,7 @@ from antecede.functions import constants as K
 from antecede.functions.expr import clip_probability
 from antecede.functions.quantiles import BLOCKS, SKETCH_ACCURACY, exact_quantiles
 from antecede.functions.tails import dispersion, negative_binomial_over, poisson_over
-from antecede.session import stage
+from antecede.session import broadcast_if, has_few_groups, stage
 
 # Decimals at which a residual and a threshold count as equal.
 DIGITS = 9
@@ -63,8 +63,8 @@ def fit_dispersion(history: DataFrame, by: Sequence[str]) -> DataFrame:
 def negative_binomial_probabilities(
     points: DataFrame, history: DataFrame, by: Sequence[str], grids=K.LINE_GRID
 ) -> DataFrame:
-    # One row per fitted group (target and split).
-    fitted = F.broadcast(fit_dispersion(history, by))
+    # Staged, so the join is planned on its real size: one row per fitted group.
+    fitted = stage(fit_dispersion(history, by), "dispersion")
     rows = _with_lines(
         points.join(fitted, list(by)),
         grids,
@@ -99,7 +99,7 @@ def bin_of(prediction: str = "prediction") -> Column:
 
 
 def residual_counts(
-    history: DataFrame, by: Sequence[str], edges: DataFrame | None, min_size: int
+    history: DataFrame, by: Sequence[str], edges: DataFrame | None, min_size: int, small: bool
 ) -> DataFrame:
     """Distinct residuals per (group, bin) with counts. Every residual is in the bin of all
     rows; with ``edges`` also in its own bin, where that bin is large enough."""
@@ -110,7 +110,7 @@ def residual_counts(
     if edges is None:
         bins = F.array(everything)
     else:
-        rows = rows.join(F.broadcast(edges), list(by))
+        rows = rows.join(broadcast_if(small, edges), list(by))
         bins = F.array(everything, bin_of())
     counts = rows.select(*by, "value", F.explode(bins).alias("bin")).groupBy(*by, "bin", "value").agg(
         F.count(F.lit(1)).alias("n")
@@ -119,11 +119,12 @@ def residual_counts(
     sizes = counts.groupBy(*by, "bin").agg(F.sum("n").alias("bin_n")).where(
         (F.col("bin") == ALL_ROWS) | (F.col("bin_n") >= min_size)
     )
-    # One row per group and bin.
-    return stage(counts.join(F.broadcast(sizes), [*by, "bin"]), "residuals")
+    return stage(counts.join(broadcast_if(small, sizes), [*by, "bin"]), "residuals")
 
 
-def shares_above(counts: DataFrame, thresholds: DataFrame, key: Sequence[str]) -> DataFrame:
+def shares_above(
+    counts: DataFrame, thresholds: DataFrame, key: Sequence[str], small: bool
+) -> DataFrame:
     """Share of each group's counted values strictly above each distinct threshold.
 
     Values and thresholds are cut into the same ordered blocks. What lies in higher or lower
@@ -138,13 +139,13 @@ def shares_above(counts: DataFrame, thresholds: DataFrame, key: Sequence[str]) -
     )
     block = F.expr("size(filter(borders, b -> b < value))")
     # One row per group, each with a bounded list of borders.
-    values = counts.join(F.broadcast(borders), key).withColumn("block", block)
+    values = counts.join(broadcast_if(small, borders), key).withColumn("block", block)
     totals = values.groupBy(*key, "block").agg(F.sum("n").alias("block_n")).groupBy(*key).agg(
         F.collect_list(F.struct("block", "block_n")).alias("blocks"), F.sum("block_n").alias("total")
     )
     asked = (
         thresholds.select(*key, F.col("threshold").alias("value")).distinct()
-        .join(F.broadcast(borders.join(totals, key)), key)
+        .join(broadcast_if(small, borders.join(totals, key)), key)
         .withColumn("block", block)
     )
     lower = F.expr(
@@ -183,21 +184,22 @@ def empirical_probabilities(
     range, so the share of residuals above (line - prediction) is all that is needed.
     """
     by = list(by)
+    small = has_few_groups(history, by)
     edges = bin_edges(history, by, bins) if conditional else None
-    counts = residual_counts(history, by, edges, min_size)
+    counts = residual_counts(history, by, edges, min_size, small)
     rows = line_grid(points.where(F.col("prediction").isNotNull()), grids).withColumn(
         "threshold", F.round(F.col("line") - F.col("prediction"), DIGITS)
     )
     everything = F.lit(ALL_ROWS).cast("bigint")
     if conditional:
         large = counts.select(*by, "bin").distinct().withColumn("large", F.lit(True))
-        rows = rows.join(F.broadcast(edges), by, "left").withColumn("bin", bin_of())
-        rows = rows.join(F.broadcast(large), [*by, "bin"], "left").withColumn(
+        rows = rows.join(broadcast_if(small, edges), by, "left").withColumn("bin", bin_of())
+        rows = rows.join(broadcast_if(small, large), [*by, "bin"], "left").withColumn(
             "bin", F.when(F.col("large"), F.col("bin")).otherwise(everything)
         )
     else:
         rows = rows.withColumn("bin", everything)
-    shares = shares_above(counts.drop("bin_n"), rows.select(*by, "bin", "threshold"), [*by, "bin"])
+    shares = shares_above(counts.drop("bin_n"), rows.select(*by, "bin", "threshold"), [*by, "bin"], small)
     return rows.join(shares, [*by, "bin", "threshold"], "left").select(
         *points.columns,
         "line",
@@ -240,7 +242,7 @@ def expanding_folds(points: DataFrame, first: int | None = None) -> tuple[DataFr
     folds = seasons.select(F.col("season").alias("fold"))
     if first is not None:
         folds = folds.where(F.col("fold") >= first)
-    # One row per pair of seasons.
+    # At most one row per pair of seasons, and a season is a year.
     pairs = folds.join(seasons, F.col("season") < F.col("fold"))
     history = points.join(F.broadcast(pairs), "season")
     valid = points.join(F.broadcast(pairs.select("fold").distinct()), F.col("season") == F.col("fold"))

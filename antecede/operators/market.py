@@ -214,8 +214,13 @@ def pair_sides(
 
 
 def board(rows: DataFrame) -> DataFrame:
-    """Exact duplicates removed, in reading order."""
-    return rows.dropDuplicates().orderBy("pitcher_name", "target", "line", "sportsbook")
+    """Exact duplicates removed, in reading order.
+
+    The other columns break ties, so that a player with most of the rows still spreads over
+    several sort ranges.
+    """
+    first = ["pitcher_name", "target", "line", "sportsbook"]
+    return rows.dropDuplicates().orderBy(*first, *[c for c in rows.columns if c not in first])
 
 
 def latest_quotes(history: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

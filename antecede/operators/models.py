@@ -100,22 +100,28 @@ def preparation(train: DataFrame, columns: Sequence[str], scale: bool) -> list[T
 
 # --- estimators -----------------------------------------------------------------------------------
 
-def ridge(label: str, rows: int):
-    """Squared error plus alpha times squared weights; Spark's objective is per row."""
+def ridge(label: str, rows: int, mean: float, spread: float):
+    """Squared error plus alpha times squared weights.
+
+    Spark averages the error over rows and measures the label in units of its spread, so the
+    published alpha is converted to those units.
+    """
     return LinearRegression(
-        featuresCol="inputs", labelCol=label, elasticNetParam=0.0, regParam=RIDGE_ALPHA / rows,
+        featuresCol="inputs", labelCol=label, elasticNetParam=0.0, regParam=RIDGE_ALPHA / rows * (spread or 1.0),
         standardization=False, solver="normal",
     )
 
 
-def poisson(label: str, rows: int):
+def poisson(label: str, rows: int, mean: float, spread: float):
+    """Log-link Poisson regression. Spark weighs each step's penalty against the sum of the
+    fitted means; their average is the label mean, which converts the published alpha."""
     return GeneralizedLinearRegression(
-        featuresCol="inputs", labelCol=label, family="poisson", link="log", regParam=POISSON_ALPHA,
-        maxIter=100,
+        featuresCol="inputs", labelCol=label, family="poisson", link="log",
+        regParam=POISSON_ALPHA / (mean or 1.0), maxIter=100,
     )
 
 
-def boosted_trees(label: str, rows: int, rounds: int = TREE_ROUNDS):
+def boosted_trees(label: str, rounds: int = TREE_ROUNDS):
     return GBTRegressor(
         featuresCol="inputs", labelCol=label, maxIter=rounds, stepSize=TREE_RATE, maxDepth=TREE_DEPTH, seed=SEED,
         checkpointInterval=10,
@@ -130,13 +136,13 @@ def fit(
     known = train.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
     stages = preparation(known, columns, scale=model in ("ridge", "poisson"))
     ready = PipelineModel(stages=stages).transform(known).select("inputs", "label").persist()
-    rows = ready.count()
-    if model == "ridge":
-        estimator = ridge("label", rows)
-    elif model == "poisson":
-        estimator = poisson("label", rows)
+    if model in ("ridge", "poisson"):
+        size = ready.agg(
+            F.count("label").alias("rows"), F.avg("label").alias("mean"), F.stddev_pop("label").alias("spread")
+        ).first().asDict()
+        estimator = (ridge if model == "ridge" else poisson)("label", **size)
     elif model == "boosted_trees":
-        estimator = boosted_trees("label", rows, rounds)
+        estimator = boosted_trees("label", rounds)
     else:
         raise ValueError(f"unknown model: {model}")
     fitted = estimator.fit(ready)

@@ -204,7 +204,7 @@ def score_pivot(scores: DataFrame, column: str, values: Sequence[str]) -> DataFr
 
 
 def winners_only(predictions: DataFrame, winners: DataFrame) -> DataFrame:
-    # One row per target.
+    # One row per target of a fixed, short target list.
     return predictions.join(
         F.broadcast(winners.select("target", "model")), ["target", "model"], "left_semi"
     )

@@ -1,0 +1 @@
+"""Scans, sinks and nested documents."""

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 def write_seasons(df: DataFrame, path: str, partition: str = "season") -> None:
     """One folder per season; only the seasons present are replaced.
 
-    Rows are split by season and by a hash of the row, so a season that holds most of the data
-    is still written by many tasks. The commit protocol makes the replacement atomic.
+    The rebalance hint sizes the write tasks at run time: a season that holds most of the data
+    is split over many files, small seasons are not scattered. The commit protocol makes the
+    replacement atomic.
     """
-    others = [c for c in df.columns if c != partition]
-    spread = F.pmod(F.xxhash64(*others), F.lit(16))
     (
-        df.repartition(F.col(partition), spread)
+        df.hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)

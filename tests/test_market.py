@@ -141,3 +141,17 @@ def test_pairs_match_in_either_order(spark):
     events = spark.createDataFrame([("X", "Y"), ("Y", "Z"), (None, "X")], "home string, away string")
     slate = spark.createDataFrame([("Y", "X"), ("X", "Y")], "team string, opponent string")
     assert [tuple(r) for r in M.unordered_pair_join(events, slate, ("home", "away"), ("team", "opponent")).collect()] == [("X", "Y")]
+
+
+def test_streamed_captures_append_once(spark, tmp_path):
+    from antecede import streaming
+
+    source, sink, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    schema = "pitcher_mlbam_id long, line double, over_odds int, day date, seq long"
+    key, order = ["pitcher_mlbam_id", "line"], ["seq", "over_odds"]
+    for seq, odds in ((1, -110), (2, -120)):
+        spark.sql(f"select 7L pitcher_mlbam_id, 1.5D line, {odds} over_odds, date'2024-04-01' day, {seq}L seq").write.mode("append").parquet(source)
+        streaming.append_captures(streaming.read_captures(spark, source, schema), sink, marks, "day").awaitTermination()
+    history = spark.read.parquet(sink)
+    assert history.count() == 2
+    assert streaming.current_board(history, key, order).first()["over_odds"] == -120
