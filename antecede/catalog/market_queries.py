@@ -458,12 +458,9 @@ def starters(t):
 
 
 def matched_outcomes(t):
-    outcomes = payloads.flatten_odds(documents(t)).withColumns(
-        {"home": T.team_code("home_team"), "away": T.team_code("away_team")}
-    )
-    outcomes = stage(outcomes, "outcomes")
+    outcomes = stage(payloads.flatten_odds(documents(t)), "outcomes")
     people = starters(t)
-    mentions = outcomes.select("event_id", "player_name", F.array("home", "away").alias("teams")).distinct()
+    mentions = outcomes.select("event_id", "player_name", F.array("home_code", "away_code").alias("teams")).distinct()
     matched = match_names(
         mentions, people, ["event_id", "player_name"], "player_name", "teams", "team",
         ["pitcher_mlbam_id", "pitcher_name", "team"], "pitcher_name",

@@ -55,8 +55,12 @@ def scores(t):
     return S.point_scores(t.predictions)
 
 
+def staged_scores(t):
+    return S.point_scores(t.forecasts)
+
+
 def dev_scores(t):
-    return scores(t).where(~F.col("split").startswith("holdout"))
+    return staged_scores(t).where(~F.col("split").startswith("holdout"))
 
 
 def winners(t):
@@ -179,7 +183,7 @@ part("bucket_rows", """SELECT won.target, won.model, won.split, prediction - act
       {r('avg(e)')} AS bias, count(*) AS n FROM bucket_rows GROUP BY target, model, split, {b}"""
     for b in ("season", "pitcher_handedness", "projection_tier", "experience_bucket")), "bucket_rows"))
 def bucketed_errors(t):
-    won = S.winners_only(t.predictions, winners(t))
+    won = S.winners_only(t.forecasts, winners(t))
     return rounded(D.bucketed_errors(won, t.score_rows))
 
 
@@ -195,7 +199,7 @@ def bucketed_errors(t):
   JOIN {quantile_sql('residuals', 'target, model, split', 'e', 0.95)} b USING (target, model, split)""", "predictions").replace(
     "\nSELECT x.target", ", residuals AS (SELECT *, prediction - actual AS e FROM predictions)\nSELECT x.target", 1))
 def residual_summary(t):
-    return rounded(D.residual_summary(t.predictions))
+    return rounded(D.residual_summary(t.forecasts))
 
 
 LAST = "train_1995_1999_validate_2000"
@@ -205,7 +209,7 @@ LAST = "train_1995_1999_validate_2000"
   {r('h.mae - v.mae')} AS gap, {r('(h.mae - v.mae) / v.mae * 100')} AS gap_pct
   FROM scores v JOIN scores h USING (target, model) WHERE v.split = '{LAST}' AND h.split LIKE 'holdout%'""", "scores"))
 def overfit_gap(t):
-    all_scores = scores(t)
+    all_scores = staged_scores(t)
     holdout = all_scores.where(F.col("split").startswith("holdout"))
     return rounded(D.overfit_gap(all_scores, holdout, LAST))
 
@@ -228,5 +232,5 @@ def family_deltas(t):
   FROM won""", "won"))
 def oos_residuals(t):
     """Out-of-sample residuals of the winners, all validation seasons and the holdout."""
-    won = S.winners_only(t.predictions, winners(t))
+    won = S.winners_only(t.forecasts, winners(t))
     return won.select(*S.PREDICTION_KEYS, "target", (F.col("actual") - F.col("prediction")).alias("residual"))

@@ -180,6 +180,11 @@ class Tables:
     def predictions(self) -> DataFrame:
         return S.closed_form_predictions(self.score_rows, self.splits, MODELS)
 
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        """The predictions as a written table, for jobs that read them several times."""
+        return stage(self.predictions, "predictions")
+
     @cached_property
     def points(self) -> DataFrame:
         """Out-of-sample forecasts of the two priced targets from one model, as a written table:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from antecede.functions import constants as K
 from antecede.functions.expr import lookup
-from antecede.functions.text import last_first, normalize_text
+from antecede.functions.text import last_first, normalize_text, team_code
 
 ODDS_SCHEMA = """
 struct<id: string, commence_time: string, home_team: string, away_team: string,
@@ -30,14 +30,15 @@ def flatten_odds(
 ) -> DataFrame:
     """One row per over/under outcome of a known market that has player, point and price.
 
-    ``outcome_seq`` keeps the order inside the document. No shuffle.
+    ``outcome_seq`` keeps the order inside the document; team codes are found once per document,
+    before it is exploded. No shuffle.
     """
     # Each step keeps only the scalars still needed: an exploded row must not drag the whole
     # document along.
     event = documents.select(F.from_json(column, ODDS_SCHEMA).alias("e")).select(
         F.col("e.id").alias("event_id"), "e.commence_time", "e.home_team", "e.away_team", "e.bookmakers"
-    )
-    scalars = ["event_id", "commence_time", "home_team", "away_team"]
+    ).withColumns({"home_code": team_code("home_team"), "away_code": team_code("away_team")})
+    scalars = ["event_id", "commence_time", "home_team", "away_team", "home_code", "away_code"]
     books = event.select(*scalars, F.posexplode("bookmakers").alias("book_at", "b")).select(
         *scalars,
         "book_at",
@@ -61,7 +62,8 @@ def flatten_odds(
     return rows.withColumn("side", normalize_text("o.name")).where(
         F.col("side").isin("over", "under")
     ).select(
-        "event_id", "commence_time", "home_team", "away_team", "sportsbook", "bookmaker_last_update",
+        "event_id", "commence_time", "home_team", "away_team", "home_code", "away_code",
+        "sportsbook", "bookmaker_last_update",
         "market_last_update", "target", "side",
         F.col("o.description").alias("player_name"),
         F.col("o.point").alias("line"),
