@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from antecede.llm import exact_dedup, language, quality, secret_scan, toxicity
+from antecede.llm import exact_dedup, language, minhash, quality, secret_scan, toxicity
 from antecede.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -51,3 +51,32 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
+
+
+@query("op1_minhash", """
+WITH tokens AS (
+    SELECT doc_id, list_filter(
+        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+        lambda x: x <> '') AS t
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN [t[1]]
+        ELSE list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) END) AS s
+    FROM tokens
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+    SELECT a.doc_id AS u, b.doc_id AS v
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+    WITH RECURSIVE r(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM r JOIN links l ON r.v = l.u)
+    SELECT u, min(v) AS v FROM r GROUP BY u
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.v, d.doc_id)) AS component_id,
+    least(d.doc_id, coalesce(r.v, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.u = d.doc_id
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), size=2)
