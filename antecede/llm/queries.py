@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from antecede.llm import exact_dedup, language, minhash, quality, secret_scan, toxicity
+from antecede.llm import exact_dedup, language, line_dedup, minhash, quality, secret_scan, toxicity
 from antecede.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -80,3 +80,38 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.u = d.d
 """)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), size=2)
+
+
+@query("op7_line_dedup", r"""
+WITH l AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place
+    FROM documents WHERE text IS NOT NULL
+), h AS (
+    SELECT doc_id, place, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS hash,
+        len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50 AS long,
+        count(*) OVER (PARTITION BY line) > 1 AS known
+    FROM l
+), e AS (
+    SELECT *, coalesce(known <> lead(known) OVER w OR long OR lead(long) OVER w
+        OR (coalesce(lag(hash) OVER w % 1000003, 0) * 31 + hash % 1000003) % 8 = 0, true) AS ends
+    FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+), n AS (
+    SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+    FROM e
+), c AS (
+    SELECT doc_id, part, min(place) AS start, count(*) AS size, string_agg(line, chr(10) ORDER BY place) AS bytes
+    FROM n GROUP BY doc_id, part HAVING bool_and(known) AND (count(*) > 1 OR bool_or(long))
+), g AS (
+    SELECT doc_id, part, size, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, start) > 1 AS gone FROM c
+), r AS (SELECT doc_id, part, size FROM g WHERE gone),
+t AS (
+    SELECT n.doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE r.part IS NULL), '') AS text, count(*) AS n_lines,
+        count(r.part) AS removed_lines, count(DISTINCT r.part) AS removed_chunks
+    FROM n LEFT JOIN r ON n.doc_id = r.doc_id AND n.part = r.part GROUP BY n.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_chunks, 0) AS removed_chunks,
+    coalesce(removed_lines, 0) AS removed_lines, t.text
+FROM documents d LEFT JOIN t USING (doc_id)
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, folder, "documents")).drop("row")
