@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from antecede.llm import exact_dedup, language, line_dedup, minhash, quality, secret_scan, toxicity
+from antecede.llm import decontaminate, exact_dedup, language, line_dedup, minhash, quality, secret_scan, toxicity
 from antecede.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -115,3 +115,8 @@ FROM documents d LEFT JOIN t USING (doc_id)
 """)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, folder, "documents")).drop("row")
+
+
+@query("op3_decontaminate")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
