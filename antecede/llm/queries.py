@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from antecede.llm import decontaminate, exact_dedup, language, line_dedup, minhash, quality, secret_scan, toxicity
+from antecede.llm import decontaminate, exact_dedup, language, line_dedup, minhash, mixing, quality, secret_scan, toxicity
 from antecede.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -120,3 +120,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_decontaminate")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
