@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from antecede.llm import decontaminate, exact_dedup, language, line_dedup, minhash, mixing, quality, secret_scan, toxicity
+from antecede.llm import decontaminate, exact_dedup, language, line_dedup, minhash, mixing, quality, secret_scan, toxicity, warc
 from antecede.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -125,3 +125,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_mixing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest)
+""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.convert(table(spark, folder, "pages"))

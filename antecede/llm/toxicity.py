@@ -240,6 +240,11 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
+def calibrated(against: np.ndarray, model: Model) -> np.ndarray:
+    slope, level = model.curve
+    return 1 / (1 + np.exp(-np.clip(slope * np.log(np.maximum(against, 0.0) + FLOOR) + level, -35, 35)))
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
@@ -267,9 +272,8 @@ def tag(docs: DataFrame, model: Model, raw: bool = False) -> DataFrame:
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        slope, level = model.curve
         for batch in batches:
-            scores, spans = np.zeros(batch.num_rows), []
+            scores, spans = np.zeros(batch.num_rows), []  # the evidence at first
             for piece in slices(batch.column(1)):
                 found, marginal, against = harm(piece, model)
                 scores[piece.first : piece.last] = np.maximum(against, 0.0)
@@ -277,7 +281,7 @@ def tag(docs: DataFrame, model: Model, raw: bool = False) -> DataFrame:
                 suspect[np.searchsorted(found.bounds, np.flatnonzero(marginal >= 0.5), "right") - 1] = True
                 spans += [spans_of(piece, found, marginal, d) if s else [] for d, s in enumerate(suspect)]
             if not raw:
-                scores = 1 / (1 + np.exp(-np.clip(slope * np.log(scores + FLOOR) + level, -35, 35)))
+                scores = calibrated(scores, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, SPANS)], ["doc_id", "score", "spans"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
@@ -292,3 +296,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
         "doc_id", in_fold("doc_id", PARTS, FOLD).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans",
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score is below the threshold, all columns as they were; nothing is shuffled."""
+    model = fit(labelled_sample(docs, labels, "toxic", PARTS, FOLD, fit_rows))
+    shared, at = docs.sparkSession.sparkContext.broadcast(tuple(model)), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for batch in batches:
+            scores = np.zeros(batch.num_rows)
+            for piece in slices(batch.column(at)):
+                scores[piece.first : piece.last] = calibrated(harm(piece, model)[2], model)
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
