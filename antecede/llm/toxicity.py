@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from antecede.llm.common import in_fold, labelled_sample, stage
 from antecede.llm.tokens import CLASSES, Slice, Words, mix, prefixes, slices, words
 
-BITS, FIT_ROWS, SHARDS, ROUNDS = 18, 12_000, 4, 2
+BITS, FIT_ROWS, SHARDS, ROUNDS, PASSES = 18, 8_000, 4, 2, 3
 SHARE, LIFT, LEAST = 0.01, 20.0, 3
-RATE, BEGINNINGS, MINIBATCH = 0.3, (4, 5), 64 << 10
+RATE, BEGINNINGS, MINIBATCH = 0.3, (4, 5), 16 << 10
 PARTS, FOLD, THRESHOLD = 5, 0, 0.5
 FLOOR = 1e-9
 
@@ -92,40 +92,50 @@ def evidence_index(piece: Slice, found: Words) -> np.ndarray:
 
 
 def forward_backward(log_odds: np.ndarray, moves: np.ndarray, at: Chains):
-    """Marginal of the toxic tag per token, log probability of an all-harmless sentence, expected moves."""
-    n, toxic = len(log_odds), np.exp(np.clip(log_odds, -30, 30))
-    t = np.exp(moves)
-    ahead, back, log_z = np.zeros((2, n)), np.ones((2, n)), np.zeros(len(at.start))
-    longest = int(at.size[0]) if len(at.size) else 0
-    active = np.searchsorted(-at.size, -np.arange(longest), "left")  # sentences longer than step
-    for step in range(longest):
-        k = active[step]
-        here = at.start[:k] + step
-        if step:
-            a0, a1 = ahead[0, here - 1], ahead[1, here - 1]
-            u0, u1 = a0 * t[0, 0] + a1 * t[1, 0], (a0 * t[0, 1] + a1 * t[1, 1]) * toxic[here]
-        else:
-            u0, u1 = np.full(k, t[0, 0]), t[0, 1] * toxic[here]  # a sentence begins as if after a harmless token
-        total = u0 + u1
-        ahead[0, here], ahead[1, here] = u0 / total, u1 / total
-        log_z[:k] += np.log(total)
+    """Marginal of the toxic tag per token, log probability of an all-harmless sentence, expected moves.
+
+    Tokens are laid out by their place in the sentence, longest sentences first, so that a step works on one range of
+    an array. A sentence begins as if after a harmless token.
+    """
+    n, (t00, t01), (t10, t11) = len(log_odds), *np.exp(moves)
+    if not n:
+        return np.zeros(0), np.zeros(0), np.zeros((2, 2))
+    longest = int(at.size[0])
+    active = np.searchsorted(-at.size, -np.arange(longest), "left")  # sentences longer than the step
+    offset = np.concatenate([[0], np.cumsum(active)])
+    layout = np.concatenate([at.start[:k] + step for step, k in enumerate(active)])
+    toxic = np.exp(np.clip(log_odds, -30, 30))[layout]
+    ahead, total, back = np.empty(n), np.empty(n), np.full(n, 0.5)  # shares of the toxic tag, and scale factors
+    p = np.zeros(active[0])
+    for step, k in enumerate(active):
+        own = slice(offset[step], offset[step] + k)
+        p = p[:k]
+        u1 = (t01 + (t11 - t01) * p) * toxic[own]
+        whole = t00 + (t10 - t00) * p + u1
+        p = u1 / whole
+        ahead[own], total[own] = p, whole
     for step in range(longest - 2, -1, -1):
-        here = at.start[: active[step + 1]] + step
-        b0, b1 = back[0, here + 1], back[1, here + 1] * toxic[here + 1]
-        u0, u1 = t[0, 0] * b0 + t[0, 1] * b1, t[1, 0] * b0 + t[1, 1] * b1
-        total = u0 + u1
-        back[0, here], back[1, here] = u0 / total, u1 / total
+        k = active[step + 1]
+        later = slice(offset[step + 1], offset[step + 1] + k)
+        harmless, harmful = 1.0 - back[later], toxic[later] * back[later]
+        u1 = t10 * harmless + t11 * harmful
+        back[offset[step] : offset[step] + k] = u1 / (u1 + t00 * harmless + t01 * harmful)
     joint = ahead * back
-    marginal = joint[1] / np.maximum(joint.sum(axis=0), 1e-300)
-    inner = np.ones(n, bool)
-    inner[at.start] = False
-    later = np.flatnonzero(inner)
+    share = joint / (joint + (1.0 - ahead) * (1.0 - back))
+    log_z = np.bincount(np.concatenate([np.arange(k) for k in active]), np.log(total), len(at.start))
     expected = np.zeros((2, 2))
-    if len(later):
-        cells = np.array([[ahead[i, later - 1] * t[i, j] * (toxic[later] if j else 1.0) * back[j, later] for j in (0, 1)] for i in (0, 1)])
+    if longest > 1:
+        own = np.arange(offset[1], n)
+        before = np.concatenate([np.arange(k) + offset[step] for step, k in enumerate(active[1:])])
+        cells = np.array([
+            [(1 - ahead[before]) * t00 * (1 - back[own]), (1 - ahead[before]) * t01 * toxic[own] * back[own]],
+            [ahead[before] * t10 * (1 - back[own]), ahead[before] * t11 * toxic[own] * back[own]],
+        ])
         expected = (cells / cells.sum(axis=(0, 1))).sum(axis=2)
-    expected[0, 1] += marginal[at.start].sum()
-    expected[0, 0] += len(at.start) - marginal[at.start].sum()
+    first = share[: active[0]].sum()
+    expected[0] += len(at.start) - first, first
+    marginal = np.empty(n)
+    marginal[layout] = share
     return marginal, at.size * moves[0, 0] - log_z, expected
 
 
@@ -151,15 +161,18 @@ def step(piece: Slice, labels: np.ndarray, seeds: np.ndarray, weights, moves, se
     tag &= (found.kind == 1) & np.repeat(labels == 1, np.diff(found.bounds))
     marginal, _, expected = forward_backward(log_odds_of(index, weights), moves, at)
     gap = tag - marginal
-    slope = np.bincount(index.ravel(), np.repeat(gap, index.shape[1]), len(weights))
-    slope[-1] = gap.sum()
+    used, place = np.unique(index, return_inverse=True)
+    slope = np.append(np.bincount(place.ravel(), np.repeat(gap, index.shape[1]), len(used)), gap.sum())
+    used = np.append(used, len(weights) - 1)
     before = np.zeros(len(tag), np.int64)
     before[1:] = tag[:-1]
     before[at.start] = 0
     actual = np.bincount(before * 2 + tag, minlength=4).reshape(2, 2)
-    for value, change, seen in ((weights, slope, seen_w), (moves, actual - expected, seen_m)):
-        seen += change * change
-        value += RATE * change / (np.sqrt(seen) + 1e-8)
+    seen_w[used] += slope * slope
+    weights[used] += RATE * slope / (np.sqrt(seen_w[used]) + 1e-8)
+    change = actual - expected
+    seen_m += change * change
+    moves += RATE * change / (np.sqrt(seen_m) + 1e-8)
     moves -= moves[0, 0]
 
 
@@ -197,7 +210,7 @@ def seed_words(sample: DataFrame, share: float, lift: float) -> np.ndarray:
     return np.array([r["word"] for r in found.select("word").collect()], np.int64).view(np.uint64)
 
 
-def fit(sample: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Model:
+def fit(sample: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, passes: int = PASSES) -> Model:
     """Model from (doc_id, text, y) rows of bounded number."""
     size = (1 << BITS) + 1
     sample = stage(
@@ -217,8 +230,10 @@ def fit(sample: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Model:
             group = group.sort_values(["order", "doc_id"])
             w, m, y = shared.value[0].copy(), shared.value[1].copy(), group["y"].to_numpy()
             seen_w, seen_m = np.full(size, 1e-2), np.full((2, 2), 1.0)
-            for piece in slices(pa.array(group["text"], pa.large_string()), size=MINIBATCH):
-                step(piece, y[piece.first : piece.last], seeds, w, m, seen_w, seen_m)
+            texts = pa.array(group["text"], pa.large_string())
+            for _ in range(passes):
+                for piece in slices(texts, size=MINIBATCH):
+                    step(piece, y[piece.first : piece.last], seeds, w, m, seen_w, seen_m)
             return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "m": [m.tobytes()]})
 
         runs = sample.groupBy("shard").applyInPandas(train, "w binary, m binary").collect()
