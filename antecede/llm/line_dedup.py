@@ -75,8 +75,9 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSA
         .select(*KEY, "place", number(line).alias("hash"), long.alias("long")),
         "lines",
     )
-    # Rows equal in id and text are one document: identical lines at one place count once.
-    counted = lines.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.lit(True).alias("known"))
+    # Known from elsewhere means at two places; rows equal in id and text are one document and have the same places.
+    at = F.struct(*KEY, "place")
+    counted = lines.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("hash", F.lit(True).alias("known"))
     gathered = (
         lines.join(counted, "hash", "left")
         .withColumn("known", F.coalesce("known", F.lit(False)))
