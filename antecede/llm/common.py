@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from antecede.session import stage
 
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,12 +45,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``rows`` ids
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Skips empty batches."""
-    return (batch for batch in batches if batch.num_rows)
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes: ten thousand long texts in one batch would not fit a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
 
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "in_fold", "labelled_sample", "remainder", "rows_of", "stage", "table"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "in_fold", "labelled_sample", "map_batches", "remainder", "stage", "table"]

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from antecede.llm.common import map_batches
 from antecede.llm.tokens import CLASSES, mix, slices, words
 
 SEGMENT, PASSAGE, SHINGLE = 64, 128, 5
@@ -234,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
                     ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(search, schema)
+        found = map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), search, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -252,5 +253,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 clean[[m[0] for m in matches(index, batch.column(at), threshold, limit)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = map_batches(docs, keep, docs.schema)
     return docs

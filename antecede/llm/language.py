@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.common import in_fold, remainder
+from antecede.llm.common import in_fold, map_batches, remainder
 
 DICTIONARY, BLOCK, FIT_ROWS, MARGIN = 64 << 10, 8 << 10, 200, 0.02
 LEVEL, SHORTEST_MATCH, SHORT = 6, 3, 512
@@ -90,8 +90,8 @@ def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN)
                 ["doc_id", "lang_pred", "score", "accepted"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        predict, "doc_id bigint, lang_pred string, score double, accepted boolean"
+    return map_batches(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), predict, "doc_id bigint, lang_pred string, score double, accepted boolean"
     )
 
 

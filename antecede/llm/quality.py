@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import in_fold, labelled_sample
+from antecede.llm.common import in_fold, labelled_sample, map_batches
 from antecede.llm.tokens import CLASSES, Slice, mix, pairs, slices, words
 
 BITS, FIT_ROWS, SHARDS, EPOCHS = 18, 20_000, 4, 3
@@ -118,7 +118,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 out[piece.first : piece.last] += np.bincount(doc, w[index] * value, piece.last - piece.first)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(out))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scored, "doc_id bigint, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), scored, "doc_id bigint, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from antecede.llm.common import map_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MIN_RUN, MAX_RATIO = 20, 2.0
 KINDS = ("assign", "access", "hex", "token")
@@ -106,4 +108,4 @@ def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = MA
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans"])
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)
+    return map_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text"), scan, SCHEMA)

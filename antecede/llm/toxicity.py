@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import in_fold, labelled_sample, stage
+from antecede.llm.common import in_fold, labelled_sample, map_batches, stage
 from antecede.llm.tokens import CLASSES, Slice, Words, mix, prefixes, slices, words
 
 BITS, FIT_ROWS, SHARDS, ROUNDS, PASSES = 18, 8_000, 4, 2, 3
@@ -201,7 +201,7 @@ def seed_words(sample: DataFrame, share: float, lift: float) -> np.ndarray:
     if not toxic:
         return np.zeros(0, np.uint64)
     other = max(1, rows - toxic)
-    counts = sample.select("text", "y").mapInArrow(counted, "word bigint, toxic bigint, other bigint")
+    counts = map_batches(sample.select("text", "y"), counted, "word bigint, toxic bigint, other bigint")
     totals = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     found = totals.where(
         (F.col("toxic") >= max(LEAST, share * toxic))
@@ -299,8 +299,8 @@ def tag(docs: DataFrame, model: Model, raw: bool = False) -> DataFrame:
                 scores = calibrated(scores, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, SPANS)], ["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        tagged, "doc_id bigint, score double, spans array<struct<start:bigint,end:bigint,score:double>>"
+    return map_batches(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), tagged, "doc_id bigint, score double, spans array<struct<start:bigint,end:bigint,score:double>>"
     )
 
 
@@ -326,4 +326,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
                 scores[piece.first : piece.last] = calibrated(harm(piece, model)[2], model)
             yield batch.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antecede.llm.common import stage
+from antecede.llm.common import map_batches, stage
 from antecede.session import scratch_path
 
 ARCHIVE_BYTES, RECORDS, LEAST = 1 << 20, 20_000, 1000
@@ -122,7 +122,7 @@ def arc_archives(pages: DataFrame, size: int = ARCHIVE_BYTES) -> DataFrame:
         if held:
             yield flush()
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(pack, "archive string, content binary")
+    return map_batches(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"), pack, "archive string, content binary")
 
 
 RECORD = pa.schema([
@@ -149,8 +149,8 @@ def arc_records(archives: DataFrame, payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RECORD)], schema=RECORD)
 
-    return archives.select("content").mapInArrow(
-        unpack, "page_id bigint, uri string, date string, http string, payload string, digest binary, payload_bytes bigint"
+    return map_batches(
+        archives.select("content"), unpack, "page_id bigint, uri string, date string, http string, payload string, digest binary, payload_bytes bigint"
     )
 
 
@@ -191,7 +191,7 @@ def write_warc(records: DataFrame, kept: DataFrame, path: str) -> None:
 
     joined = records.join(kept, "digest", "left").select("page_id", "uri", "date", "http", "payload", "digest", "keeper")
     (
-        joined.mapInArrow(render, "value string").write.option("lineSep", END).option("compression", "gzip")
+        map_batches(joined, render, "value string").write.option("lineSep", END).option("compression", "gzip")
         .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path)
     )
 
@@ -248,7 +248,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "page_id bigint, record_id string, record_type string, refers_to_id string, payload_digest string, payload_bytes bigint, payload string"
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, schema)
+    return map_batches(spark.read.format("binaryFile").load(path).select("content"), unpack, schema)
 
 
 def convert(pages: DataFrame, path: str | None = None) -> DataFrame:
