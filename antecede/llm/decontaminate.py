@@ -4,8 +4,9 @@ The index holds the benchmark, not the corpus. Items are cut into segments of at
 carries its BM25 share: the term's BM25 weight in the segment over the weight of all the segment's terms, so one
 threshold fits short and long items. Postings lie in blocks with their largest share.
 
-A document is cut into overlapping passages of ``PASSAGE`` words. Passages whose terms cannot reach the threshold anywhere are
-skipped at once; the others run block-max WAND: cursors sorted by segment, the pivot where the list maxima reach the
+A document is cut into overlapping passages of ``PASSAGE`` words. Terms with long posting lists are common; what they can
+add to a segment is known beforehand, so the short lists alone show for all passages of a slice at once which of them can reach
+the threshold somewhere. These run block-max WAND: cursors sorted by segment, the pivot where the list maxima reach the
 threshold, a look at the block maxima before any posting is read, skips past blocks that cannot reach it. Every segment
 at or above the threshold is retrieved; there is no top-k. A retrieved item is then verified against the whole document: the
 shares of the word shingles of its question (all but the last sentence) and of its answer (the last sentence, or the last
@@ -35,9 +36,9 @@ from antecede.llm.common import map_batches
 from antecede.llm.tokens import CLASSES, mix, slices, words
 
 SEGMENT, PASSAGE, SHINGLE = 64, 128, 5
-THRESHOLD, OVERLAP = 0.6, 0.8
+THRESHOLD, OVERLAP = 0.7, 0.8
 K1, B = 1.2, 0.75
-POSTINGS_PER_BLOCK, PART_BYTES = 32, 8 << 20
+POSTINGS_PER_BLOCK, SHORT_LIST, PART_BYTES = 32, 8, 8 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
 
@@ -56,6 +57,8 @@ class Index(NamedTuple):
     ids: list
     questions: list
     answers: list
+    common: np.ndarray  # most that the terms with long lists add to each segment
+    short: np.ndarray  # whether a term's list is short
 
 
 def shingles(hashed: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -79,7 +82,8 @@ def text_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
             yield found.hash[own], after
 
 
-def build(ids: list, texts: list[str | None], segment: int = SEGMENT) -> Index:
+def build(ids: list, texts: list[str | None], segment: int = SEGMENT, limit: float = 0.7 * THRESHOLD) -> Index:
+    """Index of the items; common terms alone give every segment less than ``limit``."""
     items, bags, questions, answers = [], [], [], []
     for row, (hashed, after) in enumerate(text_words(texts)):
         cuts = np.flatnonzero(after)
@@ -106,7 +110,14 @@ def build(ids: list, texts: list[str | None], segment: int = SEGMENT) -> Index:
     shares, segments = share[order], where[order]
     best = np.maximum.reduceat(shares, at[:-1]) if len(terms) else shares
     blocks = [np.maximum.reduceat(shares[a:b], np.arange(0, b - a, POSTINGS_PER_BLOCK)) for a, b in zip(at, at[1:])]
-    return Index(terms, at, segments, shares, best, blocks, np.array(items, np.int64), ids, questions, answers)
+    length = np.diff(at) if len(terms) else np.zeros(0, np.int64)
+    longest = SHORT_LIST  # doubled until no segment reaches the threshold by common terms alone
+    while True:
+        common = np.bincount(segments, np.where(np.repeat(length, length) > longest, shares, 0.0), count)
+        if not count or common.max() < limit:
+            break
+        longest *= 2
+    return Index(terms, at, segments, shares, best, blocks, np.array(items, np.int64), ids, questions, answers, common, length <= longest)
 
 
 def block_max_wand(index: Index, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -158,25 +169,36 @@ def block_max_wand(index: Index, query: np.ndarray, threshold: float) -> list[tu
                 seek(x, target)
 
 
-def candidates(index: Index, places: np.ndarray, known: np.ndarray, threshold: float, passage: int) -> dict[int, float]:
-    """Best score per item row over the passages of one document."""
-    found: dict[int, float] = {}
-    if not known.any():
-        return found
-    gain = np.zeros(len(places) + 1)
-    np.cumsum(np.where(known, index.best[places], 0.0), out=gain[1:])
-    start = np.arange(0, max(1, len(places) - passage // 2), passage // 2)
-    end = np.minimum(start + passage, len(places))
-    for s, e in zip(start, end):
-        if gain[e] - gain[s] < threshold:
-            continue
-        query = np.unique(places[s:e][known[s:e]])
-        if index.best[query].sum() < threshold:
-            continue
-        for segment, score in block_max_wand(index, query, threshold):
-            row = int(index.items[segment])
-            found[row] = max(found.get(row, 0.0), score)
-    return found
+def hopeful(index: Index, place: np.ndarray, known: np.ndarray, bounds: np.ndarray, threshold: float, passage: int):
+    """(document, first word, end) of the passages of a slice whose score may reach the threshold.
+
+    ``place`` is the term of every word where ``known``, ``bounds`` the word range of each document. Passages begin
+    every half passage.
+    """
+    half = passage // 2
+    sizes = np.diff(bounds)
+    number = np.maximum(1, -(-(sizes - half) // half))
+    base = np.concatenate([[0], np.cumsum(number)])
+    at = np.flatnonzero(known & index.short[place])
+    doc = np.searchsorted(bounds, at, "right") - 1
+    window = (at - bounds[doc]) // half
+    pairs = []
+    for shift in (0, 1):
+        inside = (window >= shift) & (window - shift < number[doc])
+        pairs.append(np.stack([(base[doc] + window - shift)[inside], place[at[inside]]]))
+    if not len(at):
+        return []
+    own = np.unique(np.concatenate(pairs, axis=1).astype(np.int64).T @ np.array([len(index.terms), 1]))
+    which, term = own // len(index.terms), own % len(index.terms)
+    length = index.at[term + 1] - index.at[term]
+    posting = np.repeat(index.at[term] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+    cell, group = np.unique(np.repeat(which, length) * len(index.items) + index.segments[posting], return_inverse=True)
+    mass = np.bincount(group, index.shares[posting])
+    reached = mass + index.common[cell % len(index.items)] >= threshold - 1e-9
+    out = np.unique(cell[reached] // len(index.items))
+    owner = np.searchsorted(base, out, "right") - 1
+    start = bounds[owner] + (out - base[owner]) * half
+    return list(zip(owner, start, np.minimum(start + passage, bounds[owner + 1])))
 
 
 def overlap(part: np.ndarray, whole: dict[int, np.ndarray], text: np.ndarray) -> float:
@@ -195,33 +217,40 @@ def matches(index: Index, texts: pa.Array, threshold: float, limit: float, passa
         return
     for piece in slices(texts):
         found = words(piece, CLASSES)
-        place = np.minimum(np.searchsorted(index.terms, found.hash), len(index.terms) - 1)
-        known = (index.terms[place] == found.hash) & (found.kind < 3)
-        for d in range(piece.last - piece.first):
-            own = np.flatnonzero(found.kind[found.bounds[d] : found.bounds[d + 1]] < 3) + found.bounds[d]
-            whole: dict[int, np.ndarray] = {}
-            for row, score in candidates(index, place[own], known[own], threshold, passage).items():
-                text = found.hash[own]
-                question = overlap(index.questions[row], whole, text)
-                answer = overlap(index.answers[row], whole, text)
-                if question >= limit and answer >= limit:
-                    yield piece.first + d, row, score, question, answer
-
-
-def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[Index]:
+        own = found.kind < 3
+        bounds = np.concatenate([[0], np.cumsum(own)])[found.bounds]
+        hashed = found.hash[own]
+        place = np.minimum(np.searchsorted(index.terms, hashed), len(index.terms) - 1)
+        known = index.terms[place] == hashed
+        scores: dict[tuple[int, int], float] = {}
+        for d, start, end in hopeful(index, place, known, bounds, threshold, passage):
+            query = np.unique(place[start:end][known[start:end]])
+            for segment, score in block_max_wand(index, query, threshold):
+                pair = (int(d), int(index.items[segment]))
+                scores[pair] = max(scores.get(pair, 0.0), score)
+        whole: dict = {}
+        for (d, row), score in scores.items():
+            text = hashed[bounds[d] : bounds[d + 1]]
+            question = overlap(index.questions[row], whole.setdefault(d, {}), text)
+            answer = overlap(index.answers[row], whole[d], text)
+            if question >= limit and answer >= limit:
+                yield piece.first + d, row, score, question, answer
+
+
+def parts(benchmark: DataFrame, threshold: float = THRESHOLD, part_bytes: int = PART_BYTES) -> Iterator[Index]:
     """Indexes of the parts of the benchmark, one at a time."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, math.ceil(total / part_bytes))
     for part in range(number):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == part).select(F.col("item_id").cast("bigint"), "text").collect()
-        yield build([r[0] for r in rows], [r[1] for r in rows])
+        yield build([r[0] for r in rows], [r[1] for r in rows], limit=0.7 * threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: float = OVERLAP) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document that holds an item."""
     context, out = docs.sparkSession.sparkContext, None
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    for index in parts(benchmark):
+    for index in parts(benchmark, threshold):
         shared = context.broadcast(tuple(index))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -243,7 +272,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: float = OVERLAP) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were."""
     context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
-    for index in parts(benchmark):
+    for index in parts(benchmark, threshold):
         shared = context.broadcast(tuple(index))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

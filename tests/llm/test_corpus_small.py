@@ -368,6 +368,25 @@ def test_wand_equals_exhaustive_scoring():
             assert all(got[s] == pytest.approx(scores[s]) for s in got)
 
 
+def test_passages_with_a_match_are_never_skipped():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, rng.integers(5, 60)) % 400) for _ in range(120)]
+    index = decontaminate.build(list(range(120)), texts, limit=0.3)
+    long = " ".join(texts[k] for k in rng.permutation(120)[:50])
+    hashed, _ = next(decontaminate.text_words([long]))
+    place = np.minimum(np.searchsorted(index.terms, hashed), len(index.terms) - 1)
+    known = index.terms[place] == hashed
+    bounds = np.array([0, 0, len(hashed)])
+    kept = {(int(s), int(e)) for d, s, e in decontaminate.hopeful(index, place, known, bounds, 0.5, 64) if d == 1}
+    for start in range(0, len(hashed) - 32, 32):
+        query = np.unique(place[start : start + 64][known[start : start + 64]])
+        scores = np.zeros(len(index.items))
+        for t in query:
+            own = slice(index.at[t], index.at[t + 1])
+            np.add.at(scores, index.segments[own], index.shares[own])
+        assert scores.max() < 0.5 or (start, min(start + 64, len(hashed))) in kept
+
+
 def test_leaks(spark, docs, nothing):
     items = [(0, "What is the capital of the far land of Oz? It is the green city."), (1, None), (2, ""), (3, "..."), (0, "What is the capital of the far land of Oz? It is the green city."), (4, LONG[:3000])]
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id bigint, text string, score int")
