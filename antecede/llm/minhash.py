@@ -8,8 +8,9 @@ Documents with equal sets are one node, named by its smallest doc_id, so groups
 multiply. In a bucket the smallest member is the centre of a star and only pairs (member, centre) become
 candidates. A centre that has met all others leaves the bucket; a bucket whose members
 are all in one component is settled. The rest gets new centres, four times as many each
-round, until every bucket is settled, so no pair of a bucket that could join two components goes
-untested and none is tested twice.
+round, until every bucket is settled. After the first round a pair is made only in the first bucket that its documents
+share, where one of them is sooner or later a centre; so no pair of a bucket that could join two components goes untested
+and none is made twice.
 
 Candidates are confirmed on full sets: first by an exact bound (a bitmap of each set shows hashes that
 the other cannot hold), then by the intersection. With 52 bands of 5 bins a link of similarity 0.8 shares
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import stage
+from antecede.llm.common import map_batches, stage
 from antecede.llm.graph import components
 from antecede.llm.tokens import Slice, mix, slices, words
 
@@ -50,10 +51,10 @@ def shingle_sets(piece: Slice, size: int) -> list[np.ndarray]:
         if last - first >= size:
             sets.append(np.unique(rolled[first : last - size + 1]))
         elif last > first:  # the whole short sequence, marked by its length
-            one = np.uint64(last - first)
-            for h in found.hash[first:last]:
-                one = mix(np.array([one * _STEP + h], np.uint64))[0]
-            sets.append(np.array([one], np.uint64))
+            one = np.array([last - first], np.uint64)
+            for k in range(first, last):
+                one = mix(one * _STEP + found.hash[k : k + 1])
+            sets.append(one)
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
@@ -143,8 +144,8 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     ["doc_id", "n_shingles", "high", "low", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, high bigint, low bigint, keys array<bigint>"
+    return map_batches(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, n_shingles bigint, high bigint, low bigint, keys array<bigint>"
     )
 
 
@@ -164,7 +165,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                     ["node", "n", "bits", "members"],
                 )
 
-    return docs.select("node", "text").mapInArrow(run, "node bigint, n bigint, bits binary, members binary")
+    return map_batches(docs.select("node", "text"), run, "node bigint, n bigint, bits binary, members binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,9 +195,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([u.filter(kept), v.filter(kept)], ["u", "v"])
 
-    likely = attached(pairs, ["n", "bits"]).select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(bound, "u bigint, v bigint")
+    sized = attached(pairs, ["n", "bits"]).select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+    likely = map_batches(sized, bound, "u bigint, v bigint")
     whole = attached(likely, ["members"]).select("u", "v", "members_u", "members_v")
-    return whole.mapInArrow(exact, "u bigint, v bigint")
+    return map_batches(whole, exact, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -208,49 +210,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         .groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")),
         "nodes",
     )
-    entries = nodes.select("node", "n", F.explode("keys").alias("bucket"))
+    entries = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("bucket")
     open_ = stage(entries.join(shared, "bucket").withColumn("component", F.col("node")), "buckets")
     belongs = None  # (node, component) of nodes with links
+    first_shared = "NOT exists(zip_with(slice(keys, 1, band), slice(centre_keys, 1, band), (a, b) -> a = b), same -> same)"
     wanted = open_.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(wanted, "node")
     sets = stage(full_sets(texts, size), "sets")
-    tested, round_ = None, 0
+    round_ = 0
     while True:
         # Centres: the smallest node of each of 4**round slots of a bucket.
         slots = 4**round_
         slot = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(slots))
         centres = open_.groupBy("bucket", slot.alias("slot")).agg(
-            F.min(F.struct("node", "n", "component")).alias("c")
-        ).select("bucket", "c.*").toDF("bucket", "centre", "centre_n", "centre_component")
+            F.min(F.struct(*[c for c in open_.columns if c not in ("bucket", "band")])).alias("c")
+        ).select("bucket", "c.*")
+        centres = centres.toDF("bucket", *[f"centre_{c}" for c in centres.columns[1:]])
         pairs = (
             open_.join(centres, "bucket")
             .where(
                 (F.col("component") != F.col("centre_component"))
                 & (F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n"))
+                & (F.expr(first_shared) if round_ else F.lit(True))
             )
-            .select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+            .select(F.greatest("node", "centre_node").alias("u"), F.least("node", "centre_node").alias("v")).distinct()
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stage(pairs, "candidates")
-        tested = pairs if tested is None else tested.unionByName(pairs)
         links = stage(confirmed(pairs, sets, percent), "links")
-        left = open_.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").drop("component")
+        left = open_.join(centres.select("bucket", F.col("centre_node").alias("node")), ["bucket", "node"], "left_anti").drop("component")
         if belongs is None:
             belongs = stage(components(links), "components")
         else:
             belongs = stage(merged(belongs, links), "components")
         left = left.join(belongs, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
-        open_ = stage(left.join(mixed.select("bucket"), "bucket"), "buckets")
+        left = left.join(mixed.select("bucket"), "bucket")
+        if not round_:
+            left = left.join(nodes.select("node", "keys"), "node").where("keys[band] = bucket")
+        open_ = stage(left, "buckets")
         if open_.isEmpty():
             break
         round_ += 1
     named = nodes.select(*same_set, "node").join(belongs, "node", "left").select(
         *same_set, F.coalesce("component", "node").alias("component")
     )
-    empty = F.col("component").isNull()
+    empty = F.col("component").isNull() | F.col("doc_id").isNull()
     return sketched.drop("keys").join(named, same_set, "left").select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         (empty | F.col("doc_id").eqNullSafe(F.col("component"))).alias("kept"),
