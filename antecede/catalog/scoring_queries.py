@@ -20,7 +20,7 @@ part("score_rows", f"""SELECT {P.KEYS}, pitcher_handedness, {', '.join(NAIVE)},
   season_n AS pitcher_starts_before_game, {', '.join(P.rates(f, 1) for f in ('season', 'last3'))} FROM hist""", "hist")
 part("seasons", "SELECT DISTINCT season FROM app", "app")
 part("splits", f"""SELECT CASE WHEN v.season = {HOLDOUT_SEASON} THEN 'holdout_{HOLDOUT_SEASON}'
-   ELSE 'train_' || min(s.season) OVER w || CASE WHEN count(*) OVER w > 1 THEN '_' || max(s.season) OVER w ELSE '' END
+   ELSE 'train_' || min(s.season) OVER w || '_' || max(s.season) OVER w
     || '_validate_' || v.season END AS split,
    s.season AS train_season, v.season AS validation_season
   FROM seasons s JOIN seasons v ON s.season < v.season WINDOW w AS (PARTITION BY v.season)""", "seasons")

@@ -89,6 +89,8 @@ LINE_GRID = {
     "strikeouts": tuple(2.5 + k for k in range(9)),
     "outs_recorded": tuple(11.5 + k for k in range(11)),
 }
+# Bounds of a simulated value.
+VALUE_BOUNDS = {"strikeouts": (0, 20), "outs_recorded": (0, 27)}
 QUANTILE_BINS = 5
 MIN_BIN_SIZE = 250
 CHECKED_LINES = {

@@ -17,15 +17,23 @@ from antecede.functions.constants import (
 from antecede.functions.expr import as_col, lookup
 
 
+@cache
+def _compatible() -> tuple[tuple[str, str], ...]:
+    """Every character outside ASCII with the lower compatibility form, combining marks removed."""
+    pairs = []
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+        base = unicodedata.normalize("NFKD", chr(code).lower())
+        if not base.isascii():
+            base = "".join(c for c in base if not unicodedata.combining(c))
+        pairs.append((chr(code), base))
+    return tuple(pairs)
+
+
 @cache
 def _plain_letters() -> tuple[str, str]:
-    """Rule: every BMP letter whose compatibility form is one ASCII letter or digit."""
+    """Rule: every letter whose compatibility form is one ASCII letter or digit."""
     source, target = [], []
-    for code in range(0x80, 0x10000):
-        letter = chr(code)
-        base = "".join(
-            c for c in unicodedata.normalize("NFKD", letter.lower()) if not unicodedata.combining(c)
-        )
+    for letter, base in _compatible():
         if len(base) == 1 and base.isascii() and base.isalnum():
             source.append(letter)
             target.append(base)
@@ -34,24 +42,23 @@ def _plain_letters() -> tuple[str, str]:
 
 @cache
 def _letter_groups() -> tuple[tuple[str, str], ...]:
-    """Rule: BMP Latin letters whose compatibility form is several ASCII letters."""
+    """Rule: characters whose compatibility form is longer and holds an ASCII letter or digit; all
+    else in the form becomes a blank."""
     pairs = []
-    for code in [*range(0x130, 0x250), *range(0xFB00, 0xFB07)]:
-        base = unicodedata.normalize("NFKD", chr(code).lower())
-        base = "".join(c for c in base if not unicodedata.combining(c))
-        if len(base) > 1 and base.isascii() and base.isalpha():
-            pairs.append((chr(code), base))
+    for letter, base in _compatible():
+        plain = "".join(c if c.isascii() and c.isalnum() else " " for c in base)
+        if len(base) > 1 and plain.strip():
+            pairs.append((letter, plain))
     return tuple(pairs)
 
 
 def normalize_text(value) -> Column:
     """Lower case, no accents, runs of anything but a-z and 0-9 become one space; never NULL."""
     source, target = _plain_letters()
-    groups = dict(_letter_groups())
     text = F.lower(as_col(value))
     plain = F.translate(text, source, target)
     plain = F.when(
-        plain.rlike("[" + "".join(groups) + "]"), _replace_all(plain, groups)
+        plain.rlike("[" + "".join(letter for letter, _ in _letter_groups()) + "]"), _replace_all(plain)
     ).otherwise(plain)
     # Plain ASCII, by far the most names, skips the letter tables.
     text = F.when(
@@ -60,10 +67,12 @@ def normalize_text(value) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), F.lit(""))
 
 
-def _replace_all(text: Column, groups: dict[str, str]) -> Column:
-    for letter, base in groups.items():
-        text = F.replace(text, F.lit(letter), F.lit(base))
-    return text
+def _replace_all(text: Column) -> Column:
+    """Letter by letter through one table; only texts that hold such a letter come here."""
+    letters, forms = zip(*_letter_groups())
+    table = F.map_from_arrays(F.lit(list(letters)), F.lit(list(forms)))
+    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.array_join(F.transform(characters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
 
 
 def first_last(value) -> Column:
@@ -72,7 +81,7 @@ def first_last(value) -> Column:
         F.transform(F.split(as_col(value), ","), lambda part: F.trim(part)),
         lambda part: part != "",
     )
-    swapped = F.concat_ws(" ", F.slice(pieces, 2, 100), F.element_at(pieces, 1))
+    swapped = F.concat_ws(" ", F.slice(pieces, F.lit(2), F.size(pieces)), F.element_at(pieces, 1))
     return F.when(
         as_col(value).contains(",") & (F.size(pieces) >= 2), swapped
     ).otherwise(F.trim(as_col(value)))

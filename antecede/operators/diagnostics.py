@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from antecede.functions import constants as K
 from antecede.functions.quantiles import exact_quantiles
 from antecede.operators.scoring import PREDICTION_KEYS, signed_error
-from antecede.session import broadcast_if, has_few_groups
 
 TIERS = ("low", "medium", "high")
 EARLY_STARTS = 5
@@ -49,7 +48,7 @@ def bucketed_errors(predictions: DataFrame, context: DataFrame) -> DataFrame:
     columns = [*PREDICTION_KEYS, "pitcher_handedness", "pitcher_starts_before_game"]
     rows = (
         predictions.join(context.select(*columns), list(PREDICTION_KEYS), "left")
-        .join(broadcast_if(has_few_groups(predictions, ["target", "model"]), terciles), ["target", "model"])
+        .join(terciles, ["target", "model"])
         .select(*GROUP, signed_error().alias("error"), F.inline(pairs))
     )
     return rows.where(F.col("bucket_value").isNotNull()).groupBy(*GROUP, "bucket_type", "bucket_value").agg(
@@ -73,9 +72,9 @@ def residual_summary(predictions: DataFrame, by: Sequence[str] = GROUP) -> DataF
     )
     tails = exact_quantiles(rows, by, "residual", [0.05, 0.95])
     # The second pass needs the spread found by the first, one row per group.
-    spread = broadcast_if(has_few_groups(predictions, by), shape.select(*by, "residual_std"))
+    spread = shape.select(*by, "residual_std")
     extreme = rows.join(spread, by).groupBy(*by).agg(
-        F.count_if(F.abs("residual") > 3 * F.col("residual_std")).alias("extreme_residual_count_gt3sd")
+        F.count_if((F.col("residual_std") > 0) & (F.abs("residual") > 3 * F.col("residual_std"))).alias("extreme_residual_count_gt3sd")
     )
     n = F.col("n").cast("double")
     adjusted = F.when(

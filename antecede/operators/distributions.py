@@ -11,7 +11,7 @@ from antecede.functions import constants as K
 from antecede.functions.expr import clip_probability
 from antecede.functions.quantiles import BLOCKS, SKETCH_ACCURACY, exact_quantiles
 from antecede.functions.tails import dispersion, negative_binomial_over, poisson_over
-from antecede.session import broadcast_if, has_few_groups, stage
+from antecede.session import stage
 
 # Decimals at which a residual and a threshold count as equal.
 DIGITS = 9
@@ -66,7 +66,7 @@ def negative_binomial_probabilities(
     # Staged, so the join is planned on its real size: one row per fitted group.
     fitted = stage(fit_dispersion(history, by), "dispersion")
     rows = _with_lines(
-        points.join(fitted, list(by)),
+        points.join(fitted, list(by), "left"),  # no history: no probability
         grids,
         lambda line: F.struct(
             F.lit(line).alias("line"),
@@ -99,7 +99,7 @@ def bin_of(prediction: str = "prediction") -> Column:
 
 
 def residual_counts(
-    history: DataFrame, by: Sequence[str], edges: DataFrame | None, min_size: int, small: bool
+    history: DataFrame, by: Sequence[str], edges: DataFrame | None, min_size: int
 ) -> DataFrame:
     """Distinct residuals per (group, bin) with counts. Every residual is in the bin of all
     rows; with ``edges`` also in its own bin, where that bin is large enough."""
@@ -110,7 +110,7 @@ def residual_counts(
     if edges is None:
         bins = F.array(everything)
     else:
-        rows = rows.join(broadcast_if(small, edges), list(by))
+        rows = rows.join(edges, list(by))
         bins = F.array(everything, bin_of())
     counts = rows.select(*by, "value", F.explode(bins).alias("bin")).groupBy(*by, "bin", "value").agg(
         F.count(F.lit(1)).alias("n")
@@ -119,11 +119,11 @@ def residual_counts(
     sizes = counts.groupBy(*by, "bin").agg(F.sum("n").alias("bin_n")).where(
         (F.col("bin") == ALL_ROWS) | (F.col("bin_n") >= min_size)
     )
-    return stage(counts.join(broadcast_if(small, sizes), [*by, "bin"]), "residuals")
+    return stage(counts.join(sizes, [*by, "bin"]), "residuals")
 
 
 def shares_above(
-    counts: DataFrame, thresholds: DataFrame, key: Sequence[str], small: bool
+    counts: DataFrame, thresholds: DataFrame, key: Sequence[str]
 ) -> DataFrame:
     """Share of each group's counted values strictly above each distinct threshold.
 
@@ -139,13 +139,13 @@ def shares_above(
     )
     block = F.expr("size(filter(borders, b -> b < value))")
     # One row per group, each with a bounded list of borders.
-    values = counts.join(broadcast_if(small, borders), key).withColumn("block", block)
+    values = counts.join(borders, key).withColumn("block", block)
     totals = values.groupBy(*key, "block").agg(F.sum("n").alias("block_n")).groupBy(*key).agg(
         F.collect_list(F.struct("block", "block_n")).alias("blocks"), F.sum("block_n").alias("total")
     )
     asked = (
         thresholds.select(*key, F.col("threshold").alias("value")).distinct()
-        .join(broadcast_if(small, borders.join(totals, key)), key)
+        .join(borders.join(totals, key), key)
         .withColumn("block", block)
     )
     lower = F.expr(
@@ -169,6 +169,16 @@ def shares_above(
     )
 
 
+def within_bounds(share, bounds: Mapping[str, tuple[float, float]]):
+    out = share
+    for target, (low, high) in bounds.items():
+        own = F.col("target") == target
+        out = F.when(share.isNotNull() & own & (F.col("line") >= high), 0.0).when(
+            share.isNotNull() & own & (F.col("line") < low), 1.0
+        ).otherwise(out)
+    return out
+
+
 def empirical_probabilities(
     points: DataFrame,
     history: DataFrame,
@@ -177,34 +187,35 @@ def empirical_probabilities(
     grids=K.LINE_GRID,
     bins: int = K.QUANTILE_BINS,
     min_size: int = K.MIN_BIN_SIZE,
+    bounds: Mapping[str, tuple[float, float]] = K.VALUE_BOUNDS,
 ) -> DataFrame:
     """P(over) from past residuals, of the prediction's quantile bin when ``conditional``.
 
-    Bounding the simulated value to the target's range cannot move it across a line inside that
-    range, so the share of residuals above (line - prediction) is all that is needed.
+    A simulated value is kept inside its target's bounds: nothing is over a line at or beyond the upper
+    bound, everything is over a line below the lower one, and in between the bounds move no value across a
+    line. Without past residuals of the group the probability is NULL.
     """
     by = list(by)
-    small = has_few_groups(history, by)
     edges = bin_edges(history, by, bins) if conditional else None
-    counts = residual_counts(history, by, edges, min_size, small)
+    counts = residual_counts(history, by, edges, min_size)
     rows = line_grid(points.where(F.col("prediction").isNotNull()), grids).withColumn(
         "threshold", F.round(F.col("line") - F.col("prediction"), DIGITS)
     )
     everything = F.lit(ALL_ROWS).cast("bigint")
     if conditional:
         large = counts.select(*by, "bin").distinct().withColumn("large", F.lit(True))
-        rows = rows.join(broadcast_if(small, edges), by, "left").withColumn("bin", bin_of())
-        rows = rows.join(broadcast_if(small, large), [*by, "bin"], "left").withColumn(
+        rows = rows.join(edges, by, "left").withColumn("bin", bin_of())
+        rows = rows.join(large, [*by, "bin"], "left").withColumn(
             "bin", F.when(F.col("large"), F.col("bin")).otherwise(everything)
         )
     else:
         rows = rows.withColumn("bin", everything)
-    shares = shares_above(counts.drop("bin_n"), rows.select(*by, "bin", "threshold"), [*by, "bin"], small)
+    shares = shares_above(counts.drop("bin_n"), rows.select(*by, "bin", "threshold"), [*by, "bin"])
     return rows.join(shares, [*by, "bin", "threshold"], "left").select(
         *points.columns,
         "line",
         "actual_over",
-        clip_probability(F.coalesce("share", F.lit(0.0))).alias("probability_over"),
+        clip_probability(within_bounds(F.col("share"), bounds)).alias("probability_over"),
         F.lit("conditional_empirical" if conditional else "empirical").alias("method"),
     )
 
@@ -242,10 +253,9 @@ def expanding_folds(points: DataFrame, first: int | None = None) -> tuple[DataFr
     folds = seasons.select(F.col("season").alias("fold"))
     if first is not None:
         folds = folds.where(F.col("fold") >= first)
-    # At most one row per pair of seasons, and a season is a year.
     pairs = folds.join(seasons, F.col("season") < F.col("fold"))
-    history = points.join(F.broadcast(pairs), "season")
-    valid = points.join(F.broadcast(pairs.select("fold").distinct()), F.col("season") == F.col("fold"))
+    history = points.join(pairs, "season")
+    valid = points.join(pairs.select("fold").distinct(), F.col("season") == F.col("fold"))
     return valid, history
 
 

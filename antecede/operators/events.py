@@ -158,14 +158,22 @@ def event_outs(event: str = "events") -> Column:
     return lookup(K.EVENT_OUTS, event, 0).cast("bigint")
 
 
+def in_order(order: Sequence[str]) -> Column:
+    """Sort key of the columns with missing values last."""
+    return F.struct(*[part for c in order for part in (F.isnull(c).alias(f"no_{c}"), F.col(c))])
+
+
 def first_actor(
     pitches: DataFrame, group: Sequence[str], order: Sequence[str], actor: str
 ) -> DataFrame:
-    """First known actor of each group in order: a partial aggregate, no sort of the group."""
+    """First known actor of each group in order: a partial aggregate, no sort of the group.
+
+    Rows with a missing position come last; of actors at one position the smallest is taken.
+    """
     return (
         pitches.where(F.col(actor).isNotNull())
         .groupBy(*group)
-        .agg(F.min_by(F.col(actor), F.struct(*order)).alias(actor))
+        .agg(F.min(F.struct(in_order(order).alias("at"), F.col(actor).alias("who")))["who"].alias(actor))
     )
 
 
@@ -228,7 +236,7 @@ def inning_reconciliation(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def score_delta(df: DataFrame, keys: Sequence[str], score: str, order: Sequence[str]) -> DataFrame:
     """Highest minus first known score, never negative; NULL when no score is known."""
     known = F.col(score).isNotNull()
-    position = F.when(known, F.struct(*order))
+    position = F.when(known, in_order(order))
     return df.groupBy(*keys).agg(
         non_negative(F.max(score) - F.min_by(F.col(score), position)).alias("runs")
     )
@@ -242,7 +250,7 @@ def non_negative(difference: Column) -> Column:
 def appearance_table(
     pitches: DataFrame, order: Sequence[str] = ("at_bat_number", "pitch_number")
 ) -> DataFrame:
-    """One row per game side for the pitcher who threw its first pitch.
+    """One row per game side for the pitcher who threw its first pitch (the smallest id of several).
 
     Pitches collapse to at-bats first; the starter of a side is then chosen among the few
     aggregated pitchers of that side, so the raw rows are never joined.
@@ -252,7 +260,7 @@ def appearance_table(
     score = F.when(side == "top", F.col("post_away_score")).otherwise(F.col("post_home_score"))
     thrown = row_flag("pitches")
     # The earliest row and the earliest scored row, each as one value ordered by position.
-    position = F.struct(*order).alias("at")
+    position = in_order(order).alias("at")
     details = F.struct("game_date", "player_name", "home_team", "away_team", "p_throws").alias("row")
     scored = F.when(score.isNotNull(), F.struct(position, score.alias("score")))
     at_bats = pitches.groupBy(*keys, "at_bat_number").agg(
@@ -274,8 +282,8 @@ def appearance_table(
     )
     starters = people.where(F.col(ENTITY).isNotNull()).withColumn(
         "is_first",
-        F.col("first.at")
-        == F.min("first.at").over(Window.partitionBy("game_id", "inning_topbot")),
+        F.struct("first.at", ENTITY)
+        == F.min(F.struct("first.at", ENTITY)).over(Window.partitionBy("game_id", "inning_topbot")),
     ).where("is_first")
     outs = inning_reconciliation(pitches, keys).select(
         *[F.col(c).alias(f"o_{c}") for c in keys], "outs_recorded"

@@ -97,7 +97,7 @@ def validated_join(
 
 def _exact_line(df: DataFrame) -> DataFrame:
     """Joins on a line use a decimal, never floating-point equality."""
-    return df.withColumn("_line", F.col("line").cast("decimal(6,2)"))
+    return df.withColumn("_line", F.col("line").cast("decimal(18,6)"))
 
 
 def market_join(

@@ -74,9 +74,7 @@ def chronological_splits(df: DataFrame, holdout: int, first_train: int = 1) -> D
         F.count(F.lit(1)).alias("n"),
     ).where(F.col("n") >= first_train)
     name = F.concat(
-        F.lit("train_"), F.col("low"),
-        F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("high"))).otherwise(F.lit("")),
-        F.lit("_validate_"), F.col("validation_season"),
+        F.lit("train_"), F.col("low"), F.lit("_"), F.col("high"), F.lit("_validate_"), F.col("validation_season"),
     )
     return pairs.join(bounds, "validation_season").select(
         name.alias("split"), "train_season", "validation_season"
@@ -122,8 +120,7 @@ def closed_form_predictions(
     targets: Sequence[str] = K.TARGETS,
 ) -> DataFrame:
     """Long predictions of closed-form models: every split, target and model in one pass."""
-    # One row per split, so at most one per season: small whatever the data size.
-    means = F.broadcast(training_means(features, splits, targets))
+    means = training_means(features, splits, targets)
     rows = features.join(means, F.col("season") == F.col("validation_season"))
     forecasts = [
         F.struct(
@@ -204,10 +201,7 @@ def score_pivot(scores: DataFrame, column: str, values: Sequence[str]) -> DataFr
 
 
 def winners_only(predictions: DataFrame, winners: DataFrame) -> DataFrame:
-    # One row per target of a fixed, short target list.
-    return predictions.join(
-        F.broadcast(winners.select("target", "model")), ["target", "model"], "left_semi"
-    )
+    return predictions.join(winners.select("target", "model"), ["target", "model"], "left_semi")
 
 
 def signed_error(prediction="prediction", actual="actual") -> Column:

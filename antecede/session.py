@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -71,16 +70,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-# Most groups a table may have for its one-row-per-group companions to be broadcast.
-FEW_GROUPS = 10_000
-
-
-def has_few_groups(df: DataFrame, key) -> bool:
-    """Whether a table has at most FEW_GROUPS distinct keys; reads no more than that many."""
-    return df.select(*key).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
-
-
-def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
-    """Broadcast hint behind a size check; beyond it Spark picks a shuffled join."""
-    return F.broadcast(df) if small else df

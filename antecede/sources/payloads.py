@@ -68,8 +68,7 @@ def flatten_odds(
         F.col("o.description").alias("player_name"),
         F.col("o.point").alias("line"),
         F.rint("o.price").cast("bigint").alias("price"),
-        (F.col("book_at") * 1_000_000 + F.col("market_at") * 1000 + F.col("at"))
-        .cast("bigint").alias("outcome_seq"),
+        F.struct("book_at", "market_at", "at").alias("outcome_seq"),
     )
 
 

@@ -161,7 +161,7 @@ def test_splits_and_winners(spark):
     for r in rows:
         names.setdefault(r["split"], []).append(r["train_season"])
     assert {k: sorted(v) for k, v in names.items()} == {
-        "train_2021_validate_2022": [2021],
+        "train_2021_2021_validate_2022": [2021],
         "train_2021_2022_validate_2023": [2021, 2022],
         "train_2021_2023_validate_2024": [2021, 2022, 2023],
     }
