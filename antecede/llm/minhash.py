@@ -12,8 +12,8 @@ round, until every bucket is settled. After the first round a pair is made only
 share, where one of them is sooner or later a centre; so no pair of a bucket that could join two components goes untested
 and none is made twice.
 
-Candidates are confirmed on full sets: first by an exact bound (a bitmap of each set shows hashes that
-the other cannot hold), then by the intersection. With 52 bands of 5 bins a link of similarity 0.8 shares
+From the second round on an exact bound keeps hopeless pairs from being made: 2048 bits per set show hashes that the other set
+cannot hold. Every candidate is confirmed by the intersection of the full sets. With 52 bands of 5 bins a link of similarity 0.8 shares
 no bucket with probability (1 - 0.8**5)**52, about 1e-9; that is the only way to lose one.
 
 Defined cases: null and empty texts have an empty set and link with nothing; fewer words than a shingle
@@ -28,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.llm.common import map_batches, stage
 from antecede.llm.graph import components
 from antecede.llm.tokens import Slice, mix, slices, words
 
-BANDS, ROWS = 52, 5
+BANDS, ROWS, BITS = 52, 5, 2048
 PERCENT = 80
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,28 +89,24 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    """A bit for every residue of the hashes; 4 to 8 bits for each of them, a power of two in all."""
-    bits = 64 << max(0, int(len(own) * 4 / 64).bit_length())
-    marked = np.zeros(bits, np.uint8)
-    marked[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(marked).tobytes()
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, one set for every residue of the hashes, as 64-bit words."""
+    marked = np.zeros(BITS, np.uint8)
+    marked[(own % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(marked).view(np.int64)
 
 
-def missing(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound of the number of hashes of the first bitmap that the second set lacks."""
-    while len(a) > len(b):
-        b = np.concatenate([b, b])
-    if len(a) < len(b):
-        b = b.reshape(-1, len(a)).any(axis=0)
-    return int((a & ~b).sum())
+def lacking(a: str, b: str) -> str:
+    """SQL: a lower bound of the number of hashes of set ``a`` that set ``b`` lacks, from their bits."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x & ~y)), 0, (t, c) -> t + c)"
 
 
-def possible(n_a: int, n_b: int, bits_a: bytes, bits_b: bytes, percent: int) -> bool:
-    """False only if the two sets cannot reach the similarity."""
-    a, b = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in (bits_a, bits_b))
-    shared = min(n_a - missing(a, b), n_b - missing(b, a))
-    return 100 * shared >= percent * (n_a + n_b - shared)
+def reachable(percent: int) -> Column:
+    """False only if the sets of a node and a centre cannot reach the similarity."""
+    shared = F.least(
+        F.col("n") - F.expr(lacking("bits", "centre_bits")), F.col("centre_n") - F.expr(lacking("centre_bits", "bits"))
+    )
+    return F.lit(100) * shared >= F.lit(percent) * (F.col("n") + F.col("centre_n") - shared)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -119,7 +115,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, high, low, keys): set size, 128-bit digest of the set, bucket keys."""
+    """(doc_id, n_shingles, high, low, keys, bits): set size, 128-bit digest of the set, bucket keys, fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes: list[np.ndarray] = []
@@ -140,17 +136,18 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()),
                         pa.array(per_doc, pa.list_(pa.int64())),
+                        pa.array([fingerprint(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "high", "low", "keys"],
+                    ["doc_id", "n_shingles", "high", "low", "keys", "bits"],
                 )
 
     return map_batches(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, n_shingles bigint, high bigint, low bigint, keys array<bigint>"
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, n_shingles bigint, high bigint, low bigint, keys array<bigint>, bits array<bigint>"
     )
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, n, bits, members) with the sorted hashes of each set as bytes."""
+    """(node, members) with the sorted hashes of each set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,32 +156,23 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(piece.first, piece.last - piece.first),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    ["node", "n", "bits", "members"],
+                    ["node", "members"],
                 )
 
-    return map_batches(docs.select("node", "text"), run, "node bigint, n bigint, bits binary, members binary")
+    return map_batches(docs.select("node", "text"), run, "node bigint, members binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (u, v) pairs whose full sets reach the similarity.
 
-    Each side is attached by a shuffled join on the node, which adaptive execution splits where a
-    centre has very many members. The bound needs only the bitmaps; the sets follow for what it leaves.
+    Each side is attached by a shuffled join on the node, which adaptive execution splits where a centre has very many
+    members.
     """
-
-    def attached(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-        for end in ("u", "v"):
-            df = df.join(sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-        return df
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v, *rest = (batch.column(c) for c in ("u", "v", "n_u", "n_v", "bits_u", "bits_v"))
-            kept = pa.array([possible(*x, percent) for x in zip(*(c.to_pylist() for c in rest))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(kept), v.filter(kept)], ["u", "v"])
+    whole = pairs
+    for end in ("u", "v"):
+        whole = whole.join(sets.select(F.col("node").alias(end), F.col("members").alias(f"members_{end}")), end)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +183,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([u.filter(kept), v.filter(kept)], ["u", "v"])
 
-    sized = attached(pairs, ["n", "bits"]).select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
-    likely = map_batches(sized, bound, "u bigint, v bigint")
-    whole = attached(likely, ["members"]).select("u", "v", "members_u", "members_v")
+    whole = whole.select("u", "v", "members_u", "members_v")
     return map_batches(whole, exact, "u bigint, v bigint")
 
 
@@ -207,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     same_set = ["high", "low"]
     nodes = stage(
         sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        .groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")),
+        .groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits")),
         "nodes",
     )
     entries = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
@@ -232,7 +218,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
             .where(
                 (F.col("component") != F.col("centre_component"))
                 & (F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n"))
-                & (F.expr(first_shared) if round_ else F.lit(True))
+                & ((F.expr(first_shared) & reachable(percent)) if round_ else F.lit(True))
             )
             .select(F.greatest("node", "centre_node").alias("u"), F.least("node", "centre_node").alias("v")).distinct()
         )
@@ -247,7 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
         left = left.join(mixed.select("bucket"), "bucket")
         if not round_:
-            left = left.join(nodes.select("node", "keys"), "node").where("keys[band] = bucket")
+            left = left.join(nodes.select("node", "keys", "bits"), "node").where("keys[band] = bucket")
         open_ = stage(left, "buckets")
         if open_.isEmpty():
             break
@@ -256,7 +242,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         *same_set, F.coalesce("component", "node").alias("component")
     )
     empty = F.col("component").isNull() | F.col("doc_id").isNull()
-    return sketched.drop("keys").join(named, same_set, "left").select(
+    return sketched.drop("keys", "bits").join(named, same_set, "left").select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         (empty | F.col("doc_id").eqNullSafe(F.col("component"))).alias("kept"),
     )

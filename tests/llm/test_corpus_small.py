@@ -144,15 +144,17 @@ def test_near_duplicates_find_every_link_of_a_loose_family(spark):
     assert 1 < len({c for _, c in want.values()}) < 160
 
 
-def test_bound_never_drops_a_link():
-    rng = np.random.default_rng(1)
-    for n in (1, 3, 40, 700):
+def test_bound_never_drops_a_link(spark):
+    rng, rows = np.random.default_rng(1), []
+    for n in (1, 3, 40, 700, 5000):
         pool = rng.integers(0, 2**63, 3 * n, dtype=np.uint64)
-        for _ in range(30):
+        for _ in range(20):
             a = np.unique(rng.choice(pool, n))
-            b = np.unique(np.concatenate([rng.choice(a, max(1, n // 2)), rng.choice(pool, max(1, n // 8))]))
-            if minhash.similar(a, b, 50):
-                assert minhash.possible(len(a), len(b), minhash.bitmap(a), minhash.bitmap(b), 50)
+            b = np.unique(np.concatenate([rng.choice(a, max(1, int(n * rng.uniform(0.3, 3)))), rng.choice(pool, max(1, n // 8))]))
+            rows.append((len(a), len(b), minhash.fingerprint(a).tolist(), minhash.fingerprint(b).tolist(), minhash.similar(a, b, 60)))
+    df = spark.createDataFrame(rows, "n bigint, centre_n bigint, bits array<bigint>, centre_bits array<bigint>, linked boolean")
+    got = df.select("linked", minhash.reachable(60).alias("reachable")).collect()
+    assert any(r.linked for r in got) and all(r.reachable for r in got if r.linked) and not all(r.reachable for r in got)
 
 
 def test_components_of_a_chain_and_a_star(spark):
