@@ -7,7 +7,7 @@ bin found by a universal probe sequence (optimal densification). Every ``ROWS``
 Documents with equal sets are one node, named by its smallest doc_id, so groups of copies never
 multiply. In a bucket the smallest member is the centre of a star and only pairs (member, centre) become
 candidates. A centre that has met all others leaves the bucket; a bucket whose members
-are all in one component is settled. The rest gets new centres, four times as many each
+are all in one component is settled. The rest gets new centres, ``SLOTS`` times as many each
 round, until every bucket is settled. After the first round a pair is made only in the first bucket that its documents
 share, where one of them is sooner or later a centre; so no pair of a bucket that could join two components goes untested
 and none is made twice.
@@ -35,7 +35,7 @@ from antecede.llm.common import map_batches, stage
 from antecede.llm.graph import components
 from antecede.llm.tokens import Slice, mix, slices, words
 
-BANDS, ROWS, BITS = 52, 5, 2048
+BANDS, ROWS, BITS, SLOTS = 52, 5, 2048, 32
 PERCENT = 80
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,8 +206,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     sets = stage(full_sets(texts, size), "sets")
     round_ = 0
     while True:
-        # Centres: the smallest node of each of 4**round slots of a bucket.
-        slots = 4**round_
+        # Centres: the smallest node of each of SLOTS**round slots of a bucket.
+        slots = SLOTS**round_
         slot = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(slots))
         centres = open_.groupBy("bucket", slot.alias("slot")).agg(
             F.min(F.struct(*[c for c in open_.columns if c not in ("bucket", "band")])).alias("c")
