@@ -8,9 +8,13 @@ grid of splits, targets and models; every fit and every prediction is distribute
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +24,6 @@ from antecede.functions.quantiles import exact_quantiles
 from antecede.operators.scoring import (
     PREDICTION_KEYS,
     feature_columns,
-    fold_columns,
     point_scores,
 )
 from antecede.session import ensure_checkpoints, stage
@@ -32,7 +35,7 @@ TREE_ROUNDS = 180
 TREE_RATE = 0.05
 TREE_DEPTH = 4
 SEED = 42
-IMPORTANCE_ROWS = 1500
+IMPORTANCE_GROUP = 4096
 IMPORTANCE_REPEATS = 3
 IMPORTANCE_TOP = 15
 
@@ -80,17 +83,17 @@ def scaled(inputs: Mapping[str, str], scale: Mapping[str, float]) -> dict[str, s
 def preparation(train: DataFrame, columns: Sequence[str], scale: bool) -> list[Transformer]:
     """Stages that turn raw columns into one vector, fitted on ``train``.
 
-    Only statistics, one value per column, reach the driver.
+    Only statistics, one value per column, reach the driver: counts in one row, medians from one table of counts.
     """
-    columns = fold_columns(train, columns)
-    found = {row["column_name"]: row for row in column_medians(train, columns).collect()}
-    inputs = imputed(
-        columns,
-        {c: found[c]["median"] for c in columns},
-        [c for c in columns if found[c]["missing"]],
-    )
+    counts = train.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in columns]).first().asDict()
+    columns = [c for c in columns if counts[c]]
+    found = exact_quantiles(_long(train, columns), ["column_name"], "value", [0.5])
+    medians = {r["column_name"]: r["median"] for r in found.select("column_name", F.col("quantiles")[0].alias("median")).collect()}
+    inputs = imputed(columns, medians, [c for c in columns if counts[c] < counts["_rows"]])
     if scale:
-        inputs = scaled(inputs, scale_row(train, inputs).first().asDict())
+        spread = scale_row(train, inputs).first().asDict()
+        # A constant input is zero once centred; leaving it out changes no forecast and keeps the equations regular.
+        inputs = scaled({n: sql for n, sql in inputs.items() if spread[f"std_{n}"]}, spread)
     cells = ", ".join(f"{sql} as `x_{n}`" for n, sql in inputs.items())
     return [
         SQLTransformer(statement=f"select *, {cells} from __THIS__"),
@@ -98,6 +101,24 @@ def preparation(train: DataFrame, columns: Sequence[str], scale: bool) -> list[T
     ]
 
 
+class Fold:
+    """A training fold with its columns. What depends on the rows only is fitted once for all targets and
+    models of the fold; a target with missing labels has rows of its own and is fitted on them."""
+
+    def __init__(self, train: DataFrame, columns: Sequence[str]):
+        self.train, self.columns, self._made, self._known = train, list(columns), {}, {}
+
+    def preparation(self, target: str, scale: bool) -> tuple[DataFrame, list[Transformer]]:
+        if target not in self._known:
+            self._known[target] = self.train.where(F.col(target).isNull()).isEmpty()
+        complete = self._known[target]
+        rows = self.train if complete else self.train.where(F.col(target).isNotNull())
+        key = (None if complete else target, scale)
+        if key not in self._made:
+            self._made[key] = preparation(rows, self.columns, scale)
+        return rows, self._made[key]
+
+
 # --- estimators -----------------------------------------------------------------------------------
 
 def ridge(label: str, rows: int, mean: float, spread: float):
@@ -108,7 +129,7 @@ def ridge(label: str, rows: int, mean: float, spread: float):
     """
     return LinearRegression(
         featuresCol="inputs", labelCol=label, elasticNetParam=0.0, regParam=RIDGE_ALPHA / rows * (spread or 1.0),
-        standardization=False, solver="normal",
+        standardization=False, solver="normal", maxIter=1000, tol=1e-12,
     )
 
 
@@ -129,12 +150,13 @@ def boosted_trees(label: str, rounds: int = TREE_ROUNDS):
 
 
 def fit(
-    train: DataFrame, columns: Sequence[str], target: str, model: str, rounds: int = TREE_ROUNDS
+    train: DataFrame | Fold, columns: Sequence[str], target: str, model: str, rounds: int = TREE_ROUNDS
 ) -> PipelineModel:
     """Preparation and estimator fitted on one training fold, as one saveable pipeline."""
-    ensure_checkpoints(train.sparkSession)
-    known = train.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
-    stages = preparation(known, columns, scale=model in ("ridge", "poisson"))
+    fold = train if isinstance(train, Fold) else Fold(train, columns)
+    ensure_checkpoints(fold.train.sparkSession)
+    known, stages = fold.preparation(target, scale=model in ("ridge", "poisson"))
+    known = known.withColumn("label", F.col(target).cast("double"))
     ready = PipelineModel(stages=stages).transform(known).select("inputs", "label").persist()
     if model in ("ridge", "poisson"):
         size = ready.agg(
@@ -150,6 +172,26 @@ def fit(
     return PipelineModel(stages=[*stages, fitted])
 
 
+def unsolved(model: PipelineModel, train: DataFrame, target: str, kind: str) -> float:
+    """How far a ridge or Poisson fit is from its equations: the largest slope of the published objective, per row.
+
+    Ridge: sum x (y - p) = alpha w. Poisson: mean x (y - p) = alpha w. The intercept has no penalty.
+    """
+    fitted = model.stages[-1]
+    weights = fitted.coefficients.toArray()
+    known = train.where(F.col(target).isNotNull())
+    scored = model.transform(known).select(
+        vector_to_array("inputs").alias("x"), (F.col(target).cast("double") - F.col("prediction")).alias("gap")
+    )
+    sums = scored.agg(
+        F.count("*").alias("n"), F.sum("gap").alias("g"),
+        F.array(*[F.sum(F.col("x")[j] * F.col("gap")) for j in range(len(weights))]).alias("s"),
+    ).first()
+    penalty = RIDGE_ALPHA if kind == "ridge" else POISSON_ALPHA * sums["n"]
+    slopes = [abs(s - penalty * w) for s, w in zip(sums["s"], weights)]
+    return max([abs(sums["g"]), *slopes]) / sums["n"]
+
+
 def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
     """The input columns plus the forecast."""
     return model.transform(df).select(*df.columns, F.col("prediction").alias(name))
@@ -167,11 +209,12 @@ RATE_LIMIT = {"strikeouts": 1.0, "outs_recorded": 3.0}
 
 
 def volume_rate_forecast(
-    train: DataFrame, test: DataFrame, columns: Sequence[str], target: str, name: str
+    train: DataFrame | Fold, test: DataFrame, columns: Sequence[str], target: str, name: str
 ) -> DataFrame:
     """Forecast volume times forecast rate, each from a ridge model of its own."""
-    volume = fit(train, columns, "batters_faced", "ridge")
-    rate = fit(_rate(train, target), columns, "rate", "ridge")
+    fold = train if isinstance(train, Fold) else Fold(train, columns)
+    volume = fit(fold, columns, "batters_faced", "ridge")
+    rate = fit(_rate(fold.train, target), columns, "rate", "ridge")
     both = predict(rate, predict(volume, test, "_volume"), "_rate")
     bounded = F.least(F.greatest(F.col("_rate"), F.lit(0.0)), F.lit(RATE_LIMIT[target]))
     return both.withColumn(name, F.greatest(F.col("_volume"), F.lit(0.0)) * bounded).drop("_volume", "_rate")
@@ -183,11 +226,12 @@ MODELS = ("ridge", "poisson", "boosted_trees", "ensemble", "volume_rate")
 
 
 def fold_predictions(
-    train: DataFrame, test: DataFrame, columns: Sequence[str], target: str, split: str,
+    train: DataFrame | Fold, test: DataFrame, columns: Sequence[str], target: str, split: str,
     models: Sequence[str] = MODELS, rounds: int = TREE_ROUNDS,
 ) -> DataFrame:
     """Long predictions of several models for one fold and target, as one projection."""
     scored, names = test, []
+    train = train if isinstance(train, Fold) else Fold(train, columns)
     for model in ("ridge", "poisson", "boosted_trees"):
         if model in models or ("ensemble" in models and model != "poisson"):
             scored = predict(fit(train, columns, target, model, rounds), scored, f"p_{model}")
@@ -225,18 +269,23 @@ def split_list(splits: DataFrame) -> list[tuple[str, list[int], int]]:
 def walk_forward(
     features: DataFrame, splits: Sequence[tuple[str, Sequence[int], int]], targets: Sequence[str] = K.TARGETS,
     family: str = "full", models: Sequence[str] = MODELS, rounds: int = TREE_ROUNDS,
-    rolling: Sequence[str] | None = None,
+    rolling: Sequence[str] | None = None, parallelism: int = 4,
 ) -> DataFrame:
-    """Every split, target and model: fitted on the past, predicting the next season."""
+    """Every split, target and model: fitted on the past, predicting the next season.
+
+    Folds are independent, so up to ``parallelism`` of them are fitted at a time.
+    """
     columns = feature_columns(features, family, rolling) if rolling else feature_columns(features, family)
-    out = None
-    for split, seasons, season in splits:
-        train = features.where(F.col("season").isin(*seasons))
+
+    def fold_rows(item: tuple[str, Sequence[int], int]) -> list[DataFrame]:
+        split, seasons, season = item
+        fold = Fold(features.where(F.col("season").isin(*seasons)), columns)
         test = features.where(F.col("season") == season)
-        for target in targets:
-            part = fold_predictions(train, test, columns, target, split, models, rounds)
-            out = part if out is None else out.unionByName(part)
-    return out
+        return [fold_predictions(fold, test, columns, target, split, models, rounds) for target in targets]
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(splits)))) as pool:
+        parts = [part for rows in pool.map(inheritable_thread_target(features.sparkSession)(fold_rows), splits) for part in rows]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ablation(
@@ -265,48 +314,40 @@ def final_fit(
 
 def permutation_importance(
     model: PipelineModel, rows: DataFrame, columns: Sequence[str], target: str,
-    max_rows: int = IMPORTANCE_ROWS, repeats: int = IMPORTANCE_REPEATS, top: int = IMPORTANCE_TOP,
+    repeats: int = IMPORTANCE_REPEATS, top: int = IMPORTANCE_TOP, group: int = IMPORTANCE_GROUP,
 ) -> DataFrame:
-    """Mean rise of the absolute error when one column is re-paired, on a capped sample.
+    """Mean rise of the absolute error when one column is re-paired, over every row with a known target.
 
-    All (row, repeat, column) variants are scored in one pass of the fitted model.
+    Per repeat the rows are dealt at random into groups of about ``group`` rows, so the number of groups grows with
+    the rows; inside a group, in random order, every row takes the values of the row after it and the last one those of the
+    first. The variants with one column replaced exist only on their way through the model and are never shuffled.
     """
-    chosen = rows.where(F.col(target).isNotNull()).orderBy(
-        F.xxhash64(*PREDICTION_KEYS, F.lit(SEED)), *PREDICTION_KEYS
-    ).limit(max_rows)
-    # The sample is capped, so a window over all of it stays small.
-    sample = stage(
-        chosen.select(
-            F.row_number().over(Window.orderBy(F.xxhash64(*PREDICTION_KEYS, F.lit(SEED)), *PREDICTION_KEYS)).alias("i"),
-            F.col(target).cast("double").alias("actual"),
-            *columns,
-        ),
-        "importance-sample",
+    known = rows.where(F.col(target).isNotNull()).select(
+        F.xxhash64(*PREDICTION_KEYS, F.lit(SEED)).alias("row_hash"), F.col(target).cast("double").alias("actual"), *columns
     )
-    rounds = sample.select("i", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    donors = rounds.select(
-        "repeat", F.col("i").alias("donor"),
-        F.row_number().over(Window.partitionBy("repeat").orderBy(F.xxhash64("i", "repeat", F.lit(SEED)), "i")).alias("i"),
+    groups = max(1, -(-known.count() // group))
+    order = F.xxhash64("row_hash", "repeat")
+    dealt = known.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn(
+        "dealt", F.pmod(F.xxhash64("repeat", "row_hash", F.lit(SEED)), F.lit(groups))
     )
-    given = sample.select(F.col("i").alias("donor"), F.struct(*columns).alias("d"))
-    variants = (
-        sample.join(donors, "i").join(given, "donor")
-        .withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
-        .select(
-            "feature", "actual",
-            *[F.expr(f"case when feature = '{c}' then d.`{c}` else `{c}` end").alias(c) for c in columns],
-        )
+    ring = Window.partitionBy("repeat", "dealt").orderBy(order, "row_hash")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct(*columns)
+    paired = stage(
+        dealt.withColumn("d", F.coalesce(F.lead(own).over(ring), F.first(own).over(whole))).select("actual", *columns, "d"),
+        "importance",
     )
-    shuffled = predict(model, variants).groupBy("feature").agg(
-        F.avg(F.abs(F.col("prediction") - F.col("actual"))).alias("shuffled_mae")
+    variants = paired.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns]))).select(
+        "feature", "actual", *[F.expr(f"case when feature = '{c}' then d.`{c}` else `{c}` end").alias(c) for c in columns]
     )
-    base = predict(model, sample).agg(F.avg(F.abs(F.col("prediction") - F.col("actual"))).alias("mae"))
-    gain = F.col("shuffled_mae") - F.col("mae")
+    error = F.abs(F.col("prediction") - F.col("actual"))
+    shuffled = predict(model, variants).groupBy("feature").agg(F.avg(error).alias("shuffled_mae"), F.count("*").alias("variants"))
+    base = predict(model, known).agg(F.avg(error).alias("mae"), F.count("*").alias("rows"))
+    # One row per feature from here on.
     ranked = Window.orderBy(F.desc("importance_mae_increase"), "feature")
-    # One row per feature.
     return (
         shuffled.crossJoin(base)
-        .select("feature", gain.alias("importance_mae_increase"))
+        .select("feature", (F.col("shuffled_mae") - F.col("mae")).alias("importance_mae_increase"), "rows", "variants")
         .withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= top)
     )

@@ -61,5 +61,5 @@ def test_folds_and_importance(frame, tmp_path):
     assert all(r["ensemble"] == pytest.approx((r["ridge"] + r["boosted_trees"]) / 2) for r in wide)
     assert all(0 <= r["volume_rate"] <= 30 for r in wide)
     model = M.final_fit(frame, 2021, ["a", "b"], "strikeouts", "ridge", str(tmp_path / "m"))
-    top = M.permutation_importance(model, test, ["a", "b"], "strikeouts", max_rows=80).orderBy("rank").collect()
+    top = M.permutation_importance(model, test, ["a", "b"], "strikeouts", group=50).orderBy("rank").collect()
     assert [r["feature"] for r in top] == ["a", "b"] and top[0]["importance_mae_increase"] > 0
