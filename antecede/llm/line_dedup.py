@@ -2,9 +2,11 @@
 
 A text is split at line feeds. A chunk ends after a line where a rolling hash over the hashes of that line
 and the one before it is 0 modulo ``DIVISOR``; where lines known from elsewhere in the corpus meet lines
-that are not; and on both sides of a line of more than ``PASSAGE_WORDS`` words. So boundaries follow content: an
-inserted line moves no boundary further away than the next line, and a repeated passage is cut out of whatever
-stands around it.
+that are not; and on both sides of a line of more than ``PASSAGE_WORDS`` words. The hash starts anew at the two last
+kinds of boundary, and no hash boundary leaves one line by itself. So boundaries follow content: an
+inserted line moves no boundary further away than two lines, and a repeated passage is cut out of whatever
+stands around it. ``restart=False`` lets the hash run on and leaves such lines alone, as the check SQL of
+``op7_line_dedup`` has it; the copies of a passage may then be cut differently and stay.
 
 A chunk that occurs more than once in the corpus and has several lines, or is one such long line, stays where it
 occurs first (smallest doc_id, then place) and is removed elsewhere, after its bytes were compared with those that
@@ -43,17 +45,21 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
-def chunk_table(lines: DataFrame, divisor: int) -> DataFrame:
+def chunk_table(lines: DataFrame, divisor: int, restart: bool = True) -> DataFrame:
     """(doc_id, text_key, start, size, chunk) of the repeated chunks a document could lose.
 
     ``lines`` has one row per document with ``l``, its lines in order as structs of place, hash, whether
     the line is known from elsewhere and whether it is long.
     """
-    bounded = lines.withColumn("ends", F.expr(f"""
-        filter(sequence(0, size(l) - 1), i ->
-            i = size(l) - 1 OR l[i].known <> l[i + 1].known OR l[i].long OR l[i + 1].long
-            OR ((CASE WHEN i > 0 THEN l[i - 1].hash % 1000003 ELSE 0 END) * 31 + l[i].hash % 1000003) % {divisor} = 0)
+    # A run is a stretch of lines that are all known or all new, with none long; its ends are always boundaries.
+    run_ends = "(i = size(l) - 1 OR l[i].known <> l[i + 1].known OR l[i].long OR l[i + 1].long)"
+    run_starts = "(i = 0 OR l[i - 1].known <> l[i].known OR l[i - 1].long OR l[i].long)"
+    before = f"CASE WHEN {run_starts if restart else 'i = 0'} THEN 0 ELSE l[i - 1].hash % 1000003 END"
+    cuts = lines.withColumn("cut", F.expr(f"""
+        transform(sequence(0, size(l) - 1), i -> {run_ends} OR (({before}) * 31 + l[i].hash % 1000003) % {divisor} = 0)
     """))
+    lone = f"({run_starts} OR cut[i + 1])" if restart else "false"  # a cut here would leave a line of the run by itself
+    bounded = cuts.withColumn("ends", F.expr(f"filter(sequence(0, size(l) - 1), i -> {run_ends} OR (cut[i] AND NOT {lone}))"))
     chunked = bounded.withColumn("chunks", F.expr("""
         transform(ends, (e, k) -> struct(
             CASE WHEN k = 0 THEN 0 ELSE ends[k - 1] + 1 END AS start,
@@ -65,7 +71,7 @@ def chunk_table(lines: DataFrame, divisor: int) -> DataFrame:
     )
 
 
-def removals(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def removals(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSAGE_WORDS, restart: bool = True) -> DataFrame:
     """(doc_id, text_key, gone): per document the sorted (start, size) line ranges to remove."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     line = F.col("line")
@@ -84,7 +90,7 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSA
         .groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("place", "hash", "known", "long"))).alias("l"))
         .where("exists(l, x -> x.known)")
     )
-    chunks = stage(chunk_table(gathered, divisor), "chunks")
+    chunks = stage(chunk_table(gathered, divisor, restart), "chunks")
     repeated = chunks.groupBy("chunk").agg(
         F.count("*").alias("n"), F.min(F.struct(*KEY, "start")).alias("first")
     ).where("n > 1").select("chunk", "first")
@@ -122,9 +128,9 @@ def _next(gone: str, lines: Column, k: Column) -> Column:
     return F.coalesce(here["start"], F.size(lines)).cast("int")
 
 
-def line_dedup(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSAGE_WORDS, restart: bool = True) -> DataFrame:
     """doc_id, n_lines, removed_chunks, removed_lines, text (what is left) and row (the document as it was)."""
-    gone = removals(docs, divisor, passage_words)
+    gone = removals(docs, divisor, passage_words, restart)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = keyed.join(gone, same_document(keyed, gone), "left").select(keyed["doc_id"], "row", "gone")
     lines = lines_of(F.col("row.text"))

@@ -114,7 +114,7 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_chunks, 0) AS
 FROM documents d LEFT JOIN t USING (doc_id)
 """)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, folder, "documents")).drop("row")
+    return line_dedup.line_dedup(table(spark, folder, "documents"), restart=False).drop("row")  # boundaries of the check SQL
 
 
 @query("op3_decontaminate")

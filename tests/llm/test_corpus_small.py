@@ -205,6 +205,17 @@ def test_line_dedup_removes_repeated_passages_wherever_they_stand(spark, nothing
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+def test_line_dedup_removes_whole_passages_of_two_copies(spark):
+    rng, rows = np.random.default_rng(11), []
+    for k in range(300):
+        passage = "\n".join(f"passage {k} line {j} {rng.integers(1 << 40)}" for j in range(int(rng.integers(2, 20))))
+        rows += [(2 * k + c, f"own {k} {c} a {rng.integers(1 << 40)}\n{passage}\nown {k} {c} b") for c in range(2)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for doc_id, text in rows:
+        lines = text.split("\n")
+        assert got[doc_id].text == (text if doc_id % 2 == 0 else f"{lines[0]}\n{lines[-1]}")
+
+
 def test_mixing_meets_targets_and_limits(spark, docs, nothing):
     rows = [(i, " ".join(["w"] * (i * 7 % 400)), ["big", "small", "tiny", None][0 if i % 3 else 1 + i % 9 // 3]) for i in range(900)]
     rows += [rows[5], (None, "a b c", "big"), (901, None, "tiny")]
