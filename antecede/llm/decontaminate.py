@@ -1,16 +1,20 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
-The index holds the benchmark, not the corpus. Items are cut into segments of at most ``SEGMENT`` words; a posting
-carries its BM25 share: the term's BM25 weight in the segment over the weight of all the segment's terms, so one
+The index holds the benchmark, not the corpus. The question of an item (all but the last sentence) and its answer (the last
+sentence, or the last fifth of the words of a single sentence) are cut into segments of at most ``SEGMENT`` words, each on
+its own, since a document may hold them far apart; a posting carries its BM25 share: the term's BM25 weight in the segment over the weight of all the segment's terms, so one
 threshold fits short and long items. Postings lie in blocks with their largest share.
 
 A document is cut into overlapping passages of ``PASSAGE`` words. Terms with long posting lists are common; what they can
 add to a segment is known beforehand, so the short lists alone show for all passages of a slice at once which of them can reach
 the threshold somewhere. These run block-max WAND: cursors sorted by segment, the pivot where the list maxima reach the
 threshold, a look at the block maxima before any posting is read, skips past blocks that cannot reach it. Every segment
-at or above the threshold is retrieved; there is no top-k. A retrieved item is then verified against the whole document: the
-shares of the word shingles of its question (all but the last sentence) and of its answer (the last sentence, or the last
-fifth of the words of a single sentence) must both be at least ``OVERLAP``.
+at or above the threshold is retrieved; there is no top-k. An item of which any segment is retrieved is then verified against the
+whole document: the shares of the word shingles of its question and of its answer must both be at least ``OVERLAP``.
+
+An answer of one common word would retrieve its item from nearly every document. So documents are looked through first for the
+rarest shingles of each question, as many that a question without any of them cannot reach ``OVERLAP``; only documents that hold one are
+searched. This leaves out nothing that verification would keep.
 
 The benchmark is dealt into parts of at most about ``PART_BYTES`` of text by the hash of the item; one part at a time comes to
 the driver, becomes an index and is broadcast, so what is broadcast has a fixed bound and a large benchmark means more
@@ -59,15 +63,51 @@ class Index(NamedTuple):
     answers: list
     common: np.ndarray  # most that the terms with long lists add to each segment
     short: np.ndarray  # whether a term's list is short
+    rare: dict  # per shingle size the sorted hashes of the rarest shingles of the questions
+    least: float  # question overlap that ``rare`` was made for
 
 
-def shingles(hashed: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the word shingles; of the whole sequence if it is shorter."""
-    size = max(1, min(size, len(hashed)))
+def rolled(hashed: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the shingle that begins at each word."""
     out = hashed[: len(hashed) - size + 1].copy()
     for k in range(1, size):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashed[k : len(hashed) - size + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def shingles(hashed: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles; of the whole sequence if it is shorter."""
+    return np.unique(rolled(hashed, max(1, min(size, len(hashed)))))
+
+
+def rarest(questions: list[np.ndarray], least: float) -> dict[int, np.ndarray]:
+    """Per shingle size the rarest shingles of each question, so many that one is in any text with overlap ``least``."""
+    by_size: dict[int, list] = {}
+    for question in questions:
+        if len(question):
+            by_size.setdefault(min(SHINGLE, len(question)), []).append(shingles(question))
+    out = {}
+    for size, sets in by_size.items():
+        values, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        chosen = []
+        for own in np.split(place, np.cumsum([len(x) for x in sets])[:-1]):
+            needed = next((c for c in range(1, len(own) + 1) if c / len(own) >= least), len(own))
+            chosen.append(own[np.argsort(often[own], kind="stable")][: len(own) - needed + 1])
+        out[size] = values[np.unique(np.concatenate(chosen))]
+    return out
+
+
+def promising(index: Index, hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether each document of a slice holds a rare shingle of a question, without which nothing of it is verified."""
+    out = np.zeros(len(bounds) - 1, bool)
+    for size, values in index.rare.items():
+        if len(hashed) < size:
+            continue
+        found = rolled(hashed, size)
+        at = np.flatnonzero(values[np.minimum(np.searchsorted(values, found), len(values) - 1)] == found)
+        doc = np.searchsorted(bounds, at, "right") - 1
+        out[doc[at + size <= bounds[doc + 1]]] = True
+    return out
 
 
 def text_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -82,19 +122,24 @@ def text_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
             yield found.hash[own], after
 
 
-def build(ids: list, texts: list[str | None], segment: int = SEGMENT, limit: float = 0.7 * THRESHOLD) -> Index:
-    """Index of the items; common terms alone give every segment less than ``limit``."""
+def parts_of(hashed: np.ndarray, after: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Question and answer of an item, and (terms, counts) of the segments of each."""
+    cuts = np.flatnonzero(after)
+    split = int(cuts[-1]) + 1 if len(cuts) else len(hashed) - max(1, len(hashed) // 5)
+    question, answer = hashed[:split] if split > 0 else hashed, hashed[max(split, 0) :]
+    own = [part for half in ((question, answer) if split > 0 else (hashed,)) for part in np.array_split(half, max(1, math.ceil(len(half) / segment)))]
+    return question, answer, [np.unique(part, return_counts=True) for part in own if len(part)]
+
+
+def build(ids: list, texts: list[str | None], segment: int = SEGMENT, limit: float = 0.7 * THRESHOLD, least: float = OVERLAP) -> Index:
+    """Index of the items; common terms alone give every segment less than ``limit``, verified questions have at least ``least``."""
     items, bags, questions, answers = [], [], [], []
     for row, (hashed, after) in enumerate(text_words(texts)):
-        cuts = np.flatnonzero(after)
-        split = int(cuts[-1]) + 1 if len(cuts) else len(hashed) - max(1, len(hashed) // 5)
-        questions.append(hashed[:split] if split > 0 else hashed)
-        answers.append(hashed[split:])
-        pieces = max(1, math.ceil(len(hashed) / segment))
-        for part in np.array_split(hashed, pieces):
-            if len(part):
-                items.append(row)
-                bags.append(np.unique(part, return_counts=True))
+        question, answer, own = parts_of(hashed, after, segment)
+        questions.append(question)
+        answers.append(answer)
+        items += [row] * len(own)
+        bags += own
     count = len(bags)
     sizes = np.array([c.sum() for _, c in bags], float)
     term = np.concatenate([t for t, _ in bags]) if count else np.zeros(0, np.uint64)
@@ -117,7 +162,10 @@ def build(ids: list, texts: list[str | None], segment: int = SEGMENT, limit: flo
         if not count or common.max() < limit:
             break
         longest *= 2
-    return Index(terms, at, segments, shares, best, blocks, np.array(items, np.int64), ids, questions, answers, common, length <= longest)
+    return Index(
+        terms, at, segments, shares, best, blocks, np.array(items, np.int64), ids, questions, answers, common, length <= longest,
+        rarest(questions, least), least,
+    )
 
 
 def block_max_wand(index: Index, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -215,13 +263,15 @@ def matches(index: Index, texts: pa.Array, threshold: float, limit: float, passa
     """(row of the text, row of the item, score, question overlap, answer overlap) of verified items."""
     if not len(index.terms):
         return
+    if limit < index.least:
+        raise ValueError(f"the index was made for a question overlap of {index.least}")
     for piece in slices(texts):
         found = words(piece, CLASSES)
         own = found.kind < 3
         bounds = np.concatenate([[0], np.cumsum(own)])[found.bounds]
         hashed = found.hash[own]
         place = np.minimum(np.searchsorted(index.terms, hashed), len(index.terms) - 1)
-        known = index.terms[place] == hashed
+        known = (index.terms[place] == hashed) & np.repeat(promising(index, hashed, bounds), np.diff(bounds))
         scores: dict[tuple[int, int], float] = {}
         for d, start, end in hopeful(index, place, known, bounds, threshold, passage):
             query = np.unique(place[start:end][known[start:end]])
@@ -237,20 +287,20 @@ def matches(index: Index, texts: pa.Array, threshold: float, limit: float, passa
                 yield piece.first + d, row, score, question, answer
 
 
-def parts(benchmark: DataFrame, threshold: float = THRESHOLD, part_bytes: int = PART_BYTES) -> Iterator[Index]:
+def parts(benchmark: DataFrame, threshold: float = THRESHOLD, part_bytes: int = PART_BYTES, limit: float = OVERLAP) -> Iterator[Index]:
     """Indexes of the parts of the benchmark, one at a time."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, math.ceil(total / part_bytes))
     for part in range(number):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == part).select(F.col("item_id").cast("bigint"), "text").collect()
-        yield build([r[0] for r in rows], [r[1] for r in rows], limit=0.7 * threshold)
+        yield build([r[0] for r in rows], [r[1] for r in rows], limit=0.7 * threshold, least=limit)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: float = OVERLAP) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document that holds an item."""
     context, out = docs.sparkSession.sparkContext, None
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    for index in parts(benchmark, threshold):
+    for index in parts(benchmark, threshold, limit=limit):
         shared = context.broadcast(tuple(index))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -272,7 +322,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: float = OVERLAP) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were."""
     context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
-    for index in parts(benchmark, threshold):
+    for index in parts(benchmark, threshold, limit=limit):
         shared = context.broadcast(tuple(index))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -415,6 +415,39 @@ def test_leaks(spark, docs, nothing):
     assert decontaminate.without_leaks(docs, bench).columns == docs.columns
 
 
+def test_leaks_with_question_and_answer_far_apart(spark):
+    rng = np.random.default_rng(21)
+    items, texts = [], []
+    for k in range(60):
+        w = [f"b{int(x)}" for x in rng.integers(0, 3000, int(rng.integers(12, 50)))]
+        cut = [len(w) // 2, len(w) - 1][k % 2]  # every other answer is a single word
+        items.append((k, " ".join(w[:cut]) + "? " + " ".join(w[cut:]) + "."))
+        own, fill = " ".join(w[:cut]), lambda n: " ".join(f"f{int(x)}" for x in rng.integers(0, 3000, n))
+        texts.append((k, f"{fill(90)} {own} {fill(500)} {' '.join(w[cut:])} {fill(90)}"))
+        texts.append((100 + k, f"{fill(90)} {own} {fill(500)}"))
+    df, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()) == [(k, k) for k in range(60)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(df, bench).collect()) == [100 + k for k in range(60)]
+
+
+def test_documents_without_rare_shingles_hold_no_question():
+    rng = np.random.default_rng(22)
+    items = [" ".join(f"t{int(x)}" for x in rng.integers(0, 12, rng.integers(1, 30))) for _ in range(60)]
+    index = decontaminate.build(list(range(60)), items)
+    texts = []
+    for _ in range(400):
+        w = items[int(rng.integers(60))].split()
+        w = [x if rng.random() > 0.03 else "other" for x in w]
+        texts.append(np.concatenate([h for h, _ in decontaminate.text_words([" ".join(w)])]))
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got, held = decontaminate.promising(index, np.concatenate(texts), bounds), 0
+    for text, kept in zip(texts, got):
+        best = max(decontaminate.overlap(q, {}, text) for q in index.questions)
+        held += best >= index.least
+        assert kept or best < index.least
+    assert held > 50
+
+
 def test_parts_cover_the_benchmark(spark):
     bench = spark.createDataFrame([(i, f"item {i} text") for i in range(50)], "item_id bigint, text string")
     ids = [i for index in decontaminate.parts(bench, part_bytes=100) for i in index.ids]
