@@ -16,9 +16,11 @@ An answer of one common word would retrieve its item from nearly every document.
 rarest shingles of each question, as many that a question without any of them cannot reach ``OVERLAP``; only documents that hold one are
 searched. This leaves out nothing that verification would keep.
 
-The benchmark is dealt into parts of at most about ``PART_BYTES`` of text by the hash of the item; one part at a time comes to
-the driver, becomes an index and is broadcast, so what is broadcast has a fixed bound and a large benchmark means more
-passes. Documents are never shuffled.
+The benchmark is dealt into parts of about ``PART_BYTES`` of text by the hash of the row and its place, so repeated rows spread. The number
+of segments, their mean length and the document frequencies are counted over the whole benchmark, so the number of parts
+changes no result. Executors build the index of each part and write it below ``spark.checkpoint.dir``; one finished part at a time passes
+through the driver to be broadcast, so what is broadcast has a fixed bound and a large benchmark means more passes. Documents are
+never shuffled.
 
 Words are runs of letters or of digits with A-Z made small; signs do not count. Defined cases: null and empty texts
 match nothing, items without words are never found, repeated items each match, rows with equal doc_id are looked at each; extra
@@ -28,6 +30,7 @@ columns pass through.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import map_batches
+from antecede.llm.common import map_batches, stage
 from antecede.llm.tokens import CLASSES, mix, slices, words
 
 SEGMENT, PASSAGE, SHINGLE = 64, 128, 5
@@ -67,6 +70,15 @@ class Index(NamedTuple):
     least: float  # question overlap that ``rare`` was made for
 
 
+class Counts(NamedTuple):
+    """Segments of a benchmark, their mean length, and in how many each of the sorted ``terms`` occurs."""
+
+    segments: int
+    average: float
+    terms: np.ndarray
+    often: np.ndarray
+
+
 def rolled(hashed: np.ndarray, size: int) -> np.ndarray:
     """Hash of the shingle that begins at each word."""
     out = hashed[: len(hashed) - size + 1].copy()
@@ -131,8 +143,11 @@ def parts_of(hashed: np.ndarray, after: np.ndarray, segment: int) -> tuple[np.nd
     return question, answer, [np.unique(part, return_counts=True) for part in own if len(part)]
 
 
-def build(ids: list, texts: list[str | None], segment: int = SEGMENT, limit: float = 0.7 * THRESHOLD, least: float = OVERLAP) -> Index:
-    """Index of the items; common terms alone give every segment less than ``limit``, verified questions have at least ``least``."""
+def build(ids: list, texts: list[str | None], segment: int = SEGMENT, limit: float = 0.7 * THRESHOLD, least: float = OVERLAP, whole: Counts | None = None) -> Index:
+    """Index of the items; common terms alone give every segment less than ``limit``, verified questions have at least ``least``.
+
+    ``whole`` has the counts of the benchmark that the items are a part of; without it they are all of it.
+    """
     items, bags, questions, answers = [], [], [], []
     for row, (hashed, after) in enumerate(text_words(texts)):
         question, answer, own = parts_of(hashed, after, segment)
@@ -146,8 +161,10 @@ def build(ids: list, texts: list[str | None], segment: int = SEGMENT, limit: flo
     often = np.concatenate([c for _, c in bags]).astype(float) if count else np.zeros(0)
     where = np.repeat(np.arange(count), [len(t) for t, _ in bags])
     terms, place, df = np.unique(term, return_inverse=True, return_counts=True)
-    idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
-    average = sizes.mean() if count else 1.0
+    average, total = sizes.mean() if count else 1.0, count
+    if whole is not None:
+        average, total, df = whole.average, whole.segments, whole.often[np.searchsorted(whole.terms, terms)]
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
     weight = idf[place] * often * (K1 + 1) / (often + K1 * (1 - B + B * sizes[where] / average))
     share = weight / np.bincount(where, weight, count)[where] if count else weight
     order = np.lexsort((where, place))
@@ -183,7 +200,7 @@ def block_max_wand(index: Index, query: np.ndarray, threshold: float) -> list[tu
         reach, pivot = 0.0, None
         for k, x in enumerate(lists):
             reach += x[3]
-            if reach >= threshold:
+            if reach >= threshold - 1e-9:
                 pivot = int(seg[x[0]])
                 break
         if pivot is None:
@@ -198,9 +215,9 @@ def block_max_wand(index: Index, query: np.ndarray, threshold: float) -> list[tu
                 bound += x[4][block]
                 last = int(seg[min(x[1] + (block + 1) * POSTINGS_PER_BLOCK, x[2]) - 1])
                 skip = last if skip is None else min(skip, last)
-        if bound >= threshold:
+        if bound >= threshold - 1e-9:
             if seg[inside[0][0]] == pivot:
-                score = sum(float(index.shares[x[0]]) for x in inside)
+                score = math.fsum(float(index.shares[x[0]]) for x in inside)  # in any order the same
                 if score >= threshold:
                     out.append((pivot, score))
                 for x in inside:
@@ -288,19 +305,44 @@ def matches(index: Index, texts: pa.Array, threshold: float, limit: float, passa
 
 
 def parts(benchmark: DataFrame, threshold: float = THRESHOLD, part_bytes: int = PART_BYTES, limit: float = OVERLAP) -> Iterator[Index]:
-    """Indexes of the parts of the benchmark, one at a time."""
+    """Indexes of the parts of the benchmark, one at a time; executors build them."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, math.ceil(total / part_bytes))
-    for part in range(number):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == part).select(F.col("item_id").cast("bigint"), "text").collect()
-        yield build([r[0] for r in rows], [r[1] for r in rows], limit=0.7 * threshold, least=limit)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: float = OVERLAP) -> DataFrame:
+    dealt = F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(number)).cast("int")
+    items = stage(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").withColumn("part", dealt), "benchmark")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part, (hashed, after) in zip(batch.column(0).to_pylist(), text_words(batch.column(1).to_pylist())):
+                rows += [(part, int(often.sum()), terms.view(np.int64)) for terms, often in parts_of(hashed, after, SEGMENT)[2]]
+            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], ["part", "size", "terms"])
+
+    segments = stage(map_batches(items.select("part", "text"), cut, "part int, size bigint, terms array<bigint>"), "benchmark-segments")
+    count, average = segments.agg(F.count("*"), F.avg("size")).first()
+    terms = segments.select("part", F.explode("terms").alias("term"))
+    often = terms.groupBy("term").agg(F.count("*").alias("often"))
+    own = terms.distinct().join(often, "term").select("part", "term", "often")
+
+    def made(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, df = (right.column(c).to_numpy() for c in ("term", "often"))
+        order = np.argsort(known.view(np.uint64))
+        whole = Counts(count, average, known.view(np.uint64)[order], df[order])
+        ids, texts = left.column("item_id").to_pylist(), left.column("text").to_pylist()
+        index = build(ids, texts, limit=0.7 * threshold, least=limit, whole=whole if count else None)
+        return pa.table({"part": pa.array(left.column("part")[:1].to_pylist(), pa.int32()), "content": pa.array([pickle.dumps(tuple(index))], pa.binary())})
+
+    built = stage(items.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(made, "part int, content binary"), "benchmark-index")
+    for (part,) in sorted(built.select("part").collect()):
+        yield Index(*pickle.loads(built.where(F.col("part") == part).first()["content"]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: float = OVERLAP, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document that holds an item."""
     context, out = docs.sparkSession.sparkContext, None
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    for index in parts(benchmark, threshold, limit=limit):
+    for index in parts(benchmark, threshold, part_bytes, limit):
         shared = context.broadcast(tuple(index))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -316,13 +358,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
 
         found = map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), search, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: float = OVERLAP) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: float = OVERLAP, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were."""
     context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
-    for index in parts(benchmark, threshold, limit=limit):
+    for index in parts(benchmark, threshold, part_bytes, limit):
         shared = context.broadcast(tuple(index))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -448,6 +448,24 @@ def test_documents_without_rare_shingles_hold_no_question():
     assert held > 50
 
 
+def test_number_of_parts_changes_no_result(spark):
+    rng = np.random.default_rng(23)
+    items = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, rng.integers(10, 150)) % 300) for _ in range(150)]
+    items = [f"{t}. {u}." for t, u in zip(items, items[1:] + items[:1])] + [None, "", "..."]
+    docs = []
+    for k in range(300):
+        w = [x if rng.random() > 0.02 else f"other{int(rng.integers(9))}" for x in items[k % 150].split()]
+        docs.append((k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = [(k, t) for k, t in enumerate(items)] + [(0, items[0])] * 20
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    sizes = [[len(i.ids) for i in decontaminate.parts(bench, part_bytes=b)] for b in (1 << 20, 8 << 10)]
+    assert len(sizes[0]) == 1 and len(sizes[1]) > 3 and sum(sizes[0]) == sum(sizes[1]) == len(rows)
+    one, many = (sorted(tuple(r) for r in decontaminate.leaks(df, bench, part_bytes=b).collect()) for b in (1 << 20, 8 << 10))
+    assert one == many and len(one) > 100
+    assert decontaminate.without_leaks(df, bench, part_bytes=8 << 10).count() == len(docs) - len({r[0] for r in one})
+
+
 def test_parts_cover_the_benchmark(spark):
     bench = spark.createDataFrame([(i, f"item {i} text") for i in range(50)], "item_id bigint, text string")
     ids = [i for index in decontaminate.parts(bench, part_bytes=100) for i in index.ids]
