@@ -1,7 +1,8 @@
 """Spark ML queries.
 
-Ridge, Poisson and importance run on all features and are checked by their own equations. The other fits have no SQL
-twin, run on the workload features, and tree rounds are lowered here to keep a query short; the library default is the published number.
+Ridge, Poisson and importance run on all features and are checked by their own equations. Product, walk-forward, holdout and
+refit forecasts have no SQL twin and run on all features, splits and targets. Only the tree and ensemble queries run on the workload
+features with fewer tree rounds; the library default is the published number.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ ROUNDS = 20
 LAST = ("train_1995_1999_validate_2000", [1995, 1996, 1997, 1998, 1999], 2000)
 PREVIOUS = ("train_1995_1998_validate_1999", [1995, 1996, 1997, 1998], 1999)
 TARGETS = ("strikeouts", "outs_recorded")
+EVERY_TARGET = ("strikeouts", "outs_recorded", "batters_faced", "pitches_thrown")
 FITTED = ["season_k_pct", "last3_csw_pct", "pitcher_days_rest", "pitch_PROMO_velocity", "opponent_team_k_pct"]
 
 
@@ -104,14 +106,19 @@ def model_gbt(t):
     return _one(t, ("boosted_trees",), rounds=60)
 
 
+def _volume_rate(t, target):
+    fold, test, columns, split = _fold(t)
+    return M.fold_predictions(fold, test, columns, target, split, ("volume_rate",))
+
+
 @query("model_volume_rate_k")
 def model_volume_rate_k(t):
-    return _one(t, ("volume_rate",))
+    return _volume_rate(t, "strikeouts")
 
 
 @query("model_volume_rate_outs")
 def model_volume_rate_outs(t):
-    return _one(t, ("volume_rate",), "outs_recorded")
+    return _volume_rate(t, "outs_recorded")
 
 
 @query("ensemble_mean")
@@ -121,9 +128,15 @@ def ensemble_mean(t):
 
 @query("walk_forward")
 def walk_forward(t):
-    return M.walk_forward(
-        staged_features(t), [PREVIOUS, LAST], TARGETS, "workload", ("ridge", "poisson", "boosted_trees"), ROUNDS, ROLLING
-    )
+    """Every split and target with the linear models and the product model, on all features."""
+    splits = M.split_list(S.chronological_splits(t.appearances, 2001))
+    return M.walk_forward(staged_features(t), splits, EVERY_TARGET, models=("ridge", "poisson", "volume_rate"), rolling=ROLLING)
+
+
+@query("walk_forward_trees")
+def walk_forward_trees(t):
+    """The tree model with fewer rounds, splits, targets and features."""
+    return M.walk_forward(staged_features(t), [PREVIOUS, LAST], TARGETS, "workload", ("boosted_trees",), ROUNDS, ROLLING)
 
 
 @query("ablation")
@@ -131,23 +144,30 @@ def ablation(t):
     return M.ablation(staged_features(t), [LAST], ("strikeouts",), rounds=5, rolling=ROLLING)
 
 
+def _final(t, columns, last, rows):
+    """Forecasts of every target by a ridge fitted up to a season, saved and loaded again."""
+    out = None
+    for target in EVERY_TARGET:
+        model = M.final_fit(rows, last, columns, target, "ridge", scratch_path(t.spark, "model"))
+        own = M.predict(model, rows if last == 2001 else rows.where(F.col("season") == 2001)).select(
+            *S.PREDICTION_KEYS, F.lit(target).alias("target"), F.col(target).cast("double").alias("actual"), "prediction"
+        )
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("holdout_predictions")
 def holdout_predictions(t):
-    """Fitted up to 2000, saved, loaded again, and applied once to 2001."""
+    """Every target fitted up to 2000, saved, loaded again, and applied once to 2001."""
     features = staged_features(t)
-    columns = S.feature_columns(features, "workload", ROLLING)
-    model = M.final_fit(features, 2000, columns, "strikeouts", "ridge", scratch_path(t.spark, "model"))
-    rows = M.predict(model, features.where(F.col("season") == 2001))
-    return rows.select(*S.PREDICTION_KEYS, F.col("strikeouts").cast("double").alias("actual"), "prediction")
+    return _final(t, S.feature_columns(features, "full", ROLLING), 2000, features)
 
 
 @query("production_refit")
 def production_refit(t):
-    """Refit on every season with the frozen feature list."""
+    """Every target refitted on every season with the frozen feature list."""
     features = staged_features(t)
-    columns = [c for c in FEATURES if c in S.feature_columns(features, "workload", ROLLING)]
-    model = M.final_fit(features, 2001, columns, "outs_recorded", "ridge", scratch_path(t.spark, "model"))
-    return M.predict(model, features).select(*S.PREDICTION_KEYS, "prediction")
+    return _final(t, [c for c in FEATURES if c in S.feature_columns(features, "full", ROLLING)], 2001, features)
 
 
 @query("permutation_importance", sql(
