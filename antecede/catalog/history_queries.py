@@ -7,12 +7,14 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from antecede.catalog import parts as P
-from antecede.catalog.registry import big, query, sql
+from antecede.catalog.registry import big, query, rounded, sql
 from antecede.operators import events as E
 from antecede.operators import features as X
 from antecede.operators import history as H
+from antecede.operators import state as ST
 from antecede.operators.quality import row_missingness
 from antecede.plans.standin import CATEGORIES, CONFIG, FRAMES
+from antecede.session import scratch_path, stage
 
 SPEC = H.Spec()
 K4 = list(X.KEYS)
@@ -125,6 +127,14 @@ def expanding_median(t):
     )
 
 
+@query("running_median", """SELECT user_id, ts, event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) + 0.0 AS median_before FROM events""")
+def running_median(t):
+    """The expanding median of long histories: every event of a user, by counted value ranks."""
+    spec = H.Spec(entity=("user_id",), period=(), date="ts", game="event_id")
+    return rounded(H.running_median(t.events.select("user_id", "ts", "event_id", "value"), spec, "value", "median_before"))
+
+
 @query("days_rest", _app(
     f"{big(f'''date_diff('day', lag(game_date) OVER ({P.ACROSS}), game_date)''')} AS pitcher_days_rest"))
 def days_rest(t):
@@ -304,3 +314,71 @@ PRE_SELECT = f"""SELECT {', '.join(CONTEXT)}, {', '.join(FEATURES)},
 def pre_event_features(t):
     df = row_missingness(pre_event(t), FEATURES)
     return df.select(*CONTEXT, *FEATURES, *TARGETS, "missing_features")
+
+
+# --- carried-over state: later features from a state and the new games alone ----------------------
+
+
+def _inputs(t, keep):
+    """(appearances, pitcher, type and team metrics) of the games ``keep`` admits."""
+    return (
+        t.appearances.where(keep), E.entity_game_metrics(t.pitches.where(keep)),
+        E.category_game_metrics(t.typed_pitches.where(keep)), E.team_hand_metrics(t.team_pitches.where(keep)),
+    )
+
+
+def _games(inputs):
+    """Written, because every table of a state reads them."""
+    appearances, pitcher, types, _ = inputs
+    return stage(X.with_game_metrics(appearances, pitcher, types, CONFIG), "games")
+
+
+def _written(t, state: ST.HistoryState) -> ST.HistoryState:
+    path = scratch_path(t.spark, "state")
+    state.save(path)
+    return ST.HistoryState.load(t.spark, path)
+
+
+def state_before_2001(t) -> ST.HistoryState:
+    inputs = _inputs(t, F.col("season") < 2001)
+    return _written(t, ST.new_state(_games(inputs), inputs[0], inputs[3], CONFIG))
+
+
+def state_before_slate(t) -> ST.HistoryState:
+    """The state of the season's start, advanced by the games up to the slate."""
+    inputs = _inputs(t, (F.col("season") == 2001) & (F.col("game_date") < F.lit(SLATE)))
+    return _written(t, ST.advance(state_before_2001(t), _games(inputs), inputs[0], inputs[3], CONFIG))
+
+
+@query("state_season_features", sql(FEATURE_SELECT + " WHERE season = 2001", "features"))
+def state_season_features(t):
+    """A new season from the state after all earlier ones."""
+    appearances, pitcher, types, teams = _inputs(t, F.col("season") == 2001)
+    df = ST.feature_table(state_before_2001(t), appearances, pitcher, types, teams, CONFIG)
+    return df.select(*CONTEXT, *FEATURES, *TARGETS)
+
+
+@query("state_slate_features", sql(PRE_SELECT, "features"))
+def state_slate_features(t):
+    """One slate from an advanced state; the games of the slate have no metrics yet."""
+    unknown = {c: F.lit(None).cast("bigint") for c in TARGETS}
+    scheduled = t.appearances.where(F.col("game_date") == F.lit(SLATE)).withColumns(unknown)
+    nothing = _inputs(t, F.lit(False))
+    df = ST.feature_table(state_before_slate(t), scheduled, nothing[1], nothing[2], nothing[3], CONFIG)
+    return row_missingness(df, FEATURES).select(*CONTEXT, *FEATURES, *TARGETS, "missing_features")
+
+
+STATE_SUMS = ["k_count", "bf_metric", "pitches", "outs_history"]
+
+
+@query("state_totals", sql(f"""SELECT pitcher_mlbam_id, season, count(*) AS games, {', '.join(f'{big(f"sum({m})")} AS {m}' for m in STATE_SUMS)},
+  {big('count(DISTINCT pitches_thrown)')} AS distinct_values, {big('count(pitches_thrown)')} AS counted_games
+  FROM g WHERE game_date < DATE '2001-08-01'
+   AND (pitcher_mlbam_id, season) IN (SELECT (pitcher_mlbam_id, max(season)) FROM app WHERE game_date < DATE '2001-08-01' GROUP BY pitcher_mlbam_id)
+  GROUP BY pitcher_mlbam_id, season""", "g", "app"))
+def state_totals(t):
+    """The carried totals and value counts after one advance."""
+    state = state_before_slate(t)
+    counted = state.values.groupBy("pitcher_mlbam_id").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("counted_games"))
+    totals = state.totals.select("pitcher_mlbam_id", "season", "games", *STATE_SUMS)
+    return totals.join(counted, "pitcher_mlbam_id", "left").fillna(0, ["distinct_values", "counted_games"])

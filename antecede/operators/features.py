@@ -171,6 +171,11 @@ def entity_features(frame: DataFrame, config: FeatureConfig, categories: bool) -
         frame, SPEC, [f for f in config.frames if f.days is not None], H.RATE_METRICS
     )
 
+    return entity_rates(frame, config, categories)
+
+
+def entity_rates(frame: DataFrame, config: FeatureConfig, categories: bool) -> DataFrame:
+    """Rates and indicators from the sums of every frame, and the trend over them."""
     rates: dict[str, Column] = {}
     for window in config.frames:
         rates |= H.rate_columns(window, config.minimum)

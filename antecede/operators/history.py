@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.functions.expr import flag
+from antecede.session import stage
 
 
 @dataclass(frozen=True)
@@ -200,6 +201,59 @@ def indicator(column: str, value) -> Column:
     return flag(F.col(column) == F.lit(value))
 
 
+# --- expanding median of long histories --------------------------------------------------------
+
+RADIX = 16
+
+
+def running_median(df: DataFrame, spec: Spec, value: str, name: str) -> DataFrame:
+    """Keys and the median of the prior values of the period, in near-linear time.
+
+    ``expanding_median`` sorts all earlier values again for every row; that suits a season of games. Here values get
+    dense ranks, and each row asks for the one or two middle ranks of the values before it. The answer is found digit by
+    digit, highest first: running counts of the next digit, among values that share the digits found so far, say which digit
+    the wanted value has and how many values stand below it. A digit costs one pass over the rows and their questions, dealt
+    by (entity, digits found), so all but the first pass also split a single huge entity; the number of digits grows
+    with the logarithm of the distinct values. Missing values count for nothing, and rows without prior values get NULL.
+    """
+    key, order = spec.key, list(dict.fromkeys([spec.date, spec.game]))
+    ordered = Window.partitionBy(*key).orderBy(*order)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = stage(
+        df.select(
+            *key, *order, F.col(value).alias("_value"),
+            F.row_number().over(ordered).cast("bigint").alias("_at"), F.count(value).over(before).alias("_n"),
+            (F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col(value).asc_nulls_last())) - 1).cast("bigint").alias("_rank"),
+        ),
+        "ranked",
+    )
+    highest = ranked.agg(F.max("_rank")).first()[0] or 0
+    digits = 1
+    while RADIX**digits <= highest:
+        digits += 1
+    data = ranked.where(F.col("_value").isNotNull())
+    middle = F.array_distinct(F.array(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1))
+    asked = ranked.where("_n > 0").select(*key, "_at", F.explode(middle.cast("array<bigint>")).alias("_k"), F.lit(0).cast("bigint").alias("_node"))
+    for level in reversed(range(digits)):
+        step = RADIX**level
+        known = data.select(
+            *key, "_at", F.lit(None).cast("bigint").alias("_k"), F.floor(F.col("_rank") / (step * RADIX)).cast("bigint").alias("_node"),
+            F.pmod(F.floor(F.col("_rank") / step), F.lit(RADIX)).cast("int").alias("_digit"),
+        )
+        both = known.unionByName(asked, allowMissingColumns=True)
+        # At its own row a question stands before the value, so it counts prior values only.
+        over = Window.partitionBy(*key, "_node").orderBy("_at", F.col("_digit").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        upto = [F.count_if(F.col("_digit") <= d).over(over).alias(f"_c{d}") for d in range(RADIX)]
+        counted = both.select(*key, "_at", "_k", "_node", *upto).where(F.col("_k").isNotNull())
+        counts = F.array(*[F.col(f"_c{d}") for d in range(RADIX)])
+        found = counted.withColumn("_counts", counts).withColumn("_found", F.size(F.filter("_counts", lambda c: c < F.col("_k"))))
+        below = F.coalesce(F.try_element_at("_counts", F.nullif(F.col("_found"), F.lit(0))), F.lit(0))
+        asked = found.select(*key, "_at", (F.col("_k") - below).alias("_k"), (F.col("_node") * RADIX + F.col("_found")).cast("bigint").alias("_node"))
+    values = data.groupBy(*key, "_rank").agg(F.first("_value").alias("_value"))
+    answers = asked.withColumnRenamed("_node", "_rank").join(values, [*key, "_rank"]).groupBy(*key, "_at").agg(F.avg("_value").alias(name))
+    return ranked.join(answers, [*key, "_at"], "left").select(*key, *order, name)
+
+
 # --- the same columns for entities too large for one task -----------------------------------
 
 @dataclass(frozen=True)
