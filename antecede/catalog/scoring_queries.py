@@ -136,14 +136,11 @@ def feature_family_counts(t):
     return t.appearances.agg(F.count(F.lit(1)).alias("n_rows")).select(F.inline(sizes), "n_rows")
 
 
-FOLD = [c for c in FEATURES if c.startswith(("season_", "last120d_", "pitch"))]
-
-
 @query("fold_feature_columns", sql("SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count({c}) AS n FROM features WHERE season < 1997" for c in FOLD)
+    f"SELECT '{c}' AS column_name, count({c}) AS n FROM features WHERE season < 1997" for c in FEATURES)
     + ")", "features").replace("features AS (", "features AS MATERIALIZED ("))
 def fold_feature_columns(t):
-    return S.observed_columns(t.features.where(F.col("season") < 1997), FOLD)
+    return S.observed_columns(t.features.where(F.col("season") < 1997), FEATURES)
 
 
 # --- exact quantiles and diagnostics ---------------------------------------------------------------
@@ -187,6 +184,23 @@ def bucketed_errors(t):
     return rounded(D.bucketed_errors(won, t.score_rows))
 
 
+def _bucket_sql(totals: bool) -> str:
+    rows = [(b, b) for b in ("season", "pitcher_handedness", "projection_tier", "experience_bucket")]
+    rows += [("all", "CAST(NULL AS VARCHAR)")] if totals else []
+    return " UNION ALL ".join(
+        f"""SELECT target, model, split, '{kind}' AS bucket_type, {value} AS bucket_value, {r('avg(abs(e))')} AS mae,
+      {r('avg(e)')} AS bias, count(*) AS n FROM bucket_rows GROUP BY target, model, split{'' if kind == 'all' else f', {value}'}"""
+        for kind, value in rows)
+
+
+@query("error_rollup", sql(_bucket_sql(True), "bucket_rows"))
+def error_rollup(t):
+    """All groupings and totals from error sums that were made per season and merged."""
+    won = S.winners_only(t.forecasts, winners(t))
+    sums = D.error_sums(won, t.score_rows)
+    return rounded(D.merged_errors(sums, totals=True))
+
+
 @query("residual_summary", sql(f"""SELECT x.target, x.model, x.split, {r('residual_mean')} AS residual_mean,
    {r('residual_std')} AS residual_std, {r('residual_skew')} AS residual_skew, {r('a.q')} AS residual_p05,
    {r('b.q')} AS residual_p95, extreme_residual_count_gt3sd, zero_clipped_predictions, n FROM

@@ -22,10 +22,13 @@ def projection_tier(edges: str = "tier_edges") -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in TIERS]), below + 1)
 
 
-def bucketed_errors(predictions: DataFrame, context: DataFrame) -> DataFrame:
-    """MAE, bias and n by season, hand, projection tier and experience, for each split.
+BUCKETS = ("season", "pitcher_handedness", "projection_tier", "experience_bucket")
 
-    Terciles span all splits of a target. The four groupings share one aggregation.
+
+def error_sums(predictions: DataFrame, context: DataFrame) -> DataFrame:
+    """Counts and error sums per combination of all buckets: the mergeable table every grouping is made of.
+
+    Terciles span all splits of a target.
     """
     terciles = exact_quantiles(
         predictions, ["target", "model"], "prediction", [1 / 3, 2 / 3]
@@ -33,27 +36,44 @@ def bucketed_errors(predictions: DataFrame, context: DataFrame) -> DataFrame:
     experience = F.when(
         F.col("pitcher_starts_before_game") < EARLY_STARTS, "early_season"
     ).otherwise("established")
-    buckets = {
+    columns = [*PREDICTION_KEYS, "pitcher_handedness", "pitcher_starts_before_game"]
+    rows = predictions.join(context.select(*columns), list(PREDICTION_KEYS), "left").join(terciles, ["target", "model"])
+    values = {
         "season": F.col("season").cast("string"),
-        "pitcher_handedness": F.col("pitcher_handedness"),
         "projection_tier": projection_tier(),
         "experience_bucket": experience,
+        "error": signed_error(),
     }
-    pairs = F.array(
-        *[
-            F.struct(F.lit(name).alias("bucket_type"), value.alias("bucket_value"))
-            for name, value in buckets.items()
-        ]
+    return rows.withColumns(values).groupBy(*GROUP, *BUCKETS).agg(
+        F.sum(F.abs("error")).alias("abs_error"), F.sum("error").alias("error"), F.count(F.lit(1)).alias("n"), F.count("error").alias("known")
     )
-    columns = [*PREDICTION_KEYS, "pitcher_handedness", "pitcher_starts_before_game"]
-    rows = (
-        predictions.join(context.select(*columns), list(PREDICTION_KEYS), "left")
-        .join(terciles, ["target", "model"])
-        .select(*GROUP, signed_error().alias("error"), F.inline(pairs))
-    )
-    return rows.where(F.col("bucket_value").isNotNull()).groupBy(*GROUP, "bucket_type", "bucket_value").agg(
-        F.avg(F.abs("error")).alias("mae"), F.avg("error").alias("bias"), F.count(F.lit(1)).alias("n")
+
+
+def merged_errors(sums: DataFrame, totals: bool = False) -> DataFrame:
+    """MAE, bias and n of every bucket from ``error_sums`` (or several of them in a union), in one pass of grouping sets.
+
+    ``totals`` adds a row per group over all buckets. The sets expand the few rows of the sums, never the predictions.
+    """
+    group = [F.col(c) for c in GROUP]
+    sets = [[*group, F.col(b)] for b in BUCKETS] + ([group] if totals else [])
+    which = F.grouping_id()
+    # In the grouping id the bit of a column is 0 where the column is grouped; the first bucket has the highest bit.
+    every = (1 << len(BUCKETS)) - 1
+    value, kind = F.lit(None).cast("string"), F.lit("all")
+    for place, bucket in enumerate(BUCKETS):
+        own = F.col("which") == every - (1 << (len(BUCKETS) - 1 - place))
+        value, kind = F.when(own, F.col(bucket)).otherwise(value), F.when(own, bucket).otherwise(kind)
+    out = sums.groupingSets(sets, *group, *[F.col(b) for b in BUCKETS]).agg(
+        F.sum("abs_error").alias("abs_error"), F.sum("error").alias("error"), F.sum("n").alias("n"), F.sum("known").alias("known"), which.alias("which")
     )
+    known = F.nullif(F.col("known"), F.lit(0))
+    out = out.select(*GROUP, kind.alias("bucket_type"), value.alias("bucket_value"), (F.col("abs_error") / known).alias("mae"), (F.col("error") / known).alias("bias"), "n")
+    return out.where((F.col("bucket_type") == "all") | F.col("bucket_value").isNotNull())
+
+
+def bucketed_errors(predictions: DataFrame, context: DataFrame, totals: bool = False) -> DataFrame:
+    """MAE, bias and n by season, hand, projection tier and experience, for each split."""
+    return merged_errors(error_sums(predictions, context), totals)
 
 
 def residual_summary(predictions: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
