@@ -11,7 +11,7 @@ from antecede.catalog.registry import big, part, query, r, r6, sql
 from antecede.operators import features as X
 from antecede.plans.standin import bigint
 from antecede.session import scratch_path
-from antecede.sources import scan, sinks
+from antecede.sources import publish, scan, sinks
 
 SCAN = ["game_date", "game_id", "pitcher_mlbam_id", "batter", "events", "description", "p_throws",
         "inning_topbot", "zone", "release_speed", "at_bat_number", "pitch_number"]
@@ -168,3 +168,64 @@ def union_history_live(t):
     return both.groupBy("season", "source_rank").agg(
         F.count(F.lit(1)).alias("n"), F.sum("strikeouts").alias("strikeouts"), F.count("home_away").alias("with_side")
     )
+
+
+# --- gated and resumable writes ----------------------------------------------------------------
+
+SURPLUS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+LIMITS = {"surplus_keys": 0, "late_small": 2}
+
+
+@query("gated_publish", f"""WITH l AS (SELECT year(l_shipdate) AS season, *, row_number() OVER (PARTITION BY year(l_shipdate), {SURPLUS}) AS place FROM lineitem),
+ c AS (SELECT season, count(*) AS row_count, count(*) FILTER (place > 1) AS surplus_keys,
+  count(*) FILTER (month(l_shipdate) = 12 AND l_quantity < 2 AND l_discount = 0) AS late_small, {big('sum(l_linenumber)')} AS line_sum FROM l GROUP BY season)
+ SELECT CAST(season AS VARCHAR) AS season, CASE WHEN surplus_keys > 0 OR late_small > 2 THEN 'failed' ELSE 'complete' END AS status, row_count,
+  surplus_keys, late_small, CASE WHEN surplus_keys > 0 OR late_small > 2 THEN 0 ELSE row_count END AS published_rows,
+  CASE WHEN surplus_keys > 0 OR late_small > 2 THEN NULL ELSE line_sum END AS line_sum FROM c""")
+def gated_publish(t):
+    """Every season in one scan each: written, observed, and published only where the checks pass."""
+    root = scratch_path(t.spark, "published")
+    rows = t.lineitem.select(F.year("l_shipdate").alias("season"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity", "l_discount")
+    late = (F.month("l_shipdate") == 12) & (F.col("l_quantity") < 2) & (F.col("l_discount") == 0)
+    for (season,) in sorted(rows.select("season").distinct().collect()):  # a handful of seasons
+        part, surplus = publish.with_duplicates(rows.where(F.col("season") == season), SURPLUS.split(", "), "surplus_keys")
+        publish.publish(part, root, season, surplus | {"late_small": F.count_if(late)}, LIMITS, drop=["_place"], strict=False)
+    log = publish.manifest(t.spark, root)
+    back = publish.published(t.spark, root)
+    sums = back.groupBy(F.col("season").cast("string").alias("part")).agg(F.count(F.lit(1)).alias("published_rows"), F.sum("l_linenumber").cast("bigint").alias("line_sum"))
+    return log.join(sums, "part", "left").select(
+        F.col("part").alias("season"), "status", "row_count", F.col("findings")["surplus_keys"].alias("surplus_keys"),
+        F.col("findings")["late_small"].alias("late_small"), F.coalesce("published_rows", F.lit(0)).alias("published_rows"), "line_sum",
+    )
+
+
+INGEST_DAYS = 150
+
+
+@query("resumed_ingest", sql(f"""SELECT chunk, min(d) AS first_date, max(d) AS last_date, count(*) AS row_count, {big('sum(l_linenumber)')} AS line_sum, CAST(1 AS BIGINT) AS n_reads
+  FROM (SELECT CAST(l_shipdate AS DATE) AS d, l_linenumber,
+   CAST(date_diff('day', (SELECT low FROM span), CAST(l_shipdate AS DATE)) // {INGEST_DAYS} AS BIGINT) AS chunk FROM lineitem) GROUP BY chunk""", "span"))
+def resumed_ingest(t):
+    """A run that dies between chunks, repeated: finished chunks are not read again and the result is that of one run."""
+    root = scratch_path(t.spark, "ingest")
+    rows = t.lineitem.select(F.to_date("l_shipdate").alias("d"), "l_linenumber")
+    calendar, reads = scan.calendar_of(rows, "d", INGEST_DAYS), []
+
+    def read(row):
+        if len(reads) == 3:
+            reads.append(None)
+            raise ConnectionError("source went away")
+        reads.append(row.chunk)
+        return rows.where(F.col("d").between(row.chunk_start, row.chunk_end)).withColumn("chunk", F.lit(row.chunk).cast("bigint"))
+
+    checks = {"missing_dates": F.count_if(F.col("d").isNull())}
+    try:
+        publish.ingest(calendar, root, read, checks)
+    except ConnectionError:
+        publish.ingest(calendar, root, read, checks)
+    times = F.lit(0).cast("bigint")
+    for chunk in sorted({r for r in reads if r is not None}):
+        times = F.when(F.col("chunk") == chunk, F.lit(reads.count(chunk)).cast("bigint")).otherwise(times)
+    return publish.published(t.spark, root).groupBy("chunk").agg(
+        F.min("d").alias("first_date"), F.max("d").alias("last_date"), F.count(F.lit(1)).alias("row_count"), F.sum("l_linenumber").cast("bigint").alias("line_sum")
+    ).withColumn("n_reads", times)

@@ -79,13 +79,15 @@ def _outside(column: Column, bounds: tuple[int, int]) -> Column:
     return (number < bounds[0]) | (number > bounds[1])
 
 
-def validity_report(df: DataFrame) -> DataFrame:
-    """One row with the counts of every value rule of the raw event feed."""
-    require_columns(df, K.REQUIRED_COLUMNS, "raw feed")
+def validity_checks(columns: Sequence[str]) -> dict[str, Column]:
+    """Counts of every value rule of the raw event feed, as aggregates of one pass: for a report or to observe a write."""
+    missing = sorted(set(K.REQUIRED_COLUMNS) - set(columns))
+    if missing:
+        raise QualityError(f"raw feed is missing columns: {missing}")
     side = F.lower(F.col("inning_topbot").cast("string"))
     side = F.when(side == "bot", F.lit("bottom")).otherwise(side)
     text_type = F.col("pitch_type").cast("string")
-    checks = {
+    return {
         "rows": F.count(F.lit(1)),
         "invalid_dates": F.count_if(F.col("game_date").try_cast("date").isNull()),
         **{
@@ -101,16 +103,21 @@ def validity_report(df: DataFrame) -> DataFrame:
         "invalid_pitch_numbers": F.count_if(_outside(F.col("pitch_number"), K.PITCH_NUMBER_RANGE)),
         "invalid_pitch_types": F.count_if(F.length(text_type) != K.PITCH_TYPE_LENGTH),
     }
-    return df.agg(*[expr.alias(name) for name, expr in checks.items()])
+
+
+def validity_report(df: DataFrame) -> DataFrame:
+    """One row with the counts of every value rule of the raw event feed."""
+    return df.agg(*[expr.alias(name) for name, expr in validity_checks(df.columns).items()])
+
+
+def missing_critical() -> Column:
+    """How many values of the critical columns are missing, as an aggregate."""
+    return null_free_sum([F.count_if(F.col(c).isNull()) for c in K.CRITICAL_COLUMNS])
 
 
 def full_report(df: DataFrame) -> DataFrame:
     """Validity counts plus duplicates and missing critical values, still one row."""
-    missing = df.agg(
-        null_free_sum(
-            [F.count_if(F.col(c).isNull()) for c in K.CRITICAL_COLUMNS]
-        ).alias("missing_critical_values")
-    )
+    missing = df.agg(missing_critical().alias("missing_critical_values"))
     return validity_report(df).crossJoin(duplicate_count(df, K.DUPLICATE_KEY)).crossJoin(missing)
 
 
