@@ -204,12 +204,12 @@ def market_ranking(t):
     return ranked.select(*QUOTE, "higher_ev_side", *[r6(n).alias(n) for n in names])
 
 
-@query("market_grid_gaps", sql("""SELECT s_suppkey AS pitcher_mlbam_id, target FROM supplier
-  CROSS JOIN (VALUES ('strikeouts'), ('outs_recorded')) v(target) WHERE (s_suppkey, target) NOT IN
-  (SELECT (pitcher_mlbam_id, target) FROM quotes WHERE quote_date >= DATE '2001-10-20')""", "quotes"))
+@query("market_grid_gaps", sql(f"""SELECT s_suppkey AS pitcher_mlbam_id, target FROM supplier
+  CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in K.TARGETS)}) v(target) WHERE (s_suppkey, target) NOT IN
+  (SELECT (pitcher_mlbam_id, target) FROM quotes)""", "quotes"))
 def market_grid_gaps(t):
-    recent = quotes(t).where(F.col("quote_date") >= F.lit("2001-10-20").cast("date"))
-    return M.market_grid_gaps(t.supplier.select(F.col("s_suppkey").alias("pitcher_mlbam_id")), recent)
+    """Markets of all targets that no quote of any date covers."""
+    return M.market_grid_gaps(t.supplier.select(F.col("s_suppkey").alias("pitcher_mlbam_id")), quotes(t), K.TARGETS)
 
 
 # --- decisions ---------------------------------------------------------------------------------------

@@ -1,13 +1,12 @@
 """Spark ML queries.
 
-Ridge, Poisson and importance run on all features and are checked by their own equations. Product, walk-forward, holdout and
+Ridge, Poisson and importance run on all features; tests check them by their own equations, and a ridge on three inputs has a closed form in SQL. Product, walk-forward, holdout and
 refit forecasts have no SQL twin and run on all features, splits and targets. Only the tree and ensemble queries run on the workload
 features with fewer tree rounds; the library default is the published number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from antecede.catalog.history_queries import FEATURES
@@ -22,7 +21,6 @@ LAST = ("train_1995_1999_validate_2000", [1995, 1996, 1997, 1998, 1999], 2000)
 PREVIOUS = ("train_1995_1998_validate_1999", [1995, 1996, 1997, 1998], 1999)
 TARGETS = ("strikeouts", "outs_recorded")
 EVERY_TARGET = ("strikeouts", "outs_recorded", "batters_faced", "pitches_thrown")
-FITTED = ["season_k_pct", "last3_csw_pct", "pitcher_days_rest", "pitch_PROMO_velocity", "opponent_team_k_pct"]
 
 
 def staged_features(t):
@@ -32,21 +30,31 @@ def staged_features(t):
 part("train", "SELECT * FROM features WHERE season < 2000", "features")
 
 
-@query("median_impute", sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, q AS median, (SELECT count(*) FILTER ({c} IS NULL) FROM train) AS missing FROM "
-    + quantile_sql("(SELECT 1 AS one, * FROM train)", "one", c, 0.5) for c in FITTED), "train").replace(
-    "train AS (", "train AS MATERIALIZED ("))
+MEDIANS = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}" for c in FEATURES)
+
+
+@query("median_impute", sql("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {r(c)} AS median, (SELECT count(*) FILTER ({c} IS NULL) FROM train) AS missing FROM medians" for c in FEATURES)
+    + ")", "train").replace("train AS (", "train AS MATERIALIZED (").replace("\nSELECT * FROM (", f",\nmedians AS MATERIALIZED (SELECT {MEDIANS} FROM train)\nSELECT * FROM (", 1))
 def median_impute(t):
+    """Exact medians and missing counts of every feature in the training fold."""
     train = t.features.where(F.col("season") < 2000)
-    return M.column_medians(train, FITTED)
+    return rounded(M.column_medians(train, FEATURES))
 
 
-@query("standard_scale", sql("SELECT " + ", ".join(
-    f"{r(f'avg({v})')} AS mean_{c}, {r(f'stddev_pop({v})')} AS std_{c}"
-    for c, v in ((c, f"coalesce({c}, 0.5)") for c in FITTED)) + " FROM train", "train"))
+@query("standard_scale", sql("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {r(f'avg(coalesce(train.{c}, medians.{c}))')} AS mean, {r(f'stddev_pop(coalesce(train.{c}, medians.{c}))')} AS std FROM train, medians"
+    for c in FEATURES) + ")", "train").replace("train AS (", "train AS MATERIALIZED (").replace(
+    "\nSELECT * FROM (", f",\nmedians AS MATERIALIZED (SELECT {MEDIANS} FROM train)\nSELECT * FROM (", 1))
 def standard_scale(t):
-    inputs = M.imputed(FITTED, {c: 0.5 for c in FITTED}, [])
-    return rounded(M.scale_row(t.features.where(F.col("season") < 2000), inputs))
+    """Mean and spread of every feature after its own median has filled the gaps."""
+    train = stage(t.features.where(F.col("season") < 2000), "train")
+    medians = {x.column_name: x.median for x in M.column_medians(train, FEATURES).collect()}  # one value per column
+    known = [c for c in FEATURES if medians[c] is not None]
+    row = M.scale_row(train, M.imputed(known, medians, []))
+    pairs = ", ".join(f"'{c}', `mean_{c}`, `std_{c}`" for c in known)
+    every = t.spark.createDataFrame([(c,) for c in FEATURES], "column_name string")
+    return rounded(every.join(row.selectExpr(f"stack({len(known)}, {pairs}) as (column_name, mean, std)"), "column_name", "left"))
 
 
 def _one(t, models, target="strikeouts", family="workload", rounds=ROUNDS):
@@ -59,46 +67,62 @@ def _one(t, models, target="strikeouts", family="workload", rounds=ROUNDS):
     )
 
 
-def _fold(t):
+def _fold(t, columns=None):
     features = staged_features(t)
-    columns = S.feature_columns(features, "full", ROLLING)
+    columns = columns or S.feature_columns(features, "full", ROLLING)
     split, seasons, season = LAST
     train = stage(features.where(F.col("season").isin(*seasons)), "train")
     return M.Fold(train, columns), features.where(F.col("season") == season), columns, split
 
 
-def _checked(rows, sound: bool):
-    """Forecast rows with the two checks instead of the forecast."""
-    real = F.col("prediction").isNotNull() & ~F.isnan("prediction")
-    return rows.select(*S.PREDICTION_KEYS, "target", "model", "split", "actual", real.alias("forecast"), F.lit(bool(sound)).alias("sound"))
-
-
-def _expected(models, targets=("strikeouts",), split=LAST[0], where="season = 2000"):
-    return " UNION ALL ".join(
-        f"SELECT season, game_id, pitcher_mlbam_id, '{target}' AS target, '{model}' AS model, '{split}' AS split, "
-        f"CAST({target} AS DOUBLE) AS actual, true AS forecast, true AS sound FROM app WHERE {where}"
-        for target in targets for model in models
-    )
-
-
-def _linear(t, kind, tolerance):
-    fold, test, columns, split = _fold(t)
-    model = M.fit(fold, columns, "strikeouts", kind)
-    rows = M.predict(model, test).select(
+def _linear(t, kind, columns=None):
+    fold, test, every, split = _fold(t, columns)
+    model = M.fit(fold, every, "strikeouts", kind)
+    return M.predict(model, test).select(
         *S.PREDICTION_KEYS, F.lit("strikeouts").alias("target"), F.lit(kind).alias("model"), F.lit(split).alias("split"),
         F.col("strikeouts").cast("double").alias("actual"), "prediction",
     )
-    return _checked(rows, M.unsolved(model, fold.train, "strikeouts", kind) < tolerance)
 
 
-@query("model_ridge", sql(_expected(["ridge"]), "app"))
+@query("model_ridge")
 def model_ridge(t):
-    return _linear(t, "ridge", 1e-6)
+    """Forecasts on all features; tests hold the fitted weights against the normal equations."""
+    return _linear(t, "ridge")
 
 
-@query("model_poisson", sql(_expected(["poisson"]), "app"))
+@query("model_poisson")
 def model_poisson(t):
-    return _linear(t, "poisson", 1e-4)
+    """Forecasts on all features; tests hold the fitted weights against the score equations."""
+    return _linear(t, "poisson")
+
+
+THREE = ("month", "home_indicator", "pitcher_starts_before_game")
+
+
+def _three_input_sql() -> str:
+    """Ridge on three centred and scaled inputs, solved by Cramer's rule."""
+    stats = ", ".join(f"avg({c}) AS m{k}, stddev_pop({c}) AS s{k}" for k, c in enumerate(THREE))
+    z = ", ".join(f"(f.{c} - m{k}) / s{k} AS z{k}" for k, c in enumerate(THREE))
+    cells = ", ".join(f"sum(z{i} * z{j}) + {10.0 if i == j else 0.0} AS a{i}{j}" for i in range(3) for j in range(3))
+    right = ", ".join(f"sum(z{i} * (strikeouts - my)) AS b{i}" for i in range(3))
+
+    def det(col=None):
+        a = [[f"b{i}" if j == col else f"a{i}{j}" for j in range(3)] for i in range(3)]
+        return " + ".join(f"{a[0][j]} * ({a[1][(j + 1) % 3]} * {a[2][(j + 2) % 3]} - {a[1][(j + 2) % 3]} * {a[2][(j + 1) % 3]})" for j in range(3))
+
+    weights = ", ".join(f"({det(k)}) / ({det()}) AS w{k}" for k in range(3))
+    return sql("@", "train").replace("\n@", f""",
+    st AS (SELECT avg(strikeouts) AS my, {stats} FROM train),
+    z AS (SELECT f.season, f.game_id, f.pitcher_mlbam_id, f.strikeouts, my, {z} FROM features f, st WHERE f.season <= 2000),
+    e AS (SELECT {cells}, {right} FROM z WHERE season < 2000), w AS (SELECT {weights} FROM e)
+    SELECT season, game_id, pitcher_mlbam_id, 'strikeouts' AS target, 'ridge' AS model, '{LAST[0]}' AS split, CAST(strikeouts AS DOUBLE) AS actual,
+      {r('my + w0 * z0 + w1 * z1 + w2 * z2')} AS prediction FROM z, w WHERE season = 2000""")
+
+
+@query("ridge_three_inputs", _three_input_sql())
+def ridge_three_inputs(t):
+    """The same estimator on three inputs, small enough for a closed form in SQL."""
+    return rounded(_linear(t, "ridge", list(THREE)), "prediction")
 
 
 @query("model_gbt")
@@ -170,18 +194,10 @@ def production_refit(t):
     return _final(t, [c for c in FEATURES if c in S.feature_columns(features, "full", ROLLING)], 2001, features)
 
 
-@query("permutation_importance", sql(
-    "SELECT count(*) AS rows, 3 * count(*) AS variants, 15 AS listed, 0.0::DOUBLE AS constant_importance, true AS ranked FROM app WHERE season = 2001", "app"))
+@query("permutation_importance")
 def permutation_importance(t):
-    """Importance on the whole holdout; a column with one value must have none."""
-    features = staged_features(t).withColumn("same_everywhere", F.lit(1.0))
+    """The importance of every feature on the whole holdout, most important first."""
+    features = staged_features(t)
     columns = S.feature_columns(features, "full", ROLLING)
-    columns = columns if "same_everywhere" in columns else [*columns, "same_everywhere"]
     model = M.fit(features.where(F.col("season") < 2001), columns, "strikeouts", "ridge")
-    every = stage(M.permutation_importance(model, features.where(F.col("season") == 2001), columns, "strikeouts", top=len(columns)), "ranked")
-    falls = F.lag("importance_mae_increase").over(Window.orderBy("rank")) < F.col("importance_mae_increase")
-    return every.withColumn("falls", falls).agg(
-        F.max("rows").alias("rows"), F.max("variants").alias("variants"), F.count_if(F.col("rank") <= 15).cast("int").alias("listed"),
-        F.abs(F.max(F.when(F.col("feature") == "same_everywhere", F.round("importance_mae_increase", 12)))).alias("constant_importance"),
-        (F.count_if("falls") == 0).alias("ranked"),
-    )
+    return M.permutation_importance(model, features.where(F.col("season") == 2001), columns, "strikeouts", top=len(columns))
