@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 
@@ -19,13 +20,16 @@ from antecede.functions.expr import as_col, lookup
 
 @cache
 def _compatible() -> tuple[tuple[str, str], ...]:
-    """Every character outside ASCII with the lower compatibility form, combining marks removed."""
+    """Characters outside ASCII that have a lower compatibility form, with that form, combining marks removed.
+
+    Only the first two planes have forms with ASCII letters or digits in them.
+    """
     pairs = []
-    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
-        base = unicodedata.normalize("NFKD", chr(code).lower())
-        if not base.isascii():
-            base = "".join(c for c in base if not unicodedata.combining(c))
-        pairs.append((chr(code), base))
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
+        letter = chr(code)
+        if unicodedata.decomposition(letter) or letter.lower() != letter:
+            base = unicodedata.normalize("NFKD", letter.lower())
+            pairs.append((letter, base if base.isascii() else "".join(c for c in base if not unicodedata.combining(c))))
     return tuple(pairs)
 
 
@@ -40,6 +44,12 @@ def _plain_letters() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@cache
+def _marks() -> str:
+    """Rule: every combining mark of the first two planes, where all of them are."""
+    return "".join(chr(code) for code in [*range(0x80, 0xD800), *range(0xE000, 0x20000)] if unicodedata.combining(chr(code)))
+
+
 @cache
 def _letter_groups() -> tuple[tuple[str, str], ...]:
     """Rule: characters whose compatibility form is longer and holds an ASCII letter or digit; all
@@ -56,23 +66,29 @@ def normalize_text(value) -> Column:
     """Lower case, no accents, runs of anything but a-z and 0-9 become one space; never NULL."""
     source, target = _plain_letters()
     text = F.lower(as_col(value))
-    plain = F.translate(text, source, target)
-    plain = F.when(
-        plain.rlike("[" + "".join(letter for letter, _ in _letter_groups()) + "]"), _replace_all(plain)
-    ).otherwise(plain)
     # Plain ASCII, by far the most names, skips the letter tables.
     text = F.when(
-        text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, r"\p{M}+", "")
+        F.octet_length(text) > F.char_length(text),
+        _once(F.translate(text, source + _marks(), target), _long_forms),  # marks have no target and go
     ).otherwise(text)
     return F.coalesce(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), F.lit(""))
 
 
-def _replace_all(text: Column) -> Column:
-    """Letter by letter through one table; only texts that hold such a letter come here."""
-    letters, forms = zip(*_letter_groups())
-    table = F.map_from_arrays(F.lit(list(letters)), F.lit(list(forms)))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _long_forms(text: Column) -> Column:
+    """Letters with longer forms replaced, one by one; only texts that hold one come this far.
+
+    Whether a text holds one is seen by taking them all out, one table look-up per character.
+    """
+    forms = dict(_letter_groups())
+    table = F.from_json(F.lit(json.dumps(forms)), "map<string,string>")  # folded to one constant
     characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    return F.array_join(F.transform(characters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    replaced = F.array_join(F.transform(characters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(F.char_length(F.translate(text, "".join(forms), "")) < F.char_length(text), replaced).otherwise(text)
 
 
 def first_last(value) -> Column:
