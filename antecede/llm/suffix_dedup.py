@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import map_batches, stage
+from antecede.llm.common import discard, map_batches, stage
 
 DEPTH, GRAM = 100, 32
 PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 is one of two members of the cover
@@ -202,9 +202,10 @@ def repeated(docs: DataFrame, depth: int = DEPTH, block_rows: int = BLOCK_ROWS,
     """(doc_id, text_key, start, n): ``n`` strings of ``depth`` bytes from ``start`` on also start earlier."""
     keyed = docs.where(F.octet_length("text") >= depth).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     ranges = "doc_id bigint, text_key bigint, start bigint, n bigint"
-    every = stage(map_batches(keyed, find_stretches(depth), f"{ranges}, bucket bigint, whole bigint"), "stretches")
-    shared = every.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket")
-    every = stage(every.join(stage(shared, "shared-buckets"), "bucket"), "shared-stretches")  # both sides as written, so a hot bucket can be split
+    found = stage(map_batches(keyed, find_stretches(depth), f"{ranges}, bucket bigint, whole bigint"), "stretches")
+    shared = found.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket")
+    every = stage(found.join(stage(shared, "shared-buckets"), "bucket"), "shared-stretches")  # both sides as written, so a hot bucket can be split
+    discard(found)
     place = F.struct(*KEY, "start")
     distinct = every.groupBy("bucket", "whole").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"))
     distinct = stage(distinct, "distinct-stretches")
