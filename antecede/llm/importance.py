@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.common import ascii_lower, map_batches, stage
+from antecede.llm.common import ascii_lower, discard, map_batches, stage, stage_packed
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: The first word of a line and the second, if there is one; on the reversed line the last two.
@@ -71,8 +71,13 @@ def crossing(lines: list[bytes]) -> list[int]:
     return found
 
 
+def _kind(buckets: int) -> type:
+    """The smallest number that holds a bucket; packed lists of them are most of what is staged."""
+    return np.uint16 if buckets <= 1 << 16 else np.uint32
+
+
 def _packed(values: list[int], buckets: int) -> bytes:
-    return (np.array(values, np.uint32) % buckets).astype(np.uint32).tobytes()
+    return (np.array(values, np.uint32) % buckets).astype(_kind(buckets)).tobytes()
 
 
 def read_documents(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -106,10 +111,10 @@ def read_lines(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _lists(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The numbers packed in a binary column and how many each row has."""
-    packed = column.to_pylist()
-    return np.frombuffer(b"".join(packed), np.uint32), np.array([len(x) for x in packed], np.int64) // 4
+    packed, kind = column.to_pylist(), np.dtype(_kind(buckets))
+    return np.frombuffer(b"".join(packed), kind), np.array([len(x) for x in packed], np.int64) // kind.itemsize
 
 
 def count_buckets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,7 +123,7 @@ def count_buckets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            values, sizes = _lists(batch.column("features"))
+            values, sizes = _lists(batch.column("features"), buckets)
             times = np.repeat(batch.column("times").to_numpy(), sizes)
             total += np.bincount(values, times, buckets).astype(np.int64)  # below 2**53 in one batch, so exact
         held = np.flatnonzero(total)
@@ -132,7 +137,7 @@ def weigh(gains: np.ndarray, column: str, keep: list[str]) -> Callable[[Iterator
 
     def run(batches):
         for batch in batches:
-            values, sizes = _lists(batch.column(column))
+            values, sizes = _lists(batch.column(column), len(gains))
             summed = np.concatenate([[0], np.cumsum(gains[values])])
             ends = np.cumsum(sizes)
             weights = summed[ends] - summed[ends - sizes]
@@ -147,9 +152,9 @@ class Features:
     def __init__(self, docs: DataFrame, buckets: int):
         self.buckets = buckets
         numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-        self.rows = stage(map_batches(numbered, read_documents(buckets), "row bigint, doc_id bigint, lines array<binary>, cross binary"), "rows")
+        self.rows = stage_packed(map_batches(numbered, read_documents(buckets), "row bigint, doc_id bigint, lines array<binary>, cross binary"), "rows")
         lines = docs.select(F.explode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("line")).groupBy("line").agg(F.count("*").alias("times"))
-        self.lines = stage(map_batches(lines, read_lines(buckets), "line binary, words bigint, features binary, times bigint"), "lines")
+        self.lines = stage_packed(map_batches(lines, read_lines(buckets), "line binary, words bigint, features binary, times bigint"), "lines")
 
     def totals(self) -> np.ndarray:
         """Features per bucket over the whole table."""
@@ -203,6 +208,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
         .withColumn("n_features", n + F.greatest(n - 1, F.lit(0)) + F.greatest(n - 2, F.lit(0))),
         "scored",
     )
+    for staged in (corpus.rows, corpus.lines, wanted.rows, wanted.lines):
+        discard(staged)
     eligible = scored.where(n >= least_words)
     drawn = ranked(eligible, percent * eligible.count() // 100)
     return scored.join(drawn, "row", "left").select("doc_id", "n_features", "weight", "score", "rank")
