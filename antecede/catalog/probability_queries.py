@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from antecede.catalog.registry import big, part, query, r, r6, rounded, sql
 from antecede.catalog.scoring_queries import quantile_sql
+from antecede.functions import constants as K
 from antecede.functions.expr import clip_probability
 from antecede.functions.tails import negative_binomial_over, poisson_over
+from antecede.operators import bundle as B
 from antecede.operators import calibration as C
 from antecede.operators import distributions as D
 from antecede.operators import scoring as S
 from antecede.plans.standin import GRIDS, HOLDOUT_SEASON
+from antecede.session import scratch_path
 
 KEY = "season, game_id, pitcher_mlbam_id, target"
 part("points", f"""SELECT {KEY}, actual, prediction FROM predictions
@@ -148,6 +153,41 @@ def conditional_empirical_tail(t):
     return rows.select(*OUT, "actual_over", r6("probability_over").alias("probability_over"))
 
 
+CONDITIONAL_SQL = sql(f"""SELECT {KEY}, line, actual_over, {r(clipped('share'))} AS probability_over
+  FROM asked_bins JOIN (SELECT a.target, a.use_bin, th, count(*) FILTER (v > th) / CAST(count(*) AS DOUBLE) AS share
+    FROM (SELECT DISTINCT target, use_bin, th FROM asked_bins) a JOIN pool p ON p.target = a.target AND p.bin = a.use_bin
+    GROUP BY a.target, a.use_bin, th) USING (target, use_bin, th)""", "asked_bins", "pool")
+
+
+@query("merged_residual_tail", CONDITIONAL_SQL)
+def merged_residual_tail(t):
+    """The same probabilities from residuals that were counted season by season and added up."""
+    history = dev(t)
+    edges = D.bin_edges(history, ["target"])
+    seasons = sorted(x.season for x in history.select("season").distinct().collect())  # a handful
+    table = B.ResidualTable.of(history.where(F.col("season") == seasons[0]), ["target"], edges)
+    for season in seasons[1:]:
+        table = table.with_history(history.where(F.col("season") == season))
+    rows = table.probabilities(holdout(t), GRIDS)
+    return rows.select(*OUT, "actual_over", r6("probability_over").alias("probability_over"))
+
+
+@query("frozen_bundle_forward", CONDITIONAL_SQL)
+def frozen_bundle_forward(t):
+    """Models and residuals frozen on the seasons before the holdout, saved, loaded, and applied to it."""
+    past = t.score_rows.where(F.col("season") < HOLDOUT_SEASON)
+    means = past.agg(*[F.avg(target).alias(target) for target in GRIDS]).first().asDict()
+    models = {}
+    for target, mean in means.items():
+        own = f"coalesce(`{K.NAIVE_FEATURE[target]}`, {mean!r}D)"
+        models[target] = PipelineModel([SQLTransformer(statement=f"select *, ({own} + {mean!r}D) / 2.0D as prediction from __THIS__")])
+    path = scratch_path(t.spark, "bundle")
+    B.freeze(path, models, sorted({K.NAIVE_FEATURE[target] for target in GRIDS}), B.ResidualTable.of(dev(t), ["target"]), "v1")
+    bundle = B.load(t.spark, path, "v1")
+    rows = bundle.probabilities(t.score_rows.where(F.col("season") == HOLDOUT_SEASON), GRIDS)
+    return rows.select(*OUT, "actual_over", r6("probability_over").alias("probability_over"))
+
+
 # --- method selection over expanding folds --------------------------------------------------------
 
 part("folds", f"""SELECT DISTINCT p.season AS fold FROM points p WHERE season < {HOLDOUT_SEASON} AND
