@@ -1,20 +1,19 @@
 """Line dedup in content-defined chunks of lines, with DataFrame functions only.
 
-A text is split at line feeds. A chunk ends after a line where a rolling hash over the hashes of that line
-and the one before it is 0 modulo ``DIVISOR``; where lines known from elsewhere in the corpus meet lines
-that are not; and on both sides of a line of more than ``PASSAGE_WORDS`` words. The hash starts anew at the two last
-kinds of boundary, and no hash boundary leaves one line by itself. So boundaries follow content: an
-inserted line moves no boundary further away than two lines, and a repeated passage is cut out of whatever
-stands around it. ``restart=False`` lets the hash run on and leaves such lines alone, as the check SQL of
-``op7_line_dedup`` has it; the copies of a passage may then be cut differently and stay.
+A text is split at line feeds. A run is a stretch of lines that are all known from elsewhere in the corpus or all not, with
+none of more than ``PASSAGE_WORDS`` words; such a long line is a run of its own. A chunk ends where a run ends, and inside a
+run after a line where a rolling hash over the hashes of that line and the one before it is 0 modulo ``DIVISOR``, unless
+that would leave one line by itself. The hash starts anew with each run. So boundaries follow content: an
+inserted line moves no boundary further away than two lines, and a repeated passage is cut alike whatever stands around it.
 
 A chunk that occurs more than once in the corpus and has several lines, or is one such long line, stays where it
 occurs first (smallest doc_id, then place) and is removed elsewhere, after its bytes were compared with those that
 stay. Single shorter lines are never removed.
 
 Only hashes are shuffled to find chunks: one partial aggregate counts lines, one counts chunks, so a line or
-chunk that a third of all documents hold is one row per task. Texts are shuffled twice, to fetch the chunks for
-the comparison and to rebuild. Every array belongs to one document.
+chunk that a third of all documents hold is one row per task. Boundaries are window functions over the lines of a
+document, one row a line, so the work is linear in lines. Texts are shuffled twice, to fetch the chunks for
+the comparison and to rebuild.
 
 Defined cases: a null text stays null, an empty one empty; a document whose chunks are all removed keeps its row with
 an empty text; rows equal in doc_id and text count as one document and get one result each; a null doc_id sorts first;
@@ -23,7 +22,7 @@ extra columns pass through unchanged whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.llm.common import stage
@@ -45,33 +44,31 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
-def chunk_table(lines: DataFrame, divisor: int, restart: bool = True) -> DataFrame:
+def chunk_table(lines: DataFrame, divisor: int) -> DataFrame:
     """(doc_id, text_key, start, size, chunk) of the repeated chunks a document could lose.
 
-    ``lines`` has one row per document with ``l``, its lines in order as structs of place, hash, whether
-    the line is known from elsewhere and whether it is long.
+    ``lines`` has one row per line: place, hash, whether the line is known from elsewhere and whether it is long.
     """
-    # A run is a stretch of lines that are all known or all new, with none long; its ends are always boundaries.
-    run_ends = "(i = size(l) - 1 OR l[i].known <> l[i + 1].known OR l[i].long OR l[i + 1].long)"
-    run_starts = "(i = 0 OR l[i - 1].known <> l[i].known OR l[i - 1].long OR l[i].long)"
-    before = f"CASE WHEN {run_starts if restart else 'i = 0'} THEN 0 ELSE l[i - 1].hash % 1000003 END"
-    cuts = lines.withColumn("cut", F.expr(f"""
-        transform(sequence(0, size(l) - 1), i -> {run_ends} OR (({before}) * 31 + l[i].hash % 1000003) % {divisor} = 0)
-    """))
-    lone = f"({run_starts} OR cut[i + 1])" if restart else "false"  # a cut here would leave a line of the run by itself
-    bounded = cuts.withColumn("ends", F.expr(f"filter(sequence(0, size(l) - 1), i -> {run_ends} OR (cut[i] AND NOT {lone}))"))
-    chunked = bounded.withColumn("chunks", F.expr("""
-        transform(ends, (e, k) -> struct(
-            CASE WHEN k = 0 THEN 0 ELSE ends[k - 1] + 1 END AS start,
-            CASE WHEN k = 0 THEN e + 1 ELSE e - ends[k - 1] END AS size))
-    """)).withColumn("chunks", F.expr("filter(chunks, c -> l[c.start].known AND (c.size > 1 OR l[c.start].long))"))
-    return chunked.select(*KEY, "l", F.explode("chunks").alias("c")).select(
-        *KEY, "c.*",
-        F.md5(F.expr("array_join(transform(slice(l, c.start + 1, c.size), x -> CAST(x.hash AS STRING)), ',')").cast("binary")).alias("chunk"),
+    order = Window.partitionBy(*KEY).orderBy("place")
+    known, long, number = F.col("known"), F.col("long"), F.col("hash") % 1000003
+    # The window functions of one document share one sort; the ends of a run are always boundaries.
+    run = lines.withColumn("run_ends", F.coalesce((known != F.lead("known").over(order)) | long | F.lead("long").over(order), F.lit(True)))
+    run = run.withColumn("run_starts", F.coalesce(F.lag("run_ends").over(order), F.lit(True)))
+    before = F.when(F.col("run_starts"), 0).otherwise(F.lag(number).over(order))
+    cut = run.withColumn("cut", F.col("run_ends") | ((before * 31 + number) % divisor == 0))
+    lone = F.col("run_starts") | F.lead("cut").over(order)
+    ends = cut.withColumn("ends", F.col("run_ends") | (F.col("cut") & ~F.coalesce(lone, F.lit(False))))
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    part = ends.withColumn("part", F.coalesce(F.sum(F.col("ends").cast("int")).over(upto), F.lit(0)))
+    hashes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"].cast("string")), ",")
+    return (
+        part.groupBy(*KEY, "part")
+        .agg(F.min("place").alias("start"), F.count("*").cast("int").alias("size"), F.bool_and("known").alias("known"), F.bool_or("long").alias("long"), F.md5(hashes.cast("binary")).alias("chunk"))
+        .where("known AND (size > 1 OR long)").select(*KEY, "start", "size", "chunk")
     )
 
 
-def removals(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSAGE_WORDS, restart: bool = True) -> DataFrame:
+def removals(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """(doc_id, text_key, gone): per document the sorted (start, size) line ranges to remove."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     line = F.col("line")
@@ -84,13 +81,9 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSA
     # Known from elsewhere means at two places; rows equal in id and text are one document and have the same places.
     at = F.struct(*KEY, "place")
     counted = lines.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("hash", F.lit(True).alias("known"))
-    gathered = (
-        lines.join(counted, "hash", "left")
-        .withColumn("known", F.coalesce("known", F.lit(False)))
-        .groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("place", "hash", "known", "long"))).alias("l"))
-        .where("exists(l, x -> x.known)")
-    )
-    chunks = stage(chunk_table(gathered, divisor, restart), "chunks")
+    marked = stage(lines.join(stage(counted, "known-lines"), "hash", "left").withColumn("known", F.coalesce("known", F.lit(False))), "marked-lines")
+    # Dealt by document once: the distinct, the windows and the chunks all keep to it.
+    chunks = stage(chunk_table(marked.repartition(*KEY).distinct(), divisor), "chunks")
     repeated = chunks.groupBy("chunk").agg(
         F.count("*").alias("n"), F.min(F.struct(*KEY, "start")).alias("first")
     ).where("n > 1").select("chunk", "first")
@@ -128,9 +121,9 @@ def _next(gone: str, lines: Column, k: Column) -> Column:
     return F.coalesce(here["start"], F.size(lines)).cast("int")
 
 
-def line_dedup(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSAGE_WORDS, restart: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, divisor: int = DIVISOR, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """doc_id, n_lines, removed_chunks, removed_lines, text (what is left) and row (the document as it was)."""
-    gone = removals(docs, divisor, passage_words, restart)
+    gone = removals(docs, divisor, passage_words)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = keyed.join(gone, same_document(keyed, gone), "left").select(keyed["doc_id"], "row", "gone")
     lines = lines_of(F.col("row.text"))

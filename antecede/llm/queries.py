@@ -93,10 +93,15 @@ WITH l AS (
         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50 AS long,
         count(*) OVER (PARTITION BY line) > 1 AS known
     FROM l
-), e AS (
-    SELECT *, coalesce(known <> lead(known) OVER w OR long OR lead(long) OVER w
-        OR (coalesce(lag(hash) OVER w % 1000003, 0) * 31 + hash % 1000003) % 8 = 0, true) AS ends
+), u AS (
+    SELECT *, coalesce(known <> lead(known) OVER w OR long OR lead(long) OVER w, true) AS run_ends
     FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+), v AS (SELECT *, coalesce(lag(run_ends) OVER (PARTITION BY doc_id ORDER BY place), true) AS run_starts FROM u),
+x AS (
+    SELECT *, run_ends OR (CASE WHEN run_starts THEN 0 ELSE lag(hash) OVER w % 1000003 END * 31 + hash % 1000003) % 8 = 0 AS cut
+    FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+), e AS (
+    SELECT *, run_ends OR (cut AND NOT run_starts AND NOT coalesce(lead(cut) OVER (PARTITION BY doc_id ORDER BY place), false)) AS ends FROM x
 ), n AS (
     SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
     FROM e
@@ -116,7 +121,7 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_chunks, 0) AS
 FROM documents d LEFT JOIN t USING (doc_id)
 """)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, folder, "documents"), restart=False).drop("row")  # boundaries of the check SQL
+    return line_dedup.line_dedup(table(spark, folder, "documents")).drop("row")
 
 
 @query("op3_decontaminate")
