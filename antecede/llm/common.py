@@ -61,6 +61,12 @@ def stage_packed(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything stands at a path of any store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(staged: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more, so scratch space does not pile up."""
     session = staged.sparkSession
@@ -70,4 +76,4 @@ def discard(staged: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "discard", "in_fold", "labelled_sample", "map_batches", "remainder", "stage", "stage_packed", "table"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "discard", "folder_exists", "in_fold", "labelled_sample", "map_batches", "remainder", "stage", "stage_packed", "table"]

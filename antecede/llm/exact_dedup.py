@@ -8,7 +8,8 @@ without an exchange, and what is new is appended. Only digests and ids are ever
 Defined cases: a null text counts as empty, equal texts are those identical after lower-casing
 A-Z, of equal texts in one batch the largest id stays, a digest already in the index keeps its
 row. A null id is smaller than any other id. Rows with one id and one text each get an output
-row, and all of them are kept if one is. Other columns are ignored and may have any name.
+row, and all of them are kept if one is. A long text is digested whole; an empty table gives no rows and leaves the
+index as it is. Other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antecede.llm.common import ascii_lower, stage
+from antecede.llm.common import ascii_lower, folder_exists, stage
 from antecede.session import scratch_path
 
 BUCKETS = 64
@@ -35,13 +36,31 @@ class DigestIndex:
 
     ``location`` is a folder all executors share; without one a fresh folder below
     spark.checkpoint.dir is used. ``buckets`` is a property of the stored table: choose it so
-    that a bucket's digests (40 bytes each) fit a task.
+    that a bucket's digests (40 bytes each) fit a task. It is written beside the table, so any later session opens an
+    index by its location alone, with the buckets it was made with, whether or not its catalog knows the name. Files
+    without that note are not an index, and nothing is written over them.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, location: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.location = location or scratch_path(spark, self.name)
+        self.location = (location or scratch_path(spark, self.name)).rstrip("/")
+        note = f"{self.location}-buckets"
+        if folder_exists(spark, note):
+            self.buckets = int(spark.read.text(note).first()["value"])
+            self._register()
+        elif folder_exists(spark, self.location):
+            raise ValueError(f"{self.location} holds files that are not a digest index")
+        else:
+            spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.text(note)
+
+    def _register(self) -> None:
+        """Makes the stored table known to this session's catalog."""
+        if folder_exists(self.spark, self.location) and not self.exists():
+            self.spark.sql(
+                f"CREATE TABLE {self.name} (text_sha256 BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (text_sha256) "
+                f"SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.location}'"
+            )
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -51,7 +70,8 @@ class DigestIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Adds (doc_id, text_sha256) rows whose digest the index does not hold yet."""
-        new = batch.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"))
+        self._register()
+        new = batch.groupBy("text_sha256").agg(F.max("doc_id").cast("bigint").alias("keep_id"))
         if self.exists():
             new = new.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         (
