@@ -1,7 +1,8 @@
 """Language by compression: the language whose dictionary shortens a text most.
 
 Per language a zstandard raw-content dictionary of at most ``DICTIONARY`` bytes is made from a
-bounded sample of documents. A text is cut into blocks, so that the dictionary and not the text's own
+bounded sample of documents; each gives an equal share of bytes (``DICTIONARY / FIT_ROWS``, 327, where there are enough), read on
+from a place in the text that a hash chooses, so that common openings do not fill the dictionary. A text is cut into blocks, so that the dictionary and not the text's own
 past does the work however long the text is; every block is compressed with every dictionary and
 the sizes are added up. Letters A-Z count as small. A text below ``SHORT`` bytes is written several
 times over, since the coder stores a short block raw; only its first copy costs anything. The smallest total wins. The margin is the relative gap to the second
@@ -40,17 +41,20 @@ def dictionaries(docs: DataFrame, rows: int = FIT_ROWS, size: int = DICTIONARY)
     """
     known = docs.where(
         F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0) & (remainder("doc_id", PARTS) != FOLD)
-    ).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.substring("text", 1, size).alias("text"))
+    ).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    # The text turned so that it begins at its chosen place; of that no more than a dictionary is needed.
+    start = F.pmod(F.xxhash64("doc_id", "text"), F.length("text")).cast("int")
+    turned = F.concat(F.substr("text", start + 1), F.lit(" "), F.substr("text", F.lit(1), start))
     ranked = known.withColumn(
         "place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    )
+    ).where(F.col("place") <= rows).withColumn("text", F.substring(turned, 1, size))
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         texts = [t.encode().lower() for t in group.sort_values("place")["text"]]
         share = max(64, size // len(texts))
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "content": [b" ".join(t[:share] for t in texts)[:size]]})
 
-    made = ranked.where(F.col("place") <= rows).groupBy("lang").applyInPandas(joined, "lang string, content binary")
+    made = ranked.groupBy("lang").applyInPandas(joined, "lang string, content binary")
     return {r["lang"]: bytes(r["content"]) for r in made.collect()}
 
 
