@@ -1,12 +1,14 @@
 """Secret scan: fixed patterns, plus strings that a tokenizer can hardly shorten.
 
 Text of a language falls into long tokens of a byte-pair vocabulary, random strings into many
-short ones. A run of at least ``MIN_RUN`` key characters that holds letters and digits is tokenised;
+short ones. Every run of at least ``MIN_RUN`` key characters is tokenised;
 when it has fewer than ``MAX_RATIO`` characters per token it is reported as kind ``token``, unless
 it is a known digest (hex of a usual length), a UUID, or overlaps a span of the fixed patterns.
 
-Defined cases: null and empty texts have no span; offsets are code points, the end exclusive;
-repeated rows are scanned each on its own; other columns are passed by.
+The vocabulary file is read by the driver and broadcast (about 1 MB), so executors need no file of their own.
+
+Defined cases: null and empty texts have no span; long texts are scanned whole; offsets are code points, the end exclusive;
+repeated rows are scanned each on its own; an empty table gives no rows; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -34,9 +36,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
-DIGIT = re.compile(r"[0-9]")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-LETTER = re.compile(r"[A-Za-z]")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
 
@@ -49,13 +49,15 @@ SCHEMA = (
 _LOADED: dict = {}
 
 
-def encoding(path: str):
-    """The vocabulary, read once per Python worker."""
+def encoding(path: str, content: bytes | None = None):
+    """The vocabulary, made once per Python worker from its content, or from the file where none is given."""
     if path not in _LOADED:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if content is None:
+            with open(path, "rb") as file:
+                content = file.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         _LOADED[path] = tiktoken.Encoding("scan", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]
 
@@ -74,13 +76,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str = VOCABULARY, ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
     """Runs with few characters per token that no base span touches."""
-    if not DIGIT.search(text):
-        return []
     out = []
     for m in RUN.finditer(text):
         run, start, end = m.group(), m.start(), m.end()
-        if not DIGIT.search(run) or not LETTER.search(run):
-            continue
         if DIGEST.fullmatch(run) or UUID.fullmatch(run) or any(s < end and start < e for s, _, e in base):
             continue
         if len(run) < ratio * len(encoding(path).encode_ordinary(run)):
@@ -95,7 +93,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = MAX_RATIO) -> DataFrame:
     """One row per document: number of spans per kind, digest of the base spans, all spans."""
 
+    with open(vocabulary, "rb") as file:
+        content = docs.sparkSession.sparkContext.broadcast(file.read())
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding(vocabulary, content.value)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
