@@ -1,18 +1,20 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
-The index holds the benchmark, not the corpus. The question of an item (all but the last sentence) and its answer (the last
-sentence, or the last fifth of the words of a single sentence) are cut into segments of at most ``SEGMENT`` words, each on
-its own, since a document may hold them far apart; a posting carries its BM25 share: the term's BM25 weight in the segment over the weight of all the segment's terms, so one
-threshold fits short and long items. Postings lie in blocks with their largest share.
-
-A document is cut into overlapping passages of ``PASSAGE`` words. Terms with long posting lists are common; what they can
-add to a segment is known beforehand, so the short lists alone show for all passages of a slice at once which of them can reach
-the threshold somewhere. These run block-max WAND: cursors sorted by segment, the pivot where the list maxima reach the
+The index holds the benchmark, not the corpus. An item has a question (all but its last sentence) and an answer (the last
+sentence, or the last fifth of the words of a single sentence). The question is cut into segments of at most ``SEGMENT`` words;
+a posting carries its BM25 share: the term's BM25 weight in the segment over the weight of all the segment's terms, so one
+threshold fits short and long items. Postings lie in blocks with their largest share. The answer is no segment: it may stand
+far from its question, and one of a common word would retrieve its item from nearly every document; verification needs
+both, so an item whose question is not retrieved would not be kept.
+
+A document is cut into overlapping passages of ``PASSAGE`` words. In each segment the terms with the longest posting lists are set
+apart as common, as many as together stay below ``0.7 * THRESHOLD``; what they can add is known beforehand, so the key postings
+that are left show for all passages of a slice at once which of them can reach the threshold somewhere. These run block-max WAND: cursors sorted by segment, the pivot where the list maxima reach the
 threshold, a look at the block maxima before any posting is read, skips past blocks that cannot reach it. Every segment
 at or above the threshold is retrieved; there is no top-k. An item of which any segment is retrieved is then verified against the
 whole document: the shares of the word shingles of its question and of its answer must both be at least ``OVERLAP``.
 
-An answer of one common word would retrieve its item from nearly every document. So documents are looked through first for the
+Documents are looked through first for the
 rarest shingles of each question, as many that a question without any of them cannot reach ``OVERLAP``; only documents that hold one are
 searched. This leaves out nothing that verification would keep.
 
@@ -45,7 +47,7 @@ from antecede.llm.tokens import CLASSES, mix, slices, words
 SEGMENT, PASSAGE, SHINGLE = 64, 128, 5
 THRESHOLD, OVERLAP = 0.7, 0.8
 K1, B = 1.2, 0.75
-POSTINGS_PER_BLOCK, SHORT_LIST, PART_BYTES = 32, 8, 8 << 20
+POSTINGS_PER_BLOCK, PART_BYTES = 32, 8 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
 
@@ -64,8 +66,10 @@ class Index(NamedTuple):
     ids: list
     questions: list
     answers: list
-    common: np.ndarray  # most that the terms with long lists add to each segment
-    short: np.ndarray  # whether a term's list is short
+    common: np.ndarray  # most that its common terms add to each segment
+    key_at: np.ndarray  # the postings that are not common in their segment, as ``at``, ``segments`` and ``shares``
+    key_segments: np.ndarray
+    key_shares: np.ndarray
     rare: dict  # per shingle size the sorted hashes of the rarest shingles of the questions
     least: float  # question overlap that ``rare`` was made for
 
@@ -135,11 +139,11 @@ def text_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def parts_of(hashed: np.ndarray, after: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Question and answer of an item, and (terms, counts) of the segments of each."""
+    """Question and answer of an item, and (terms, counts) of the segments of the question."""
     cuts = np.flatnonzero(after)
     split = int(cuts[-1]) + 1 if len(cuts) else len(hashed) - max(1, len(hashed) // 5)
     question, answer = hashed[:split] if split > 0 else hashed, hashed[max(split, 0) :]
-    own = [part for half in ((question, answer) if split > 0 else (hashed,)) for part in np.array_split(half, max(1, math.ceil(len(half) / segment)))]
+    own = np.array_split(question, max(1, math.ceil(len(question) / segment)))
     return question, answer, [np.unique(part, return_counts=True) for part in own if len(part)]
 
 
@@ -172,15 +176,18 @@ def build(ids: list, texts: list[str | None], segment: int = SEGMENT, limit: flo
     shares, segments = share[order], where[order]
     best = np.maximum.reduceat(shares, at[:-1]) if len(terms) else shares
     blocks = [np.maximum.reduceat(shares[a:b], np.arange(0, b - a, POSTINGS_PER_BLOCK)) for a, b in zip(at, at[1:])]
-    length = np.diff(at) if len(terms) else np.zeros(0, np.int64)
-    longest = SHORT_LIST  # doubled until no segment reaches the threshold by common terms alone
-    while True:
-        common = np.bincount(segments, np.where(np.repeat(length, length) > longest, shares, 0.0), count)
-        if not count or common.max() < limit:
-            break
-        longest *= 2
+    # Per segment the terms with the longest lists are common, as long as they stay below the limit together.
+    length = np.repeat(np.diff(at), np.diff(at))
+    by_segment = np.lexsort((-length, segments))
+    running = np.cumsum(shares[by_segment])
+    opens = np.searchsorted(segments[by_segment], np.arange(count))
+    before = np.append(0.0, running)[opens]
+    key = np.zeros(len(shares), bool)
+    key[by_segment] = running - before[segments[by_segment]] >= limit
+    common = np.bincount(segments[~key], shares[~key], count)
+    key_at = np.append(0, np.cumsum(key))[at]
     return Index(
-        terms, at, segments, shares, best, blocks, np.array(items, np.int64), ids, questions, answers, common, length <= longest,
+        terms, at, segments, shares, best, blocks, np.array(items, np.int64), ids, questions, answers, common, key_at, segments[key], shares[key],
         rarest(questions, least), least,
     )
 
@@ -244,7 +251,7 @@ def hopeful(index: Index, place: np.ndarray, known: np.ndarray, bounds: np.ndarr
     sizes = np.diff(bounds)
     number = np.maximum(1, -(-(sizes - half) // half))
     base = np.concatenate([[0], np.cumsum(number)])
-    at = np.flatnonzero(known & index.short[place])
+    at = np.flatnonzero(known & (np.diff(index.key_at) > 0)[place])
     doc = np.searchsorted(bounds, at, "right") - 1
     window = (at - bounds[doc]) // half
     pairs = []
@@ -255,10 +262,10 @@ def hopeful(index: Index, place: np.ndarray, known: np.ndarray, bounds: np.ndarr
         return []
     own = np.unique(np.concatenate(pairs, axis=1).astype(np.int64).T @ np.array([len(index.terms), 1]))
     which, term = own // len(index.terms), own % len(index.terms)
-    length = index.at[term + 1] - index.at[term]
-    posting = np.repeat(index.at[term] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-    cell, group = np.unique(np.repeat(which, length) * len(index.items) + index.segments[posting], return_inverse=True)
-    mass = np.bincount(group, index.shares[posting])
+    length = index.key_at[term + 1] - index.key_at[term]
+    posting = np.repeat(index.key_at[term] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+    cell, group = np.unique(np.repeat(which, length) * len(index.items) + index.key_segments[posting], return_inverse=True)
+    mass = np.bincount(group, index.key_shares[posting])
     reached = mass + index.common[cell % len(index.items)] >= threshold - 1e-9
     out = np.unique(cell[reached] // len(index.items))
     owner = np.searchsorted(base, out, "right") - 1
@@ -266,14 +273,14 @@ def hopeful(index: Index, place: np.ndarray, known: np.ndarray, bounds: np.ndarr
     return list(zip(owner, start, np.minimum(start + passage, bounds[owner + 1])))
 
 
-def overlap(part: np.ndarray, whole: dict[int, np.ndarray], text: np.ndarray) -> float:
-    """Share of the shingles of a part that the text holds; 1 for a part without words."""
+def overlap(part: np.ndarray, whole: dict[int, np.ndarray], text: np.ndarray, own: np.ndarray | None = None) -> float:
+    """Share of the shingles of a part that the text holds; 1 for a part without words. ``own`` has them if they are known."""
     if not len(part):
         return 1.0
     size = min(SHINGLE, len(part))
     if size not in whole:
         whole[size] = shingles(text, size) if len(text) >= size else np.zeros(0, np.uint64)
-    return float(np.isin(shingles(part, size), whole[size], assume_unique=True).mean())
+    return float(np.isin(shingles(part, size) if own is None else own, whole[size], assume_unique=True).mean())
 
 
 def matches(index: Index, texts: pa.Array, threshold: float, limit: float, passage: int = PASSAGE) -> Iterator[tuple[int, int, float, float, float]]:
@@ -282,6 +289,7 @@ def matches(index: Index, texts: pa.Array, threshold: float, limit: float, passa
         return
     if limit < index.least:
         raise ValueError(f"the index was made for a question overlap of {index.least}")
+    own_shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the items looked at, made once
     for piece in slices(texts):
         found = words(piece, CLASSES)
         own = found.kind < 3
@@ -298,8 +306,10 @@ def matches(index: Index, texts: pa.Array, threshold: float, limit: float, passa
         whole: dict = {}
         for (d, row), score in scores.items():
             text = hashed[bounds[d] : bounds[d + 1]]
-            question = overlap(index.questions[row], whole.setdefault(d, {}), text)
-            answer = overlap(index.answers[row], whole[d], text)
+            if row not in own_shingles:
+                own_shingles[row] = tuple(shingles(part) if len(part) else part for part in (index.questions[row], index.answers[row]))
+            question = overlap(index.questions[row], whole.setdefault(d, {}), text, own_shingles[row][0])
+            answer = overlap(index.answers[row], whole[d], text, own_shingles[row][1])
             if question >= limit and answer >= limit:
                 yield piece.first + d, row, score, question, answer
 
