@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import stage
+from antecede.llm.common import discard, stage
+
+ONE_TASK_EDGES = 500_000  # 16 bytes each
+
+
+def together(df: DataFrame, edges: int) -> DataFrame:
+    """A graph of few edges in one partition: its groups and joins then need no exchange, which would cost far more
+    than the work. Larger graphs stay dealt; the result is the same."""
+    return df.coalesce(1) if edges <= ONE_TASK_EDGES else df
 
 
 def _measure(edges: DataFrame) -> tuple:
@@ -27,15 +35,17 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = _measure(current)
     while before[0]:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = together(current, before[0])
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(smallest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every node keeps its link to the smallest of its neighbours
-        large = large.unionByName(smallest.where(F.col("m") < F.col("u")).select("u", F.col("m").alias("v"))).distinct()
+        large = together(large.unionByName(smallest.where(F.col("m") < F.col("u")).select("u", F.col("m").alias("v"))), before[0]).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lowest.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v"))
-        current = stage(small.distinct(), "edges")
+        older, current = current, stage(together(small, before[0]).distinct(), "edges")
+        discard(older)
         after = _measure(current)
         if after == before:
             break

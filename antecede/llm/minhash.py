@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.llm.common import map_batches, stage
-from antecede.llm.graph import components
+from antecede.llm.graph import components, together
 from antecede.llm.tokens import Slice, mix, slices, words
 
 BANDS, ROWS, BITS, SLOTS = 52, 5, 2048, 32
@@ -250,12 +250,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
 
 def merged(belongs: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after more links; only whole components are joined, not their members."""
-    joined = links
+    size = belongs.count() + links.count()
+    belongs, joined = together(belongs, size), together(links, size)
     for end in ("u", "v"):
         known = belongs.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
         joined = joined.join(known, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
     renamed = components(joined.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")))
-    renamed = renamed.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    renamed = together(renamed, size).select(F.col("node").alias("old"), F.col("component").alias("new"))
     moved = belongs.join(renamed, belongs["component"] == renamed["old"], "left").select(
         "node", F.coalesce("new", "component").alias("component")
     )
