@@ -10,7 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from antecede.llm import decontaminate, importance, lexical_search, line_dedup, suffix_dedup
+import corpus_pipeline
+from antecede.llm import decontaminate, exact_dedup, importance, language, lexical_search, line_dedup, secret_scan, suffix_dedup
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, score double, row string, rank int, bytes string, line string"
@@ -238,3 +239,94 @@ def test_line_dedup_is_linear_in_the_lines_of_a_document(spark):
         seconds.append(time.time() - start)
         assert sorted(r.removed_lines > 0.9 * lines for r in got) == [False, True, True]
     assert seconds[-1] < 60
+
+
+def test_digest_index_is_reopened_by_its_location(spark, tmp_path):
+    location = str(tmp_path / "index")
+    texts = lambda *rows: exact_dedup.digests(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    index = exact_dedup.DigestIndex(spark, "index_one", location, buckets=4)
+    index.add(texts((1, "a"), (2, "b")))
+    spark.sql("DROP TABLE index_one")  # what a new session with a catalog of its own sees
+    again = exact_dedup.DigestIndex(spark, "index_one", location, buckets=16)
+    assert again.buckets == 4
+    again.add(texts((3, "a"), (4, "c")))
+    assert sorted(r.keep_id for r in again.read().collect()) == [1, 2, 4]
+    other = exact_dedup.DigestIndex(spark, "another_name", location)
+    other.add(texts((5, "c"), (6, "d")))
+    assert sorted(r.keep_id for r in other.read().collect()) == [1, 2, 4, 6]
+    plan = other.read().hint("merge").join(texts((7, "d")), "text_sha256")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    spark.range(3).write.parquet(str(tmp_path / "foreign"))
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, "foreign", str(tmp_path / "foreign"))
+    spark.sql("DROP TABLE index_one")
+    spark.sql("DROP TABLE another_name")
+
+
+def test_dictionaries_learn_more_than_openings(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(200):
+        name = ["x1", "x2"][i % 2]
+        parts = {"x1": "ka lo mi ru te".split(), "x2": "brin skal vorn dreg holm".split()}[name]
+        body = " ".join("".join(rng.choice(parts, 2)) for _ in range(300))
+        rows.append((i, "This text is free to use and comes without any warranty whatever. " * 20 + body, name))
+    learned = language.dictionaries(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    for name, stem in (("x1", b"mi"), ("x2", b"skal")):
+        assert learned[name].count(stem) > 100 and len(learned[name]) <= language.DICTIONARY
+    got = language.classify(spark.createDataFrame([(1, "kalo miru teka lomi rute"), (2, "brinskal vorndreg holmbrin")], "doc_id bigint, text string"), learned)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "x1", 2: "x2"}
+
+
+def test_token_spans_of_whole_documents_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    extra = [(-1, "key QwZkXvBnMtRpLsHdGfJcYwTq end"), (-2, "plain " + "understanding" * 3), (-3, "=" * 60), (-4, "d41d8cd98f00b204e9800998ecf8427e"), (-5, None)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + extra
+    coder = secret_scan.encoding(secret_scan.VOCABULARY)
+    run = re.compile(r"[A-Za-z0-9+/_=-]+")
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))).collect()}
+    for doc_id, text in rows:
+        text, want = text or "", []
+        base = secret_scan.base_spans(text)
+        for m in run.finditer(text):
+            known = secret_scan.DIGEST.fullmatch(m[0]) or secret_scan.UUID.fullmatch(m[0])
+            if len(m[0]) >= 20 and not known and not any(a < m.end() and m.start() < b for a, _, b in base) and len(m[0]) < 2.0 * len(coder.encode_ordinary(m[0])):
+                want.append(f"token:{m.start()}:{m.end()}")
+        assert [s for s in got[doc_id].spans.split(",") if s.startswith("token")] == want
+    assert got[-1].n_token == 1 and [got[k].n_token for k in (-2, -3, -4, -5)] == [0, 0, 0, 0]
+
+
+# --- stages of the pipeline ----------------------------------------------------------------------
+
+CLASHING = (
+    "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, taken string, row string, going bigint, left string, target double, "
+    "text_key string, component_id bigint, kept boolean, score string, `_size` int, blocks string"
+)
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_with_nulls_ties_repeats_and_clashing_names(spark, place, tmp_path):
+    name, function = corpus_pipeline.STAGES[place]
+    passage = "\n".join(" ".join(f"shared{k}word{j}" for j in range(30)) for k in range(4))
+    texts = [None, "", " \n", "one word", FILL, FILL, FILL + " tail", f"a\n{passage}\nb", f"c\n{passage}\nd", LONG]
+    rows = [(i, t, ["en", None][i % 2], [None, "a", "b"][i % 3], len(t or ""), 7, "t", "r", 9, "l", 1.5, "k", 3, None, "s", 4, "b") for i, t in enumerate(texts)]
+    rows += [rows[4], (None, "text of no id", None, None, None, *rows[0][5:])]
+    docs = spark.createDataFrame(rows, CLASHING)
+    function(spark, docs, FOLDER).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.columns[: len(docs.columns)] == docs.columns and (place == 4 or out.columns == docs.columns)
+    got = out.collect()
+    ids = Counter(r.doc_id for r in got)
+    if name == "near dedup":
+        assert ids == Counter([0, 1, 2, 3, 4, 4, 7, 9, None])  # 5 and 6 are copies of 4, 8 of 7; rows of one id stay together
+    elif name == "mixing":
+        assert {"mix_size", "mix_taken", "mix_target", "mix_blocks", "source_size"} <= set(out.columns) and 9 in ids and not {0, 1, 2} & set(ids)
+        assert all(r.size == 7 and r.taken == "t" and 0 < r.mix_taken <= 2 * r.mix_size for r in got)
+    else:
+        assert ids == Counter(r[0] for r in rows)
+    if name == "line dedup":
+        by_id = {r.doc_id: r for r in got}
+        assert by_id[8].text == "c\nd" and by_id[8].n_chars == 3 and by_id[7].text == texts[7] and by_id[0].text is None
+    assert all(r.left == "l" and r["_size"] == 4 and r.row == "r" for r in got)
+    nothing = function(spark, docs.limit(0), FOLDER)
+    assert nothing.count() == 0 and nothing.columns[: len(docs.columns)] == docs.columns
