@@ -26,9 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand elsewhere; the length column follows the text."""
-    left = line_dedup.line_dedup(docs, restart=False).select(  # boundaries of the check SQL of op7_line_dedup
-        "row", F.col("text").alias("left")
-    )
+    left = line_dedup.line_dedup(docs).select("row", F.col("text").alias("left"))
     changed = {"text": F.col("left"), "n_chars": F.when(F.col("left") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.char_length("left").cast("bigint"))}
     return left.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
@@ -49,7 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with the blocks of words it takes of each and how often."""
     mixed = mixing.mix(docs).where(F.col("taken") > 0)
     own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return mixed.select(*own, "size", "source_size", "target", "taken", "blocks")
+    taken = {c.lower() for c in docs.columns}
+    more = [F.col(c).alias(c if c not in taken else f"mix_{c}") for c in ("size", "source_size", "target", "taken", "blocks")]
+    return mixed.select(*own, *more)
 
 
 STAGES: list[tuple[str, Stage]] = [
