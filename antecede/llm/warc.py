@@ -12,7 +12,8 @@ aggregate of digests; the payloads are then shuffled once by digest in a join th
 that a third of all pages share fills no single task.
 
 Files are written and listed by Spark, so any file system will do. A record is one value of Spark's text writer and the two empty
-lines that end a WARC record are its separator; files are gzip streams of at most ``RECORDS`` records.
+lines that end a WARC record are its separator; files are gzip streams of at most ``RECORDS`` records and, by the mean length of the
+pages, about ``FILE_BYTES`` of payload. They are read record by record, so a worker holds one compressed file and one record.
 
 Defined cases: a null html is an empty payload; a null or empty url becomes urn:page:<id>, white space in a url is percent-encoded;
 rows with equal page_id and html are all responses if one is; a null page_id is never the one that stays unless all of its
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from antecede.llm.common import map_batches, stage
 from antecede.session import scratch_path
 
-ARCHIVE_BYTES, RECORDS, LEAST = 1 << 20, 20_000, 1000
+ARCHIVE_BYTES, FILE_BYTES, RECORDS, LEAST = 1 << 20, 64 << 20, 20_000, 1000
 FETCHED = "20200101000000"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 SPACE = re.compile(r"[\x00-\x20\x7f]")
@@ -181,8 +182,8 @@ def keepers(records: DataFrame, least: int = LEAST) -> DataFrame:
     return records.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"))
 
 
-def write_warc(records: DataFrame, kept: DataFrame, path: str) -> None:
-    """Writes the records as gzipped WARC files below a path."""
+def write_warc(records: DataFrame, kept: DataFrame, path: str, per_file: int = RECORDS) -> None:
+    """Writes the records as gzipped WARC files below a path, at most ``per_file`` in each."""
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,29 +193,55 @@ def write_warc(records: DataFrame, kept: DataFrame, path: str) -> None:
     joined = records.join(kept, "digest", "left").select("page_id", "uri", "date", "http", "payload", "digest", "keeper")
     (
         map_batches(joined, render, "value string").write.option("lineSep", END).option("compression", "gzip")
-        .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path)
+        .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
     )
 
 
-def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of every record, by the declared lengths."""
-    if content[:2] == b"\x1f\x8b":
-        plain = b""
-        while content:  # gzip members one after the other
-            member = zlib.decompressobj(31)
-            plain += member.decompress(content) + member.flush()
-            content = member.unused_data
-        content = plain
-    at = 0
+def inflated(content: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The text of an archive in pieces: gzip members one after the other, or the bytes as they are."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
     while at < len(content):
-        head_end = content.index(b"\r\n\r\n", at)
-        version, *lines = content[at:head_end].decode().split("\r\n")
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(content):
+            taken = view[at : at + piece]
+            yield member.decompress(taken)
+            at += len(taken) - len(member.unused_data)
+
+
+def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of every record, by the declared lengths; one record and one piece are held at a time."""
+    pieces, held, done = inflated(content), bytearray(), 0
+
+    def filled(size: int) -> bool:
+        """Whether ``size`` bytes are held, after reading on as far as needed."""
+        while len(held) < size:
+            more = next(pieces, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while filled(1):
+        head_end, looked = held.find(b"\r\n\r\n"), 0
+        while head_end < 0:
+            looked = max(len(held) - 3, 0)
+            if not filled(len(held) + 1):
+                raise ValueError(f"no end of the header at {done}")
+            head_end = held.find(b"\r\n\r\n", looked)
+        version, *lines = held[:head_end].decode().split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
+            raise ValueError(f"no WARC record at {done}")
         fields = dict(line.split(": ", 1) for line in lines)
-        size = int(fields["Content-Length"])
-        yield fields, content[head_end + 4 : head_end + 4 + size]
-        at = head_end + 4 + size + 4
+        end = head_end + 4 + int(fields["Content-Length"])
+        if not filled(end):
+            raise ValueError(f"record at {done} is cut short")
+        yield fields, bytes(held[head_end + 4 : end])
+        filled(end + 4)
+        del held[: end + 4]
+        done += end + 4
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -256,7 +283,9 @@ def convert(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     archives = arc_archives(pages)
-    write_warc(arc_records(archives), keepers(arc_records(archives, payload=False)), path)
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    per_file = int(max(1, min(RECORDS, FILE_BYTES // max(mean, 1))))
+    write_warc(arc_records(archives), keepers(arc_records(archives, payload=False)), path, per_file)
     back = stage(read_warc(spark, path, payload=False).drop("payload"), "warc-records")
     responses = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
     return back.join(responses, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from antecede.llm import decontaminate, exact_dedup, importance, language, lexical_search, line_dedup, secret_scan, suffix_dedup
+from antecede.llm import decontaminate, exact_dedup, importance, language, lexical_search, line_dedup, secret_scan, suffix_dedup, warc
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, score double, row string, rank int, bytes string, line string"
@@ -330,3 +330,15 @@ def test_stages_with_nulls_ties_repeats_and_clashing_names(spark, place, tmp_pat
     assert all(r.left == "l" and r["_size"] == 4 and r.row == "r" for r in got)
     nothing = function(spark, docs.limit(0), FOLDER)
     assert nothing.count() == 0 and nothing.columns[: len(docs.columns)] == docs.columns
+
+
+def test_archives_are_parsed_in_pieces():
+    import gzip
+
+    records = [b"WARC/1.1\r\nX: %d\r\nContent-Length: %d\r\n\r\n" % (k, n) + bytes([65 + k % 26]) * n + b"\r\n\r\n" for k, n in enumerate((0, 5, 70_000, 1, 3_000_000))]
+    for content in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        got = [(f["X"], len(b)) for f, b in warc.parse_warc(content)]
+        assert got == [("0", 0), ("1", 5), ("2", 70_000), ("3", 1), ("4", 3_000_000)]
+    assert b"".join(warc.inflated(gzip.compress(records[2]), 100)) == records[2]
+    with pytest.raises(ValueError):
+        list(warc.parse_warc(records[1][:-8]))
