@@ -14,6 +14,7 @@ from antecede.catalog.registry import part, query, r, rounded, sql
 from antecede.catalog.scoring_queries import ROLLING, quantile_sql
 from antecede.operators import models as M
 from antecede.operators import scoring as S
+from antecede.operators import tournament as T
 from antecede.session import scratch_path, stage
 
 ROUNDS = 20
@@ -157,6 +158,16 @@ def walk_forward(t):
     return M.walk_forward(staged_features(t), splits, EVERY_TARGET, models=("ridge", "poisson", "volume_rate"), rolling=ROLLING)
 
 
+@query("tournament_grid")
+def tournament_grid(t):
+    """Ridge over every split and target as a grid of cells; the run is ended in the middle and repeated."""
+    features, root = staged_features(t), scratch_path(t.spark, "tournament")
+    cells = T.grid(M.split_list(S.chronological_splits(t.appearances, 2001)), EVERY_TARGET, ("ridge",))
+    T.run(features, cells[: len(cells) // 2], root, rolling=ROLLING)
+    T.run(features, cells, root, rolling=ROLLING)
+    return T.forecasts(t.spark, root)
+
+
 @query("walk_forward_trees")
 def walk_forward_trees(t):
     """The tree model with fewer rounds, splits, targets and features."""
