@@ -25,8 +25,9 @@ through the driver to be broadcast, so what is broadcast has a fixed bound and a
 never shuffled.
 
 Words are runs of letters or of digits with A-Z made small; signs do not count. Defined cases: null and empty texts
-match nothing, items without words are never found, repeated items each match, rows with equal doc_id are looked at each; extra
-columns pass through.
+match nothing, long ones are searched whole; items without words are never found; repeated items each match, items that tie in score
+are all retrieved (there is no top-k), rows with equal doc_id are looked at each; without documents or without items nothing is found and
+every document stays; extra columns pass through.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ still given.
 Fitting: per language at most ``FIT_ROWS`` texts outside the held-out fold, those with the smallest
 hash. Defined cases: null texts and texts without a letter give ``und`` with score 0; with no
 language to learn everything is ``und``; with one language it gets score 0; a tie goes to the
-language that sorts first; other columns are ignored.
+language that sorts first; long texts are coded whole, in blocks; rows with equal ids are classified each; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ document, one row a line, so the work is linear in lines. Texts are shuffled twi
 the comparison and to rebuild.
 
 Defined cases: a null text stays null, an empty one empty; a document whose chunks are all removed keeps its row with
-an empty text; rows equal in doc_id and text count as one document and get one result each; a null doc_id sorts first;
-extra columns pass through unchanged whatever their names.
+an empty text; rows equal in doc_id and text count as one document and get one result each; a null doc_id sorts first, and
+so does, of rows equal in doc_id alone, the one with the smaller text hash; a long text is one row a line, whatever its length;
+an empty table gives no rows; extra columns pass through unchanged whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ no bucket with probability (1 - 0.8**5)**52, about 1e-9; that is the only way to
 
 Defined cases: null and empty texts have an empty set and link with nothing; fewer words than a shingle
 make one shingle of the whole sequence; rows with one doc_id count as one document; a null doc_id is not linked,
-its component is null and it is kept; extra columns are ignored.
+its component is null and it is kept; long texts give whole sets; equal sets are one node, named by its smallest doc_id; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

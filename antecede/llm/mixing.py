@@ -17,7 +17,8 @@ block of rounding.
 Tables of sources and shards are small beside the documents; windows run over sources (one row each), over the shards of a
 source and over the documents of a shard. Words, not rows, are counted; a null text has 0 and is never taken.
 
-Defined cases: a source without words has target 0; repeated rows are taken each on its own; ties in seeded order fall back on the
+Defined cases: a null, empty or wordless text has size 0 and gives nothing; a source without words has target 0; a null source is a source
+of its own; a long text is many blocks; repeated rows are taken each on its own; ties in seeded order fall back on the
 id, the size and then equal rows are interchangeable; with no rows at all the result is empty; extra columns pass through.
 """
 

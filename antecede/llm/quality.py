@@ -10,7 +10,9 @@ bounded size; each group runs FTRL over its rows in the order of a hash, the dri
 ``SHARDS`` weight vectors of fixed size. Scoring runs over every whole text.
 
 Defined cases: a null or empty text has no feature and gets the score of the intercept; without any
-labelled row every score is 0.5; rows with equal ids are scored each; other columns are ignored.
+labelled row every score is 0.5; rows with equal ids are scored each; of several labels of one id the largest
+counts, and the rows to fit on are those of smallest hash, then id; long texts count whole; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ documents hold is combined before the shuffle. A bucket of more than ``BUCKET_LI
 task: its strings are dealt by their own digest, where each distinct string is one row (``dealt_strings``, same result).
 Long documents are read in windows of ``WINDOW`` suffixes.
 
-Defined cases: null and empty texts have no bytes and keep nothing; texts shorter than ``depth`` lose nothing; a text equal to
-an earlier one loses everything from ``depth`` bytes on; rows equal in doc_id and text are one document with one result each; rows
+Defined cases: null and empty texts have no bytes and keep nothing; texts shorter than ``depth`` lose nothing; a text of at
+least ``depth`` bytes that equals an earlier one loses everything; rows equal in doc_id and text are one document with one result each; rows
 equal in doc_id alone are ordered by a hash of their text; a null doc_id is smaller than any other; empty tables give no
 rows; extra columns are not read. ``depth`` is between ``2 * GRAM`` and ``4 * GRAM``.
 """

@@ -16,8 +16,9 @@ Fitting: at most ``FIT_ROWS`` labelled documents outside the held-out fold, in `
 bounded size whose parameters are averaged each round. Scoring runs over every whole text.
 
 Defined cases: null and empty texts have no token and get the score of a document without any
-evidence; without toxic labels every score is 0; rows with equal ids are scored each; other columns
-are ignored.
+evidence; without toxic labels every score is 0; rows with equal ids are scored each; of several labels of one id
+the largest counts; a marginal of exactly one half is toxic; long texts are tagged whole, sentence by sentence; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
