@@ -2,8 +2,14 @@
 
 Every stage works on all its documents and its decisions take effect: toxic documents go, repeated passages leave the
 texts, one document of each near-duplicate group stays, documents that hold a benchmark item go, and the mix says
-which words of which document are taken how often. A document whose lines all stand elsewhere keeps its row with an
-empty text; the mix takes nothing of it.
+which words of which document are taken how often.
+
+Defined cases, per stage. Toxicity: null and empty texts have no toxic token and stay; rows of one id are judged each. Line dedup: a null text
+stays null; a document whose lines all stand elsewhere keeps its row with an empty text; repeated rows lose the same lines. Near
+dedup: rows without words and rows without id all stay; rows of one id count as one document and stay or go together. Decontamination:
+texts without words stay. Mixing: only documents the mix takes words of come back, so wordless ones do not; repeated rows are taken
+each. All stages read long texts whole, give no rows for an empty table, and hand on further columns unchanged whatever their names;
+where a document column has the name of one that the mix adds, the added one is called ``mix_<name>``.
 """
 
 from __future__ import annotations
