@@ -9,9 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 import corpus_pipeline
-from antecede.llm import decontaminate, exact_dedup, importance, language, lexical_search, line_dedup, secret_scan, suffix_dedup, warc
+from antecede.llm import decontaminate, exact_dedup, importance, language, lexical_search, line_dedup, quality, secret_scan, suffix_dedup, warc
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, score double, row string, rank int, bytes string, line string"
@@ -342,3 +343,68 @@ def test_archives_are_parsed_in_pieces():
     assert b"".join(warc.inflated(gzip.compress(records[2]), 100)) == records[2]
     with pytest.raises(ValueError):
         list(warc.parse_warc(records[1][:-8]))
+
+
+# --- whole queries of the classifiers, document by document ------------------------------------------
+
+
+def test_quality_scores_equal_a_plain_sum_over_features(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    sample = quality.labelled_sample(docs, labels, "quality", quality.PARTS, quality.FOLD, quality.FIT_ROWS)
+    weights = quality.fit(sample).astype(float)
+    run, seen, mask = re.compile(rb"[0-9]+|[a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\x09-\x0D]+"), {}, (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & mask
+        x ^= x >> 29
+        x = x * 0xC4CEB9FE1A85EC53 & mask
+        return x ^ x >> 32
+
+    def word_hash(word):
+        if word not in seen:
+            total = sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(word))
+            seen[word] = mix((total + len(word) * 0xD6E8FEB86659FD93) & mask)
+        return seen[word]
+
+    def plain(text):
+        words = run.findall((text or "").encode().lower())
+        hashed = [int(quality.REPEATED) if k and w == words[k - 1] else word_hash(w) for k, w in enumerate(words)]
+        keys = [mix(h) for h in hashed]
+        keys += [mix((a * 0x9FB21C651E98DF25 + (b ^ b >> 31)) & mask) for a, b in zip(hashed, hashed[1:])]
+        counts = Counter(k >> (64 - quality.BITS) for k in keys)
+        norm = math.sqrt(sum((1 + math.log(n)) ** 2 for n in counts.values()))
+        return 1 / (1 + math.exp(-(weights[-1] + sum(weights[k] * (1 + math.log(n)) / norm for k, n in counts.items()))))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = quality.quality_scores(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.score == pytest.approx(plain(texts[r.doc_id]), abs=1e-5) and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_languages_equal_the_smallest_coding_document_by_document(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    learned = sorted(language.dictionaries(docs).items())
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    assert {r.lang_pred for r in got.values()} <= {name for name, _ in learned} | {"und"}
+    held = [r for r in docs.collect() if got[r.doc_id].held_out and r.lang is not None and got[r.doc_id].lang_pred != "und"]
+    assert sum(got[r.doc_id].lang_pred == r.lang for r in held) >= 0.97 * len(held) > 20
+    for r in docs.collect():
+        text = r.text or ""
+        if not any(map(str.isalpha, text)):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        raw = text.encode().lower()
+        raw = raw if len(raw) >= language.SHORT else (raw + b" ") * (language.SHORT // (len(raw) + 1) + 1)
+        sizes = []
+        for _, content in learned:
+            options = zstandard.ZstdCompressionParameters.from_level(
+                language.LEVEL, min_match=language.SHORTEST_MATCH, dict_size=len(content), source_size=language.BLOCK, write_checksum=0, write_content_size=0, write_dict_id=0
+            )
+            coder = zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes.append(sum(len(coder.compress(raw[k : k + language.BLOCK])) for k in range(0, len(raw), language.BLOCK)))
+        assert got[r.doc_id].lang_pred == learned[sizes.index(min(sizes))][0]
+        first, second = sorted(sizes)[:2]
+        assert got[r.doc_id].score == pytest.approx((second - first) / second)
