@@ -39,7 +39,7 @@ MEDIANS = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}" for c in F
     + ")", "train").replace("train AS (", "train AS MATERIALIZED (").replace("\nSELECT * FROM (", f",\nmedians AS MATERIALIZED (SELECT {MEDIANS} FROM train)\nSELECT * FROM (", 1))
 def median_impute(t):
     """Exact medians and missing counts of every feature in the training fold."""
-    train = t.features.where(F.col("season") < 2000)
+    train = stage(t.features.where(F.col("season") < 2000).select(*FEATURES), "train")
     return rounded(M.column_medians(train, FEATURES))
 
 
@@ -49,7 +49,7 @@ def median_impute(t):
     "\nSELECT * FROM (", f",\nmedians AS MATERIALIZED (SELECT {MEDIANS} FROM train)\nSELECT * FROM (", 1))
 def standard_scale(t):
     """Mean and spread of every feature after its own median has filled the gaps."""
-    train = stage(t.features.where(F.col("season") < 2000), "train")
+    train = stage(t.features.where(F.col("season") < 2000).select(*FEATURES), "train")
     medians = {x.column_name: x.median for x in M.column_medians(train, FEATURES).collect()}  # one value per column
     known = [c for c in FEATURES if medians[c] is not None]
     row = M.scale_row(train, M.imputed(known, medians, []))

@@ -47,14 +47,45 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.selectExpr(f"stack({len(columns)}, {pairs}) as (column_name, value)")
 
 
+BRACKET_ACCURACY = 2000
+
+
 def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, median, missing): exact medians of the known values of each column."""
-    long = _long(df, columns)
-    medians = exact_quantiles(long, ["column_name"], "value", [0.5]).select(
-        "column_name", F.col("quantiles")[0].alias("median")
-    )
-    missing = long.groupBy("column_name").agg(F.count_if(F.col("value").isNull()).alias("missing"))
-    return missing.join(medians, "column_name", "left")
+    """(column_name, median, missing): exact medians of the known values of each column.
+
+    Two passes over ``df``, which should be a written table. A sketch of every column brackets its median; the second
+    pass counts what lies below the bracket and turns only the values inside it into rows, counted on the map side. Where
+    the counts show that a bracket missed, that column takes the way of ``exact_quantiles``. So hundreds of columns do
+    not multiply the rows, and the sketch never decides the result.
+    """
+    spark, near = df.sparkSession, 3.0 / BRACKET_ACCURACY
+    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    ends = F.array(F.lit(0.5 - near), F.lit(0.5 + near))
+    row = df.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count(v).alias(f"n_{c}") for c, v in value.items()],
+        *[F.percentile_approx(v, ends, BRACKET_ACCURACY).alias(f"b_{c}") for c, v in value.items()],
+    ).first().asDict()  # one value or two per column
+    known = [c for c in columns if row[f"n_{c}"]]
+    missing = {c: row["_rows"] - row[f"n_{c}"] for c in columns}
+    medians: dict[str, float] = {}
+    if known:
+        low, high = ({c: row[f"b_{c}"][k] for c in known} for k in (0, 1))
+        below = df.agg(*[F.count_if(value[c] < F.lit(low[c])).alias(c) for c in known]).first().asDict()
+        cells = [F.when(value[c].between(low[c], high[c]), F.struct(F.lit(c).alias("column_name"), value[c].alias("value"))) for c in known]
+        inside = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        facts = spark.createDataFrame([(c, below[c], row[f"n_{c}"]) for c in known], "column_name string, below bigint, total bigint")
+        upto = F.sum("n").over(Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        placed = inside.withColumn("upto", upto).join(facts, "column_name").withColumn("upto", F.col("below") + F.col("upto"))
+        first, last = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)  # ranks from 0
+        at = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
+        found = placed.groupBy("column_name").agg(at(first).alias("a"), at(last).alias("b")).collect()  # one row per column
+        medians = {x.column_name: x.a + (x.b - x.a) * 0.5 for x in found if x.a is not None and x.b is not None}
+        missed = [c for c in known if c not in medians]
+        if missed:
+            exact = exact_quantiles(_long(df, missed), ["column_name"], "value", [0.5])
+            medians |= {x.column_name: x.quantiles[0] for x in exact.collect()}
+    rows = [(c, medians.get(c), missing[c]) for c in columns]
+    return spark.createDataFrame(rows, "column_name string, median double, missing bigint")
 
 
 def imputed(columns: Sequence[str], medians: Mapping[str, float], flagged: Sequence[str]) -> dict[str, str]:
@@ -87,8 +118,7 @@ def preparation(train: DataFrame, columns: Sequence[str], scale: bool) -> list[T
     """
     counts = train.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in columns]).first().asDict()
     columns = [c for c in columns if counts[c]]
-    found = exact_quantiles(_long(train, columns), ["column_name"], "value", [0.5])
-    medians = {r["column_name"]: r["median"] for r in found.select("column_name", F.col("quantiles")[0].alias("median")).collect()}
+    medians = {r["column_name"]: r["median"] for r in column_medians(train, columns).collect()}
     inputs = imputed(columns, medians, [c for c in columns if counts[c] < counts["_rows"]])
     if scale:
         spread = scale_row(train, inputs).first().asDict()

@@ -63,3 +63,22 @@ def test_folds_and_importance(frame, tmp_path):
     model = M.final_fit(frame, 2021, ["a", "b"], "strikeouts", "ridge", str(tmp_path / "m"))
     top = M.permutation_importance(model, test, ["a", "b"], "strikeouts", group=50).orderBy("rank").collect()
     assert [r["feature"] for r in top] == ["a", "b"] and top[0]["importance_mae_increase"] > 0
+
+
+def test_medians_of_many_columns_equal_sorting(spark, monkeypatch):
+    random = Random(6)
+    kinds = [lambda: random.gauss(0, 1), lambda: float(random.randrange(3)), lambda: None, lambda: random.choice([None, 1.0]), lambda: 7.5, lambda: random.choice([0.0, 1e9])]
+    names = [f"c{k}" for k in range(24)]
+    rows = [tuple(kinds[k % 6]() for k in range(24)) for _ in range(1501)] + [tuple(None for _ in names)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+
+    def plain(k):
+        known = sorted(r[k] for r in rows if r[k] is not None)
+        return None if not known else (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2
+
+    for accuracy in (M.BRACKET_ACCURACY, 7):  # a sketch so coarse that its bracket may miss
+        monkeypatch.setattr(M, "BRACKET_ACCURACY", accuracy)
+        got = {r.column_name: (r.median, r.missing) for r in M.column_medians(df, names).collect()}
+        for k, n in enumerate(names):
+            assert got[n] == (pytest.approx(plain(k)) if plain(k) is not None else None, sum(r[k] is None for r in rows))
+    assert [r.median for r in M.column_medians(df.limit(0), names[:2]).collect()] == [None, None]
