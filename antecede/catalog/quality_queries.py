@@ -12,6 +12,8 @@ from antecede.catalog.registry import big, part, query, r, r6, sql
 from antecede.operators import quality as Q
 from antecede.operators.market import normalize_target
 from antecede.plans.standin import bigint
+from antecede.session import scratch_path
+from antecede.sources import publish
 
 # The raw feed: pitches as text with bad dates, ids, sides, hands, innings and types mixed in.
 part("feed", f"""SELECT
@@ -117,6 +119,40 @@ def critical_gate(t):
     return Q.failed_checks(Q.full_report(feed(t))).select("rows", F.array_join("failed", "|").alias("failed"))
 
 
+CLEAN = """try_cast(game_date AS DATE) IS NOT NULL AND try_cast(pitcher AS DOUBLE) IS NOT NULL AND batter IS NOT NULL
+  AND inning BETWEEN 1 AND 30 AND inning_topbot <> 'Mid' AND pitch_number <= 200 AND coalesce(length(pitch_type), 2) = 2"""
+
+
+@query("gated_feed", sql(f"""SELECT 'clean' AS part, 'complete' AS status, count(*) AS row_count, '' AS failed, {big('sum(invalid_stand)')} AS invalid_stand,
+   count(*) AS published_rows FROM (SELECT game_pk, at_bat_number, pitch_number, pitcher, batter, min(CASE WHEN stand = 'B' THEN 1 ELSE 0 END) AS invalid_stand
+   FROM feed WHERE {CLEAN} GROUP BY ALL)
+  UNION ALL SELECT 'raw', CASE WHEN failed = '' THEN 'complete' ELSE 'failed' END, rows, failed, invalid_stand, CASE WHEN failed = '' THEN rows ELSE 0 END FROM (
+   SELECT rows, invalid_stand, array_to_string(list_filter([
+    CASE WHEN {DUPLICATES} > 0 THEN 'duplicate_pitch_records' END,
+    CASE WHEN invalid_dates > 0 THEN 'invalid_dates' END,
+    CASE WHEN invalid_game_pk + invalid_pitcher + invalid_batter > 0 THEN 'invalid_identifiers' END,
+    CASE WHEN invalid_sides > 0 THEN 'invalid_inning_sides' END,
+    CASE WHEN invalid_innings > 0 THEN 'invalid_innings' END,
+    CASE WHEN invalid_pitch_numbers > 0 THEN 'invalid_pitch_numbers' END,
+    CASE WHEN invalid_pitch_types > 0 THEN 'invalid_pitch_types' END,
+    CASE WHEN (SELECT {MISSING} FROM feed) > 0 THEN 'missing_critical_values' END], lambda x: x IS NOT NULL), '|') AS failed FROM validity)""", "validity", "feed"))
+def gated_feed(t):
+    """The raw feed and its clean rows as two parts: each written and checked in one scan, only the clean one published."""
+    root = scratch_path(t.spark, "feed")
+    key = ["game_pk", "at_bat_number", "pitch_number", "pitcher", "batter"]
+    # Of repeated keys any row would do; the one with the largest stand is one that passes where there is one.
+    others = [c for c in FEED_COLUMNS if c not in key]
+    last = F.max_by(F.struct(*others), F.struct("stand", *[c for c in others if c != "stand"])).alias("kept")
+    clean = feed(t).where(CLEAN).groupBy(*key).agg(last).select(*key, "kept.*")
+    for name, rows in (("raw", feed(t)), ("clean", clean)):
+        publish.publish_feed(rows.withColumn("part", F.lit(name)), root, name, strict=False)
+    back = publish.published(t.spark, root).groupBy("part").agg(F.count(F.lit(1)).alias("published_rows"))
+    log = publish.manifest(t.spark, root).withColumn("failed", F.array_join(publish.failed_checks(), "|"))
+    return log.join(back, "part", "left").select(
+        "part", "status", "row_count", "failed", F.col("findings")["invalid_stand"].alias("invalid_stand"), F.coalesce("published_rows", F.lit(0)).alias("published_rows")
+    )
+
+
 @query("group_size_anomalies", """SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey
   HAVING count(*) <> 4""")
 def group_size_anomalies(t):

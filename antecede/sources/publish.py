@@ -15,14 +15,17 @@ import uuid
 from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from antecede.functions import constants as K
+from antecede.operators import quality as Q
 from antecede.operators.quality import QualityError
 
 MANIFEST = "part string, version string, status string, row_count bigint, findings map<string,bigint>, committed timestamp"
 ROWS = "row_count"
+ANY = 1 << 62
 
 
 def with_duplicates(df: DataFrame, key: Iterable[str], name: str = "duplicate_rows") -> tuple[DataFrame, dict[str, Column]]:
@@ -30,8 +33,6 @@ def with_duplicates(df: DataFrame, key: Iterable[str], name: str = "duplicate_ro
 
     Distinct counts cannot be observed, but a place within the key can: one exchange by key, kept by the writer.
     """
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
     return df.withColumn("_place", place), {name: F.count_if(F.col("_place") > 1)}
 
@@ -65,6 +66,27 @@ def publish(
     return status
 
 
+def publish_feed(df: DataFrame, root: str, part: str, strict: bool = True) -> str:
+    """Publishes a part of the raw event feed only if every critical check holds; all checks are recorded.
+
+    The value rules and the surplus of repeated keys are observed on the rows being written: one scan, one exchange by key.
+    """
+    rows, surplus = with_duplicates(df, K.DUPLICATE_KEY)
+    rules = {name: rule for name, rule in Q.validity_checks(df.columns).items() if name != "rows"}
+    metrics = rules | {"missing_critical_values": Q.missing_critical()} | surplus
+    critical = {name for names in Q.CRITICAL_CHECKS.values() for name in names}
+    return publish(rows, root, part, metrics, {name: ANY for name in metrics if name not in critical}, ["_place"], strict)
+
+
+def failed_checks() -> Column:
+    """Names of the critical checks that an attempt's findings fail, in the order they are reported."""
+    named = []
+    for check, names in Q.CRITICAL_CHECKS.items():
+        found = [F.coalesce(F.try_element_at("findings", F.lit(n)), F.lit(0)) for n in names]
+        named.append(F.when(sum(found[1:], found[0]) > 0, F.lit(check)))
+    return F.array_compact(F.array(*named))
+
+
 def attempts(spark: SparkSession, root: str) -> DataFrame:
     """All rows of the manifest; none where nothing was written yet."""
     try:
