@@ -8,12 +8,11 @@ Documents with equal sets are one node, named by its smallest doc_id, so groups
 multiply. In a bucket the smallest member is the centre of a star and only pairs (member, centre) become
 candidates. A centre that has met all others leaves the bucket; a bucket whose members
 are all in one component is settled. The rest gets new centres, ``SLOTS`` times as many each
-round, until every bucket is settled. After the first round a pair is made only in the first bucket that its documents
-share, where one of them is sooner or later a centre; so no pair of a bucket that could join two components goes untested
-and none is made twice.
+round, until every bucket is settled; so no pair of a bucket that could join two components goes untested.
 
-From the second round on an exact bound keeps hopeless pairs from being made: 2048 bits per set show hashes that the other set
-cannot hold. Every candidate is confirmed by the intersection of the full sets. With 52 bands of 5 bins a link of similarity 0.8 shares
+Buckets hold ids, sizes and components only. Pairs are made of ids, and a pair that several buckets make is one before anything is
+looked up for it. From the second round on an exact bound then drops hopeless pairs: 2048 bits per set, kept once per node, show
+hashes that the other set cannot hold. Every candidate is confirmed by the intersection of the full sets. With 52 bands of 5 bins a link of similarity 0.8 shares
 no bucket with probability (1 - 0.8**5)**52, about 1e-9; that is the only way to lose one.
 
 Defined cases: null and empty texts have an empty set and link with nothing; fewer words than a shingle
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import map_batches, stage
+from antecede.llm.common import discard, map_batches, stage
 from antecede.llm.graph import components, together
 from antecede.llm.tokens import Slice, mix, slices, words
 
@@ -165,6 +164,13 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs.select("node", "text"), run, "node bigint, members binary")
 
 
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) pairs whose sets can reach the similarity by their sizes and bits, which are looked up for distinct pairs only."""
+    known = nodes.select("node", "n", "bits")
+    both = pairs.join(known.toDF("u", "n", "bits"), "u").join(known.toDF("v", "centre_n", "centre_bits"), "v")
+    return both.where(reachable(percent)).select("u", "v")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (u, v) pairs whose full sets reach the similarity.
 
@@ -197,11 +203,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         .groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits")),
         "nodes",
     )
-    entries = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
+    entries = nodes.select("node", "n", F.explode("keys").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("bucket")
     open_ = stage(entries.join(shared, "bucket").withColumn("component", F.col("node")), "buckets")
     belongs = None  # (node, component) of nodes with links
-    first_shared = "NOT exists(zip_with(slice(keys, 1, band), slice(centre_keys, 1, band), (a, b) -> a = b), same -> same)"
     wanted = open_.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(wanted, "node")
     sets = stage(full_sets(texts, size), "sets")
@@ -211,7 +216,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         slots = SLOTS**round_
         slot = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(slots))
         centres = open_.groupBy("bucket", slot.alias("slot")).agg(
-            F.min(F.struct(*[c for c in open_.columns if c not in ("bucket", "band")])).alias("c")
+            F.min(F.struct("node", "n", "component")).alias("c")
         ).select("bucket", "c.*")
         centres = centres.toDF("bucket", *[f"centre_{c}" for c in centres.columns[1:]])
         pairs = (
@@ -219,10 +224,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
             .where(
                 (F.col("component") != F.col("centre_component"))
                 & (F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n"))
-                & ((F.expr(first_shared) & reachable(percent)) if round_ else F.lit(True))
             )
             .select(F.greatest("node", "centre_node").alias("u"), F.least("node", "centre_node").alias("v")).distinct()
         )
+        if round_:
+            pairs = bounded(stage(pairs, "pairs"), nodes, percent)
         pairs = stage(pairs, "candidates")
         links = stage(confirmed(pairs, sets, percent), "links")
         left = open_.join(centres.select("bucket", F.col("centre_node").alias("node")), ["bucket", "node"], "left_anti").drop("component")
@@ -232,10 +238,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
             belongs = stage(merged(belongs, links), "components")
         left = left.join(belongs, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
-        left = left.join(mixed.select("bucket"), "bucket")
-        if not round_:
-            left = left.join(nodes.select("node", "keys", "bits"), "node").where("keys[band] = bucket")
-        open_ = stage(left, "buckets")
+        older, open_ = open_, stage(left.join(mixed.select("bucket"), "bucket"), "buckets")
+        for used in (older, pairs):
+            discard(used)
         if open_.isEmpty():
             break
         round_ += 1
