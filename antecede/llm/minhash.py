@@ -7,8 +7,11 @@ bin found by a universal probe sequence (optimal densification). Every ``ROWS``
 Documents with equal sets are one node, named by its smallest doc_id, so groups of copies never
 multiply. In a bucket the smallest member is the centre of a star and only pairs (member, centre) become
 candidates. A centre that has met all others leaves the bucket; a bucket whose members
-are all in one component is settled. The rest gets new centres, ``SLOTS`` times as many each
-round, until every bucket is settled; so no pair of a bucket that could join two components goes untested.
+are all in one component is settled. What is left are documents that share a bucket but no component: loose families, and texts that
+only have a frequent passage in common. Their buckets are dealt anew by an exact filter: of two sets that reach the similarity, the
+rarest shingles of both, as many as one may lack and one more, have one in common. So these shingles are the new buckets, and a
+passage that a third of all documents hold is in none of them. They get centres in the same way, ``SLOTS`` times as many each
+round, until every bucket is settled; so no pair that could join two components goes untested.
 
 Buckets hold ids, sizes and components only. Pairs are made of ids, and a pair that several buckets make is one before anything is
 looked up for it. From the second round on an exact bound then drops hopeless pairs: 2048 bits per set, kept once per node, show
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.llm.common import discard, map_batches, stage
@@ -164,6 +167,28 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs.select("node", "text"), run, "node bigint, members binary")
 
 
+def rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, component, bucket): the given nodes under each of their rarest shingles that another one of them holds too.
+
+    Rarity is counted among these nodes; ties go by the shingle, so the order is the same for all.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(own) if own else node)], ["node", "shingle"])
+
+    own = sets.join(nodes.select("node"), "node").select("node", "members")
+    held = stage(map_batches(own, spread, "node bigint, shingle bigint"), "shingles")
+    shared = stage(held.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "shared-shingles")
+    placed = held.join(shared, "shingle", "left").withColumn(
+        "place", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "shingle"))
+    )
+    known = nodes.join(placed.where("often IS NOT NULL").select("node", "place", F.col("shingle").alias("bucket")), "node")
+    return known.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "n", "component", "bucket")
+
+
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The (u, v) pairs whose sets can reach the similarity by their sizes and bits, which are looked up for distinct pairs only."""
     known = nodes.select("node", "n", "bits")
@@ -238,7 +263,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
             belongs = stage(merged(belongs, links), "components")
         left = left.join(belongs, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
-        older, open_ = open_, stage(left.join(mixed.select("bucket"), "bucket"), "buckets")
+        left = left.join(mixed.select("bucket"), "bucket")
+        if not round_:
+            left = rare_buckets(stage(left.select("node", "n", "component").distinct(), "unsettled"), sets, percent)
+            mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
+            left = left.join(mixed.select("bucket"), "bucket")
+        older, open_ = open_, stage(left, "buckets")
         for used in (older, pairs):
             discard(used)
         if open_.isEmpty():
