@@ -5,12 +5,13 @@ A document's set holds its distinct word shingles as 64-bit hashes. One permutat
 bin found by a universal probe sequence (optimal densification). Every ``ROWS`` bins make a bucket key.
 
 Documents with equal sets are one node, named by its smallest doc_id, so groups of copies never
-multiply. In a bucket the smallest member is the centre of a star and only pairs (member, centre) become
-candidates. A centre that has met all others leaves the bucket; a bucket whose members
+multiply. In a bucket the member with the most company in all its buckets is the centre of a star (the text that a family of near
+copies was made from, if it is there) and only pairs (member, centre) become candidates. A centre that has met all others leaves the bucket; a bucket whose members
 are all in one component is settled. What is left are documents that share a bucket but no component: loose families, and texts that
 only have a frequent passage in common. Their buckets are dealt anew by an exact filter: of two sets that reach the similarity, the
 rarest shingles of both, as many as one may lack and one more, have one in common. So these shingles are the new buckets, and a
-passage that a third of all documents hold is in none of them. They get centres in the same way, ``SLOTS`` times as many each
+passage that a third of all documents hold is in none of them. A pair counts where its first common one stands: from the places of
+a shingle in both sets follows how many more they can share. They get centres in the same way, ``SLOTS`` times as many each
 round, until every bucket is settled; so no pair that could join two components goes untested.
 
 Buckets hold ids, sizes and components only. Pairs are made of ids, and a pair that several buckets make is one before anything is
@@ -38,7 +39,7 @@ from antecede.llm.common import discard, map_batches, stage
 from antecede.llm.graph import components, together
 from antecede.llm.tokens import Slice, mix, slices, words
 
-BANDS, ROWS, BITS, SLOTS = 52, 5, 2048, 32
+BANDS, ROWS, BITS, SLOTS = 52, 5, 2048, 8
 PERCENT = 80
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,7 +169,9 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, n, component, bucket): the given nodes under each of their rarest shingles that another one of them holds too.
+    """(node, n, component, weight, bucket, place): the nodes under each of their rarest shingles that another one of them holds too.
+
+    ``place`` is the shingle's rank in the node's whole set.
 
     Rarity is counted among these nodes; ties go by the shingle, so the order is the same for all.
     """
@@ -186,7 +189,7 @@ def rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "place", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "shingle"))
     )
     known = nodes.join(placed.where("often IS NOT NULL").select("node", "place", F.col("shingle").alias("bucket")), "node")
-    return known.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "n", "component", "bucket")
+    return known.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -229,26 +232,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         "nodes",
     )
     entries = nodes.select("node", "n", F.explode("keys").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("bucket")
-    open_ = stage(entries.join(shared, "bucket").withColumn("component", F.col("node")), "buckets")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+    open_ = stage(entries.join(stage(shared, "shared-buckets"), "bucket").withColumn("component", F.col("node")), "shared-entries")
+    weights = open_.groupBy("node").agg(F.sum("members").alias("weight"))
+    open_ = stage(open_.drop("members").join(stage(weights, "weights"), "node").withColumn("place", F.lit(0)), "buckets")
     belongs = None  # (node, component) of nodes with links
     wanted = open_.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(wanted, "node")
     sets = stage(full_sets(texts, size), "sets")
     round_ = 0
     while True:
-        # Centres: the smallest node of each of SLOTS**round slots of a bucket.
+        # Centres: the node of most weight in each of SLOTS**round slots of a bucket.
         slots = SLOTS**round_
         slot = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(slots))
         centres = open_.groupBy("bucket", slot.alias("slot")).agg(
-            F.min(F.struct("node", "n", "component")).alias("c")
+            F.max(F.struct("weight", "node", "n", "component", "place")).alias("c")
         ).select("bucket", "c.*")
         centres = centres.toDF("bucket", *[f"centre_{c}" for c in centres.columns[1:]])
+        rest = F.least(F.col("n") - F.col("place"), F.col("centre_n") - F.col("centre_place"))
         pairs = (
             open_.join(centres, "bucket")
             .where(
                 (F.col("component") != F.col("centre_component"))
                 & (F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n"))
+                & ((F.lit(100 + percent) * (rest + 1) >= F.lit(percent) * (F.col("n") + F.col("centre_n"))) if round_ else F.lit(True))
             )
             .select(F.greatest("node", "centre_node").alias("u"), F.least("node", "centre_node").alias("v")).distinct()
         )
@@ -265,7 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
         left = left.join(mixed.select("bucket"), "bucket")
         if not round_:
-            left = rare_buckets(stage(left.select("node", "n", "component").distinct(), "unsettled"), sets, percent)
+            left = rare_buckets(stage(left.select("node", "n", "component", "weight").distinct(), "unsettled"), sets, percent)
             mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
             left = left.join(mixed.select("bucket"), "bucket")
         older, open_ = open_, stage(left, "buckets")
