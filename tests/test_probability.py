@@ -177,3 +177,14 @@ def test_families_are_cumulative(spark):
     assert all(set(a) < set(b) for a, b in zip(sizes, sizes[1:]))
     with pytest.raises(ValueError):
         S.feature_columns(df, "other")
+
+
+def test_block_borders_are_fixed_before_they_are_used_twice(spark):
+    from antecede.functions import quantiles as Q
+
+    df = spark.range(3000).selectExpr("id % 2 as g", "cast(id * 7 % 3001 as double) as v")
+    blocked, starts = Q.block_counts(Q.value_counts(df, ["g"], "v"), ["g"])
+    for table in (blocked, starts):  # a sketch in the plan would be made anew by each reader, with other borders
+        assert "percentile_approx" not in table._jdf.queryExecution().toString()
+    totals = blocked.groupBy("g", "block").agg(F.sum("n").alias("block_n"))
+    assert totals.join(starts, ["g", "block", "block_n"]).count() == starts.count() == totals.count()
