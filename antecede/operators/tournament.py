@@ -68,6 +68,8 @@ def run(
         key = (cell.family, cell.split)
         if key not in folds:  # cells of one fold follow each other, so one fold is held at a time
             columns = feature_columns(features, cell.family, rolling) if rolling else feature_columns(features, cell.family)
+            for held, _ in folds.values():
+                held.release()
             folds = {key: (M.Fold(features.where(F.col("season").isin(*cell.seasons)), columns), columns)}
         fold, columns = folds[key]
         test = features.where(F.col("season") == cell.season)
@@ -76,6 +78,8 @@ def run(
         missing = {"missing_forecasts": F.count_if(F.col("prediction").isNull() | F.isnan("prediction"))}
         publish.publish(rows, root, cell.name, missing, strict=False)
         worked.append(cell.name)
+    for held, _ in folds.values():
+        held.release()
     return worked
 
 

@@ -82,3 +82,38 @@ def test_medians_of_many_columns_equal_sorting(spark, monkeypatch):
         for k, n in enumerate(names):
             assert got[n] == (pytest.approx(plain(k)) if plain(k) is not None else None, sum(r[k] is None for r in rows))
     assert [r.median for r in M.column_medians(df.limit(0), names[:2]).collect()] == [None, None]
+
+
+def test_linear_importance_equals_forecasting_every_variant(frame, monkeypatch):
+    columns = ["a", "b", "empty"]
+    model = M.fit(frame, columns, "strikeouts", "ridge")
+    rows = lambda: {r.feature: r for r in M.permutation_importance(model, frame, columns, "strikeouts", group=50).collect()}
+    seen = []
+    monkeypatch.setattr(M, "predict", lambda *a, f=M.predict: seen.append(a) or f(*a))
+    fast = rows()
+    assert not seen  # no variant goes through the model
+    monkeypatch.setattr(M, "_contributions", lambda *a: None)
+    slow = rows()
+    assert seen and set(fast) == set(slow) == set(columns)
+    for c in columns:
+        assert fast[c].importance_mae_increase == pytest.approx(slow[c].importance_mae_increase, abs=1e-9)
+        assert (fast[c].rows, fast[c].variants) == (slow[c].rows, slow[c].variants) == (300, 900)
+
+
+def test_a_fold_is_prepared_once_for_all_targets_and_products(frame, monkeypatch):
+    made = []
+    monkeypatch.setattr(M, "preparation", lambda *a, f=M.preparation: made.append(1) or f(*a))
+    wide = frame.withColumn("outs_recorded", F.col("strikeouts") * 2)
+    fold = M.Fold(wide, ["a", "b", "empty"])
+    for target in ("strikeouts", "outs_recorded"):
+        M.fold_predictions(fold, wide, fold.columns, target, "s", ("ridge", "poisson", "volume_rate"))
+    assert len(made) == 1 and len(fold.fitted) == 7  # two ridges, two Poissons, two rates, one volume
+
+
+def test_moments_of_filled_columns_equal_filling(frame):
+    facts = M.column_facts(frame, ["a", "b", "batters_faced"])
+    medians = {r.column_name: r.median for r in M.column_medians(frame, list(facts), facts).collect()}
+    scale = M.imputed_scale(facts, medians, ["b"])
+    for name, sql in M.imputed(list(facts), medians, ["b"]).items():
+        mean, std = frame.selectExpr(f"avg({sql})", f"stddev_pop({sql})").first()
+        assert (scale[f"mean_{name}"], scale[f"std_{name}"]) == (pytest.approx(mean), pytest.approx(std))
