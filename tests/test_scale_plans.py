@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from antecede.catalog import market_queries as Q
+from antecede.operators import diagnostics as D
 from antecede.operators import market as M
+from antecede.operators import scoring as S
 from antecede.operators.name_match import candidate_keys, match_names
+from antecede.plans.standin import Tables
 from antecede.sources import payloads
 
 
@@ -43,3 +45,23 @@ def test_coverage_makes_the_board_once(spark):
     df = M.board_coverage(board.mapInArrow(lambda batches: count(batches), board.schema))
     assert tuple(df.first()) == (3, 2, 1, 2, 2)
     assert seen.value == 3
+
+
+def test_forecasts_are_not_dealt_by_a_few_keys(spark):
+    """Winners, means and terciles are a few rows; a join dealt by their keys would leave a handful of tasks."""
+    rows = spark.createDataFrame([(1, 1, 1, "t", "m", "s", 1.0, 2.0)], "season bigint, game_id bigint, pitcher_mlbam_id bigint, target string, model string, split string, actual double, prediction double")
+    context = rows.select("season", "game_id", "pitcher_mlbam_id").selectExpr("*", "'R' as pitcher_handedness", "1L as pitcher_starts_before_game")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        won = S.winners_only(rows, rows.groupBy("target").agg({"model": "max"}).withColumnRenamed("max(model)", "model"))
+        plan = won._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(target" not in plan.split("BroadcastExchange")[0]
+        sums = D.error_sums(rows, context)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [target" in sums
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_guards_of_a_market_join_read_written_tables(spark):
+    files = Q.joined(Tables(spark, "/root/testdata/sf0.001"), strict=True).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
