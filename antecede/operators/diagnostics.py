@@ -28,7 +28,8 @@ BUCKETS = ("season", "pitcher_handedness", "projection_tier", "experience_bucket
 def error_sums(predictions: DataFrame, context: DataFrame) -> DataFrame:
     """Counts and error sums per combination of all buckets: the mergeable table every grouping is made of.
 
-    Terciles span all splits of a target.
+    Terciles span all splits of a target. They are one row per model, so they go to the rows: dealt by target and model, all
+    forecasts would meet in a handful of tasks.
     """
     terciles = exact_quantiles(
         predictions, ["target", "model"], "prediction", [1 / 3, 2 / 3]
@@ -37,7 +38,7 @@ def error_sums(predictions: DataFrame, context: DataFrame) -> DataFrame:
         F.col("pitcher_starts_before_game") < EARLY_STARTS, "early_season"
     ).otherwise("established")
     columns = [*PREDICTION_KEYS, "pitcher_handedness", "pitcher_starts_before_game"]
-    rows = predictions.join(context.select(*columns), list(PREDICTION_KEYS), "left").join(terciles, ["target", "model"])
+    rows = predictions.join(context.select(*columns), list(PREDICTION_KEYS), "left").join(F.broadcast(terciles), ["target", "model"])
     values = {
         "season": F.col("season").cast("string"),
         "projection_tier": projection_tier(),
@@ -93,7 +94,7 @@ def residual_summary(predictions: DataFrame, by: Sequence[str] = GROUP) -> DataF
     tails = exact_quantiles(rows, by, "residual", [0.05, 0.95])
     # The second pass needs the spread found by the first, one row per group.
     spread = shape.select(*by, "residual_std")
-    extreme = rows.join(spread, by).groupBy(*by).agg(
+    extreme = rows.join(F.broadcast(spread), by).groupBy(*by).agg(
         F.count_if((F.col("residual_std") > 0) & (F.abs("residual") > 3 * F.col("residual_std"))).alias("extreme_residual_count_gt3sd")
     )
     n = F.col("n").cast("double")
