@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from antecede.catalog import market_queries as Q
 from antecede.operators import diagnostics as D
+from antecede.operators import events as E
+from antecede.operators import features as X
 from antecede.operators import market as M
 from antecede.operators import scoring as S
 from antecede.operators.name_match import candidate_keys, match_names
@@ -65,3 +69,23 @@ def test_forecasts_are_not_dealt_by_a_few_keys(spark):
 def test_guards_of_a_market_join_read_written_tables(spark):
     files = Q.joined(Tables(spark, "/root/testdata/sf0.001"), strict=True).inputFiles()
     assert files and not [f for f in files if "lineitem" in f]
+
+
+def test_games_are_counted_in_one_deal_of_the_pitches(spark):
+    """One aggregate equals the entity metrics and the category pivot joined, also for missing keys and at-bats."""
+    rows = [(1, 7, 1, 1, "foul", "strikeout", "A"), (1, 7, 1, 1, "ball", None, "B"), (1, 7, 1, 2, "called_strike", "walk", "A"), (1, 7, None, 1, "foul", None, None), (1, 7, 2, None, "ball", "truncated_pa", "A"),
+            (1, 8, 1, 3, None, None, "B"), (2, 7, 3, 1, "foul", "single", "Z"), (1, None, 4, 1, "foul", "single", "A"), (None, 7, 5, 1, "foul", "single", "A")]
+    pitches = spark.createDataFrame(rows, "game_id bigint, pitcher_mlbam_id bigint, at_bat_number bigint, pitch_number bigint, description string, events string, pitch_type string").selectExpr(
+        "*", "2000L as season", "date'2000-05-01' as game_date", "5L as zone", "cast(90.5 as double) as release_speed", "'L' as p_throws")
+    got = E.entity_games(
+        pitches, {c: F.when(F.col("pitch_type") == c, 1).otherwise(0) for c in "AB"}, {"thrown": E.row_flag("pitches")}, {"left": F.col("p_throws") == "L"})
+    keys = pitches.groupBy(*X.KEYS).agg(F.sum(E.row_flag("pitches")).alias("thrown"), F.lit(None).alias("outs_recorded"))
+    want = X.with_game_metrics(keys, E.entity_game_metrics(pitches), E.category_game_metrics(pitches), X.FeatureConfig(categories=("A", "B"))).drop("outs_recorded", "outs_history")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    faced = {(r.game_id, r.pitcher_mlbam_id): r.batters_faced for r in got.collect()}
+    assert faced == {(1, 7): 2, (1, 8): 1, (2, 7): 1, (1, None): 1, (None, 7): 1}
+
+
+def test_feature_windows_read_written_games(spark):
+    plan = optimized(Tables(spark, "/root/testdata/sf0.001").features)
+    assert plan.count("l_suppkey") == 0  # games and opponents are written tables by then
