@@ -117,3 +117,16 @@ def test_moments_of_filled_columns_equal_filling(frame):
     for name, sql in M.imputed(list(facts), medians, ["b"]).items():
         mean, std = frame.selectExpr(f"avg({sql})", f"stddev_pop({sql})").first()
         assert (scale[f"mean_{name}"], scale[f"std_{name}"]) == (pytest.approx(mean), pytest.approx(std))
+
+
+def test_ridge_assembles_no_rows_and_facts_take_one_pass(frame, monkeypatch):
+    """A ridge follows from sums of products, so no vector per row is made and kept; the facts of all columns are one pass."""
+    monkeypatch.setattr(M.Fold, "ready", lambda *a: pytest.fail("rows were assembled"))
+    wide = frame.repartition(7).withColumn("y", F.when(F.col("game_id") % 5 > 0, F.col("strikeouts")))
+    model = M.fit(wide, ["a", "b", "empty"], "y", "ridge")
+    assert M.unsolved(model, wide, "y", "ridge") < 1e-9
+    facts = M.Packed(wide, ["a", "b", "empty"]).facts
+    for c in ("a", "b"):
+        row = wide.agg(F.count(c), F.avg(c), F.var_pop(c), F.min(c), F.max(c)).first()
+        assert [facts[c][k] for k in ("n", "mean", "var", "low", "high")] == pytest.approx(list(row))
+    assert facts["empty"] == {"rows": 300, "n": 0, "mean": None, "var": None, "low": None, "high": None}
