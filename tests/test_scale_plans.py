@@ -11,7 +11,7 @@ from antecede.operators import features as X
 from antecede.operators import market as M
 from antecede.operators import scoring as S
 from antecede.operators.name_match import candidate_keys, match_names
-from antecede.plans.standin import Tables
+from antecede.plans.standin import CONFIG, Tables
 from antecede.sources import payloads
 
 
@@ -89,3 +89,18 @@ def test_games_are_counted_in_one_deal_of_the_pitches(spark):
 def test_feature_windows_read_written_games(spark):
     plan = optimized(Tables(spark, "/root/testdata/sf0.001").features)
     assert plan.count("l_suppkey") == 0  # games and opponents are written tables by then
+
+
+def test_a_slate_counts_only_games_in_reach(spark, monkeypatch):
+    """The first slate of a season needs the six games before it, not all history, and gives the rows of the whole table."""
+    t, slate, given = Tables(spark, "/root/testdata/sf0.001"), F.lit("2001-01-01").cast("date"), []
+    build = X.feature_table_from_pitches
+    monkeypatch.setattr(X, "feature_table_from_pitches", lambda p, a, c: given.append((p, a)) or build(p, a, c))
+    scheduled = t.appearances.where(F.col("game_date") == slate).withColumns({c: F.lit(None).cast("bigint") for c in X.K.TARGETS})
+    pitches = t.typed_pitches.join(t.at_bat_teams, "at_bat_number", "left")
+    got = X.pre_event_features(t.appearances.where("season < 2001"), t.appearances.limit(0), scheduled, pitches, "2001-01-01", CONFIG)
+    (own, rows), = given
+    names = [c for c in got.columns if c not in X.K.TARGETS]
+    want = t.features.where(F.col("game_date") == slate).select(*names)
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.collect()))
+    assert 0 < rows.count() <= 7 * scheduled.count() and own.count() < pitches.count() / 4
