@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from antecede.functions import constants as K
 from antecede.functions.expr import fair_odds_clipped, flag
 from antecede.operators.distributions import probability_scores
+from antecede.operators.scoring import PREDICTION_KEYS
+from antecede.session import stage
 
 BINS = 10
 STEP = 0.1
@@ -54,7 +56,7 @@ def expected_calibration_error(table: DataFrame, by: Sequence[str] = ("target",)
 
 def monotonicity_violations(
     rows: DataFrame,
-    key: Sequence[str] = ("season", "game_id", "pitcher_mlbam_id"),
+    key: Sequence[str] = PREDICTION_KEYS,
     by: Sequence[str] = ("target",),
 ) -> DataFrame:
     """How often the probability rises from a line to the next line of the table.
@@ -124,7 +126,12 @@ def calibration_buckets(rows: DataFrame) -> DataFrame:
 
 
 def probability_summary(rows: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
-    """Scores, calibration error, spread and monotonicity per group, one row each."""
+    """Scores, calibration error, spread and monotonicity per group, one row each.
+
+    The probabilities are made once: five results read them as a written table.
+    """
+    used = dict.fromkeys([*by, *PREDICTION_KEYS, "line", "probability_over", "actual_over"])
+    rows = stage(rows.select(*used), "probabilities")
     spread = rows.groupBy(*by).agg(F.stddev_samp("probability_over").alias("probability_std"))
     return (
         probability_scores(rows, by)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from antecede.catalog import market_queries as Q
+from antecede.operators import calibration as C
 from antecede.operators import diagnostics as D
 from antecede.operators import events as E
 from antecede.operators import features as X
@@ -104,3 +105,18 @@ def test_a_slate_counts_only_games_in_reach(spark, monkeypatch):
     want = t.features.where(F.col("game_date") == slate).select(*names)
     assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.collect()))
     assert 0 < rows.count() <= 7 * scheduled.count() and own.count() < pitches.count() / 4
+
+
+def test_a_summary_makes_its_probabilities_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(1, 1, k, "t", line, p, k % 2) for k in range(4) for line, p in ((0.5, 0.6), (1.5, 0.2 + 0.2 * k))],
+                                 "season bigint, game_id bigint, pitcher_mlbam_id bigint, target string, line double, probability_over double, actual_over bigint")
+    got = C.probability_summary(rows.mapInArrow(count, rows.schema)).first()
+    assert (got.n, got.monotonicity_violations) == (8, 1) and got.probability_std > 0
+    assert seen.value == 8
