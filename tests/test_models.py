@@ -130,3 +130,11 @@ def test_ridge_assembles_no_rows_and_facts_take_one_pass(frame, monkeypatch):
         row = wide.agg(F.count(c), F.avg(c), F.var_pop(c), F.min(c), F.max(c)).first()
         assert [facts[c][k] for k in ("n", "mean", "var", "low", "high")] == pytest.approx(list(row))
     assert facts["empty"] == {"rows": 300, "n": 0, "mean": None, "var": None, "low": None, "high": None}
+
+
+def test_assembled_rows_come_in_parts_of_bounded_size(frame, monkeypatch):
+    monkeypatch.setattr(M, "READY_BYTES", 50 * 3 * 8)
+    fold = M.Fold(frame.coalesce(1), ["a", "b", "empty"])
+    sizes = [r["count"] for r in fold.ready("strikeouts", True)[0].groupBy(F.spark_partition_id()).count().collect()]
+    fold.release()
+    assert sum(sizes) == 300 and max(sizes) <= 120
