@@ -130,6 +130,9 @@ def shares_above(
     Values and thresholds are cut into the same ordered blocks. What lies in higher or lower
     blocks comes from block totals; only inside one block are the two merged in order. No pair
     of value and threshold is ever formed and no group is ordered as a whole.
+
+    The borders are written: a sketch depends on the order in which its parts arrive, and values and thresholds must be cut
+    at the same ones.
     """
     key = list(key)
     borders = counts.groupBy(*key).agg(
@@ -137,6 +140,7 @@ def shares_above(
             "value", F.array(*[F.lit(k / BLOCKS) for k in range(1, BLOCKS)]), F.lit(SKETCH_ACCURACY)
         ).alias("borders")
     )
+    borders = stage(borders, "borders")
     block = F.expr("size(filter(borders, b -> b < value))")
     # One row per group, each with a bounded list of borders.
     values = counts.join(borders, key).withColumn("block", block)

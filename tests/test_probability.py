@@ -188,3 +188,21 @@ def test_block_borders_are_fixed_before_they_are_used_twice(spark):
         assert "percentile_approx" not in table._jdf.queryExecution().toString()
     totals = blocked.groupBy("g", "block").agg(F.sum("n").alias("block_n"))
     assert totals.join(starts, ["g", "block", "block_n"]).count() == starts.count() == totals.count()
+
+
+@pytest.mark.parametrize("how", ["conditional", "frozen"])
+def test_shares_do_not_depend_on_a_sketch_that_cuts_differently_each_time(spark, monkeypatch, how):
+    from antecede.operators import bundle as B
+
+    sketch = F.percentile_approx
+    moved = F.udf(lambda borders: [b + Random().uniform(-40, 40) for b in borders], "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: F.array_sort(moved(sketch(*a))))
+    counts = spark.range(900).selectExpr("'g' as target", "-1L as bin", "cast(id * 7 % 901 as double) as value", "1 + id % 3 as n")
+    asked = spark.range(300).selectExpr("'g' as target", "-1L as bin", "cast(id * 3 as double) + 0.5 as threshold")
+    if how == "conditional":
+        rows = D.shares_above(counts, asked, ["target", "bin"])
+    else:
+        rows = B.ResidualTable(counts, None, ("target",)).shares_above(asked)
+    pairs = [(r.value, r.n) for r in counts.collect()]
+    total, got = sum(n for _, n in pairs), {r.threshold: r.share for r in rows.collect()}
+    assert got == {k * 3 + 0.5: sum(n for v, n in pairs if v > k * 3 + 0.5) / total for k in range(300)}
