@@ -58,11 +58,15 @@ class ResidualTable:
         return self.merged(ResidualTable.of(history, self.by, self.edges))
 
     def suffix_sums(self) -> tuple[DataFrame, DataFrame]:
-        """(values with ``above``, the residuals strictly above each; one row per group and bin with borders, blocks and total)."""
+        """(values with ``above``, the residuals strictly above each; one row per group and bin with borders, blocks and total).
+
+        The borders are written, since a sketch made twice may cut values and thresholds differently.
+        """
         key = [*self.by, "bin"]
         counts = stage(self.counts, "counts")
         share = F.array(*[F.lit(k / BLOCKS) for k in range(1, BLOCKS)])
         borders = counts.groupBy(*key).agg(F.percentile_approx("value", share, F.lit(SKETCH_ACCURACY)).alias("borders"))
+        borders = stage(borders, "borders")
         values = stage(counts.join(borders, key).withColumn("block", F.expr("size(filter(borders, b -> b < value))")).drop("borders"), "blocked")
         blocks = values.groupBy(*key, "block").agg(F.sum("n").alias("n"))
         higher = Window.partitionBy(*key).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
