@@ -30,6 +30,19 @@ def test_walk_forward_has_every_split_and_target(spark, monkeypatch):
     assert family == "full" and set(models) == {"ridge", "poisson", "volume_rate"}
 
 
+def test_ablation_has_every_family_split_and_target_at_the_published_rounds(spark, monkeypatch):
+    import inspect
+
+    calls, signature = [], inspect.signature(model_queries.M.ablation)
+    monkeypatch.setattr(model_queries.M, "ablation", lambda *a, **k: calls.append(signature.bind(*a, **k)))
+    entry.queries()["ablation"](spark, FOLDER)
+    (call,) = calls
+    call.apply_defaults()
+    given = call.arguments
+    assert [s[2] for s in given["splits"]] == [1996, 1997, 1998, 1999, 2000] and set(given["targets"]) == TARGETS
+    assert len(given["families"]) == 5 and given["rounds"] == model_queries.M.TREE_ROUNDS == 180
+
+
 @pytest.mark.parametrize("kind, tolerance", [("ridge", 1e-6), ("poisson", 1e-4)])
 def test_fits_on_all_features_solve_their_equations(spark, kind, tolerance):
     t = entry.Tables(spark, FOLDER)
