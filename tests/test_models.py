@@ -138,3 +138,29 @@ def test_assembled_rows_come_in_parts_of_bounded_size(frame, monkeypatch):
     sizes = [r["count"] for r in fold.ready("strikeouts", True)[0].groupBy(F.spark_partition_id()).count().collect()]
     fold.release()
     assert sum(sizes) == 300 and max(sizes) <= 120
+
+
+def test_linear_folds_share_one_written_table_and_forecast_in_one_pass(frame, monkeypatch):
+    """No vector per row is made for a Poisson fit, the table is packed once for all folds, and forecasts are those of the models."""
+    from antecede.operators import packed as P
+
+    written = []
+    monkeypatch.setattr(M.Fold, "ready", lambda *a: pytest.fail("rows were assembled"))
+    monkeypatch.setattr(P, "stage", lambda df, label, *a, f=P.stage: written.append(label) or f(df, label, *a))
+    columns = ["season_a", "season_b", "season_empty"]
+    wide = frame.select("*", *[F.col(c.removeprefix("season_")).alias(c) for c in columns]).drop("a", "b", "empty")
+    wide = wide.withColumn("outs_recorded", F.when(F.col("game_id") % 5 > 0, F.col("strikeouts") * 2))
+    splits = [("one", [2020], 2021), ("two", [2020, 2021], 2022)]
+    rows = M.walk_forward(wide, splits, ("strikeouts", "outs_recorded"), models=M.LINEAR)
+    assert written.count("values") == 1
+    got = {(r.split, r.target, r.model, r.game_id): (r.prediction, r.actual) for r in rows.collect()}
+    assert len(got) == 200 * 2 * 3
+    for split, seasons, season in splits:
+        fold = M.Fold(wide.where(F.col("season").isin(*seasons)), columns)
+        test = wide.where(F.col("season") == season)
+        for target in ("strikeouts", "outs_recorded"):
+            every = [(kind, M.predict(M.fit(fold, columns, target, kind), test)) for kind in ("ridge", "poisson")]
+            every.append(("volume_rate", M.volume_rate_forecast(fold, test, columns, target, "prediction")))
+            for model, known in every:
+                for r in known.collect():
+                    assert got[split, target, model, r.game_id] == (pytest.approx(r.prediction, rel=1e-9), r[target])
