@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from antecede.functions import constants as K
 from antecede.operators import models as M
+from antecede.operators.packed import Packed
 from antecede.operators.scoring import feature_columns
 from antecede.sources import publish
 
@@ -51,15 +52,23 @@ def finished(spark: SparkSession, root: str) -> set[str]:
     return {r.part for r in publish.manifest(spark, root).where("status = 'complete'").select("part").collect()}
 
 
+def packed(features: DataFrame, family: str = "full", rolling: Sequence[str] | None = None) -> Packed:
+    """The table of a family, written once for all its folds and runs."""
+    columns = feature_columns(features, family, rolling) if rolling else feature_columns(features, family)
+    return Packed.of(features, columns, ["season"])
+
+
 def run(
-    features: DataFrame, cells: Sequence[Cell], root: str, rounds: int = M.TREE_ROUNDS, rolling: Sequence[str] | None = None,
+    features: DataFrame | Packed, cells: Sequence[Cell], root: str, rounds: int = M.TREE_ROUNDS, rolling: Sequence[str] | None = None,
     before: Callable[[Cell], None] | None = None,
 ) -> list[str]:
     """Fits and publishes every cell that is not finished; returns the names of those it worked on.
 
     A cell whose forecasts hold a missing value is recorded as failed and not published. ``before`` is called before each fit.
+    A table that is packed already serves the cells of its family without being written again.
     """
-    done, folds, worked = finished(features.sparkSession, root), {}, []
+    given = isinstance(features, Packed)
+    done, folds, worked, tables = finished((features.source if given else features).sparkSession, root), {}, [], {}
     for cell in cells:
         if cell.name in done:
             continue
@@ -67,12 +76,14 @@ def run(
             before(cell)
         key = (cell.family, cell.split)
         if key not in folds:  # cells of one fold follow each other, so one fold is held at a time
-            columns = feature_columns(features, cell.family, rolling) if rolling else feature_columns(features, cell.family)
+            if cell.family not in tables:
+                tables = {cell.family: features if given else packed(features, cell.family, rolling)}
             for held, _ in folds.values():
                 held.release()
-            folds = {key: (M.Fold(features.where(F.col("season").isin(*cell.seasons)), columns), columns)}
+            columns = tables[cell.family].columns
+            folds = {key: (M.Fold(tables[cell.family].where(F.col("season").isin(*cell.seasons)), columns), columns)}
         fold, columns = folds[key]
-        test = features.where(F.col("season") == cell.season)
+        test = tables[cell.family].where(F.col("season") == cell.season)
         rows = M.fold_predictions(fold, test, columns, cell.target, cell.split, (cell.model,), rounds)
         rows = rows.withColumn("feature_family", F.lit(cell.family))
         missing = {"missing_forecasts": F.count_if(F.col("prediction").isNull() | F.isnan("prediction"))}

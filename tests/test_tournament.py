@@ -45,3 +45,18 @@ def test_a_repeated_run_fits_only_unfinished_cells(spark, tmp_path):
 def test_grids_leave_out_product_models_without_a_rate():
     cells = T.grid(SPLITS, ("strikeouts", "batters_faced"), ("volume_rate",), ("baseline", "full"))
     assert {(c.target, c.family) for c in cells} == {("strikeouts", "baseline"), ("strikeouts", "full")}
+
+
+def test_all_folds_and_runs_share_one_written_table(spark, tmp_path, monkeypatch):
+    from antecede.operators import packed as P
+
+    written = []
+    monkeypatch.setattr(P, "stage", lambda df, label, *a, f=P.stage: written.append(label) or f(df, label, *a))
+    features, cells = frame(spark), T.grid(SPLITS, ("strikeouts", "outs_recorded"), ("ridge",))
+    packed = T.packed(features)
+    T.run(packed, cells[:3], str(tmp_path / "a"))
+    T.run(packed, cells, str(tmp_path / "a"))
+    T.run(features, cells, str(tmp_path / "b"))
+    assert written.count("values") == 2  # one for both halves, one for the run that packs by itself
+    key = lambda root: sorted((r.split, r.target, r.game_id, round(r.prediction, 8)) for r in T.forecasts(spark, root).collect())
+    assert key(str(tmp_path / "a")) == key(str(tmp_path / "b"))
