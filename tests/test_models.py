@@ -164,3 +164,26 @@ def test_linear_folds_share_one_written_table_and_forecast_in_one_pass(frame, mo
             for model, known in every:
                 for r in known.collect():
                     assert got[split, target, model, r.game_id] == (pytest.approx(r.prediction, rel=1e-9), r[target])
+
+
+def test_families_of_an_ablation_share_packed_folds_and_targets_are_fitted_side_by_side(frame, monkeypatch):
+    from threading import Barrier
+
+    from antecede.operators import packed as P
+
+    written, medians, together = [], [], Barrier(4, timeout=120)
+    monkeypatch.setattr(P, "stage", lambda df, label, *a, f=P.stage: written.append(label) or f(df, label, *a))
+    monkeypatch.setattr(M, "column_medians", lambda *a, f=M.column_medians: medians.append(1) or f(*a))
+    monkeypatch.setattr(M, "boosted_trees", lambda *a, f=M.boosted_trees: together.wait() >= 0 and f(*a))  # all four fits or none
+    wide = frame.select("*", F.col("a").alias("season_a"), F.col("b").alias("opponent_b"), (F.col("strikeouts") * 2).alias("outs_recorded")).drop("a", "b", "empty")
+    splits = [("one", [2020], 2021), ("two", [2020, 2021], 2022)]
+    targets, families = ("strikeouts", "outs_recorded"), ("pitcher_history", "opponent")
+    got = {(r.feature_family, r.split, r.target): (r.mae, r.n) for r in M.ablation(wide, splits, targets, families, rounds=3).collect()}
+    assert len(got) == 8 and written.count("values") == 1 and len(medians) == 2
+    monkeypatch.setattr(M, "boosted_trees", lambda *a, f=M.GBTRegressor: f(featuresCol="inputs", labelCol=a[0], maxIter=a[1], stepSize=0.05, maxDepth=4, seed=42))
+    for family, columns in (("pitcher_history", ["season_a"]), ("opponent", ["season_a", "opponent_b"])):
+        for split, seasons, season in splits:
+            known = wide.where(F.col("season") == season)
+            model = M.fit(wide.where(F.col("season").isin(*seasons)), columns, "strikeouts", "boosted_trees", 3)
+            mae = M.predict(model, known).agg(F.avg(F.abs(F.greatest("prediction", F.lit(0.0)) - F.col("strikeouts")))).first()[0]
+            assert got[family, split, "strikeouts"] == (pytest.approx(mae, rel=1e-9), 100)
